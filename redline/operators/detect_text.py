@@ -17,7 +17,7 @@ from ..schemas import detection_finding
 
 def scan_text(
     sources: DataFrame,
-    scan_id: Column | str = "scan",
+    scan_id: str | None = None,
     rules: list[TextRule] | None = None,
     prefilter: str | None = None,
     keep_match: bool = False,
@@ -29,7 +29,9 @@ def scan_text(
     ``prefilter`` regex that every possible match requires (or none).
     The snippet is the trimmed whole line; location is ``file:line``.
     """
-    scan_col = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
+    from .detect_code import with_scan_id
+
+    sources = with_scan_id(sources, scan_id)
     if rules is None:
         rules = default_rules()
         if prefilter is None:
@@ -40,17 +42,19 @@ def scan_text(
         # never split into lines
         src = src.where(F.col("content").rlike(prefilter))
     lines = src.select(
+        "scan_id",
         "file_name",
         F.explode(split_lines(F.col("content"), prefilter)).alias("l"),
     )
     hits = lines.select(
+        "scan_id",
         "file_name",
         F.col("l.line_no").alias("line_no"),
         F.col("l.line").alias("line"),
         F.explode(rule_matches(F.col("l.line"), rules)).alias("m"),
     )
     cols = detection_finding(
-        scan_id=scan_col,
+        scan_id=F.col("scan_id"),
         data_type=F.col("m.data_type"),
         location=F.concat(F.col("file_name"), F.lit(":"), F.col("line_no").cast("string")),
         file_name=F.col("file_name"),

@@ -34,11 +34,13 @@ def as_sources(
     name_prefix: str = "",
     name_suffix: str = "",
     language: Column | None = None,
+    scan_col: str | None = None,
 ) -> DataFrame:
     """Adapt any table with an id and a text column to ``sources``.
 
     ``file_name`` is ``name_prefix + id + name_suffix``; the language is the
-    given column or the hint guessed from the name.
+    given column or the hint guessed from the name.  With ``scan_col`` the
+    rows also carry ``scan_id`` (which scan they belong to).
     """
     file_name = F.concat(F.lit(name_prefix), F.col(id_col).cast("string"), F.lit(name_suffix))
     lang = language if language is not None else guess_language(file_name)
@@ -47,6 +49,7 @@ def as_sources(
         file_name.alias("file_name"),
         F.col(content_col).cast("string").alias("content"),
         lang.cast("string").alias("language"),
+        *([F.col(scan_col).cast("string").alias("scan_id")] if scan_col else []),
     )
 
 
