@@ -73,10 +73,9 @@ def read_sources(spark: SparkSession, path: str, max_bytes: int | None = None) -
         if max_bytes is not None:
             listing = listing.where(F.col("length") <= F.lit(max_bytes))
         texts = (
-            spark.read.option("wholetext", "true")
-            .option("recursiveFileLookup", "true")
+            spark.read.option("recursiveFileLookup", "true")
             .option("ignoreCorruptFiles", "true")
-            .text(path)
+            .text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
         )
         if max_bytes is not None:

@@ -23,9 +23,8 @@ def load_policy_clauses(spark: SparkSession, path: str = BUILTIN_POLICY_DIR) ->
     """
     try:
         raw = (
-            spark.read.option("wholetext", "true")
-            .option("pathGlobFilter", "*.json")
-            .text(path)
+            spark.read.option("pathGlobFilter", "*.json")
+            .text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
         )
     except Exception as exc:
