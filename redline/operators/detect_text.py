@@ -11,22 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import TextRule, default_rules, rule_matches, split_lines, trim_ws
+from ..functions.text import TextRule, _keep, default_rules, may_hit_default_rules, rule_matches, split_lines, trim_ws
 from ..schemas import detection_finding
+from ..session import spread_for_cpu
 
 
 def scan_text(
     sources: DataFrame,
     scan_id: str | None = None,
     rules: list[TextRule] | None = None,
-    prefilter: str | None = None,
+    prefilter=None,
+    source_gate=None,
     keep_match: bool = False,
     created_at: Column | None = None,
 ) -> DataFrame:
     """Findings for every match of every rule in every non-empty line.
 
-    ``rules`` defaults to the nine built-in rules; with custom rules give a
-    ``prefilter`` regex that every possible match requires (or none).
+    ``rules`` defaults to the nine built-in rules, with a cheap gate on whole
+    sources and a precise line prefilter; with custom rules give a
+    ``prefilter`` (regex or Column function) that every possible match
+    requires (and optionally a coarser ``source_gate``), or none.
     The snippet is the trimmed whole line; location is ``file:line``.
     """
     from .detect_code import with_scan_id
@@ -36,11 +40,17 @@ def scan_text(
         rules = default_rules()
         if prefilter is None:
             prefilter = R.LINE_PREFILTER
+        if source_gate is None:
+            source_gate = may_hit_default_rules
     src = sources.where(F.col("content").isNotNull())
-    if prefilter is not None:
+    gate = source_gate if source_gate is not None else prefilter
+    if gate is not None:
         # whole-source check first: a source with no candidate character is
         # never split into lines
-        src = src.where(F.col("content").rlike(prefilter))
+        src = src.where(_keep(gate, F.col("content")))
+    # few input splits (small inputs, single row groups): spread the
+    # candidate sources over the cores before the per-line regex work
+    src = spread_for_cpu(src.select("scan_id", "file_name", "content"))
     lines = src.select(
         "scan_id",
         "file_name",

@@ -37,6 +37,7 @@ from ..functions.report import permanent_fix_advice, risk_band, source_type
 from ..functions.text import TextRule, default_rules, luhn_valid, rule_matches, split_lines
 from ..operators import detect_code, detect_columns, detect_text, enrich, remediate, report, retrieve
 from ..sources.files import as_sources, guess_language
+from ..session import materialize
 from ..sources.policies import load_policy_clauses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,9 +136,10 @@ def decisions(findings: DataFrame) -> DataFrame:
     ).where(F.col("action").isNotNull())
 
 
-def reviewed_doc_findings(spark: SparkSession, d: str) -> DataFrame:
+def reviewed_doc_findings(spark: SparkSession, d: str, materialized: bool = False) -> DataFrame:
     f = enriched_doc_findings(spark, d)
-    return remediate.approve(f, decisions(f))
+    out = remediate.approve(f, decisions(f))
+    return materialize(out) if materialized else out
 
 
 def standin_file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +509,7 @@ def q_residual_score(spark, d):
 
 
 def q_risk_band(spark, d):
-    return report.scores_with_bands(reviewed_doc_findings(spark, d))
+    return report.scores_with_bands(reviewed_doc_findings(spark, d, materialized=True))
 
 
 def q_severity_counts(spark, d):
@@ -519,7 +521,7 @@ def q_status_summary(spark, d):
 
 
 def q_audit_report(spark, d):
-    a = report.audit_report(scans(spark, d), reviewed_doc_findings(spark, d))
+    a = report.audit_report(scans(spark, d), reviewed_doc_findings(spark, d, materialized=True))
     return a.select(
         "scan_id", "policy_id", "total", "critical", "high", "approved", "rejected", "pending",
         _i("compliance_score").alias("compliance_score"), "finding_id", "data_type", "severity", "location",

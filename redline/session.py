@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -57,3 +57,23 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     streaming checkpoints)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when its scan gives fewer
+    partitions than that (few large files or row groups).  At scale the file
+    scan already yields many splits and nothing is added.  Call it after the
+    cheap filters, so only candidate rows move."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage, so
+    several consumers read the result instead of recomputing it (and a lost
+    executor does not send the job back to the source scan)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
