@@ -63,7 +63,7 @@ def _block_rows(index: DataFrame, n_blocks: int) -> DataFrame:
         F.col("tokens"),
         F.col("embedding"),
     )
-    blk = F.pmod(F.xxhash64("policy_name", "clause_id"), F.lit(n_blocks)).cast("int") if n_blocks > 1 else F.lit(0)
+    blk = F.pmod(F.xxhash64("policy_name", "clause_id"), F.lit(n_blocks)).cast("int")
     return index.select(blk.alias("_blk"), cand.alias("c")).groupBy("_blk").agg(F.collect_list("c").alias("_cands"))
 
 
@@ -116,6 +116,23 @@ def retrieve_top1(
     q_vec = query_vec if query_vec is not None else F.lit(None).cast("array<float>")
     pol = policy if policy is not None else F.lit(None).cast("string")
 
+    stats = _stats(clauses_index)
+    n_cands, cand_bytes = stats
+    n_blocks = max(1, math.ceil(n_cands / block_size))
+    blocks = _block_rows(clauses_index, n_blocks)
+    return _retrieve(findings, blocks, n_blocks, cand_bytes, key, q_text, q_vec, pol, out, broadcast_bytes)
+
+
+_STATS: dict[int, tuple[DataFrame, tuple[int, int]]] = {}
+
+
+def _stats(clauses_index: DataFrame) -> tuple[int, int]:
+    """Number of candidates and their approximate size in bytes (one small
+    aggregate over the clause corpus, remembered per index DataFrame)."""
+    key = id(clauses_index)
+    hit = _STATS.get(key)
+    if hit is not None and hit[0] is clauses_index:
+        return hit[1]
     stats = clauses_index.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(
@@ -130,19 +147,21 @@ def retrieve_top1(
             F.lit(0),
         ).alias("bytes"),
     ).first()
-    n_cands, cand_bytes = int(stats["n"]), int(stats["bytes"])
-    n_blocks = max(1, math.ceil(n_cands / block_size))
-    blocks = _block_rows(clauses_index, n_blocks)
+    result = (int(stats["n"]), int(stats["bytes"]))
+    _STATS[key] = (clauses_index, result)
+    return result
 
+
+def _retrieve(findings, blocks, n_blocks, cand_bytes, key, q_text, q_vec, pol, out, broadcast_bytes):
     prepared = findings.select(
         "*",
         tokenize(q_text).alias("_qt"),
         q_vec.alias("_qv"),
         pol.alias("_pol"),
     )
-    fan = prepared.withColumn(
-        "_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))) if n_blocks > 1 else F.lit(0)
-    )
+    # one row per finding and block; a generator (not a literal) keeps the
+    # join an equi-join on the block id even for a single block
+    fan = prepared.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     blocks = F.broadcast(blocks) if cand_bytes <= broadcast_bytes else blocks
     joined = fan.join(blocks, "_blk", "left")
     best = _best_in_block(

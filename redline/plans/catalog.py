@@ -96,8 +96,16 @@ def clauses(spark: SparkSession) -> DataFrame:
     return load_policy_clauses(spark)
 
 
+_CLAUSE_INDEX: dict[int, DataFrame] = {}
+
+
 def clause_idx(spark: SparkSession) -> DataFrame:
-    return retrieve.clause_index(clauses(spark))
+    """The shipped policy corpus as a retrieval index, cached per session
+    (reference data of a few dozen rows)."""
+    key = id(spark)
+    if key not in _CLAUSE_INDEX:
+        _CLAUSE_INDEX[key] = retrieve.clause_index(clauses(spark)).cache()
+    return _CLAUSE_INDEX[key]
 
 
 def doc_findings(spark: SparkSession, d: str, keep_match: bool = False) -> DataFrame:
