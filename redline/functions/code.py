@@ -42,7 +42,7 @@ def blank_code(line: Column) -> Column:
 def first_sensitive_identifier(text: Column) -> Column:
     """Data type of the first identifier (left to right) that is sensitive."""
     kinds = F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0), classify_identifier)
-    return F.filter(kinds, lambda k: k.isNotNull())[0]
+    return F.try_element_at(F.filter(kinds, lambda k: k.isNotNull()), F.lit(1))
 
 
 def is_logging_call(receiver: Column, method: Column) -> Column:

@@ -189,3 +189,63 @@ def _retrieve(findings, blocks, n_blocks, cand_bytes, key, q_text, q_vec, pol, o
         ),
     )
     return scored.select(*[F.col(f"`{c}`") for c in base_cols], match.alias(out))
+
+
+def refresh_clause_index(
+    old: DataFrame | None,
+    clauses: DataFrame,
+    embedder=None,
+) -> tuple[DataFrame, DataFrame]:
+    """Upsert the clause index by (policy, clause id).
+
+    ``old``: ``(policy_name, clause_id, title, clause_text, stored_embedding)``
+    where ``stored_embedding`` is ``"{hash}|f0,f1,..."``.  New clauses are
+    inserted, existing ones get the new title and text, clauses only in
+    ``old`` are kept.  A stored vector is reused when its hash equals the
+    content hash of the new search text; otherwise the clause is embedded by
+    ``embedder`` (a DataFrame hook adding ``embedding`` for ``text``), or
+    keeps no vector when there is none.  Returns the index and one row of
+    counts (``reused``, ``embedded``).
+    """
+    from ..functions.policy import decode_embedding, encode_embedding
+
+    new = clause_index(clauses).drop("embedding")
+    if old is None:
+        old = clauses.sparkSession.createDataFrame(
+            [], "policy_name string, clause_id string, title string, clause_text string, stored_embedding string"
+        )
+    o = old.select(
+        F.col("policy_name").alias("o_policy"), F.col("clause_id").alias("o_clause"),
+        F.col("title").alias("o_title"), F.col("clause_text").alias("o_text"), "stored_embedding",
+    )
+    j = new.join(o, (F.upper(new["policy_name"]) == F.upper(o["o_policy"])) & (new["clause_id"] == o["o_clause"]), "full_outer")
+    j = j.withColumn("cached", F.when(F.col("clause_id").isNotNull(), decode_embedding(F.col("stored_embedding"), F.col("content_hash"))))
+    is_new_side = F.col("clause_id").isNotNull()
+    stale = j.where(~is_new_side).select(
+        F.col("o_policy").alias("policy_name"), F.col("o_clause").alias("clause_id"), F.col("o_title").alias("title"),
+        F.col("o_text").alias("clause_text"), F.lit(None).cast("array<float>").alias("embedding"),
+        "stored_embedding", F.lit("kept").alias("action"),
+    )
+    current = j.where(is_new_side)
+    reuse = current.where(F.col("cached").isNotNull())
+    todo = current.where(F.col("cached").isNull())
+    base_cols = ["policy_name", "clause_id", "title", "clause_text"]
+    reused = reuse.select(*base_cols, F.col("cached").alias("embedding"), "stored_embedding", F.lit("reused").alias("action"))
+    if embedder is not None:
+        emb = embedder(todo.select(*base_cols, "content_hash", F.col("search_text").alias("text")))
+        embedded = emb.select(
+            *base_cols, F.col("embedding").cast("array<float>").alias("embedding"),
+            encode_embedding(F.col("content_hash"), F.col("embedding")).alias("stored_embedding"),
+            F.lit("embedded").alias("action"),
+        )
+    else:
+        embedded = todo.select(
+            *base_cols, F.lit(None).cast("array<float>").alias("embedding"), "stored_embedding",
+            F.lit("unembedded").alias("action"),
+        )
+    index = reused.unionByName(embedded).unionByName(stale)
+    counts = index.agg(
+        F.count(F.when(F.col("action") == "reused", 1)).cast("bigint").alias("reused"),
+        F.count(F.when(F.col("action") == "embedded", 1)).cast("bigint").alias("embedded"),
+    )
+    return index, counts
