@@ -64,6 +64,8 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     partitions than that (few large files or row groups).  At scale the file
     scan already yields many splits and nothing is added.  Call it after the
     cheap filters, so only candidate rows move."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
