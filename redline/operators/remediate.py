@@ -165,15 +165,40 @@ def dropped_columns(plan: DataFrame, dataset: str) -> list[str]:
     return [r["c"] for r in rows]
 
 
+MAX_LITERAL_OPS = 10_000
+
+
 def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame) -> DataFrame:
     """The cleaned copy of ``df``: dropped columns removed, masked and
-    anonymised values replaced (all values as the scanner's strings)."""
+    anonymised values replaced (all values as the scanner's strings).
+
+    The chains are bounded by the dataset's columns times the distinct fix
+    kinds; they are fetched (size checked) and folded as literal
+    expressions, so the table is rewritten by one projection with no join.
+    Beyond ``MAX_LITERAL_OPS`` the single chains row is joined instead.
+    """
     drop = set(dropped_columns(plan, dataset))
-    chains = column_chains(plan).where(F.col("target_file") == dataset).select(
-        F.col("target_file").alias("_ds"), "chains"
-    )
+    chains = column_chains(plan).where(F.col("target_file") == dataset)
+    n_ops = chains.select(F.coalesce(F.sum(F.aggregate(F.map_values("chains"), F.lit(0), lambda a, x: a + F.size(x))), F.lit(0))).first()[0]
     keep = [c for c in df.columns if c.lower() not in drop]
-    joined = df.withColumn("_ds", F.lit(dataset)).join(F.broadcast(chains), "_ds", "left")
+    if n_ops <= MAX_LITERAL_OPS:
+        row = chains.select("chains").first()
+        lit_chains = dict(row["chains"]) if row is not None else {}
+        out = []
+        for c in keep:
+            v = F.col(f"`{c}`").cast("string")
+            ops = lit_chains.get(c.lower()) or []
+            for op in ops:
+                if op["tool"] == "MASK_COLUMN":
+                    v = mask(v, op["style"])
+                elif op["tool"] == "ANONYMIZE_COLUMN":
+                    for _ in range(max(1, int(op["times"]))):
+                        v = anonymize(v, op["salt"])
+            out.append(v.alias(c))
+        return df.select(*out)
+    joined = df.withColumn("_ds", F.lit(dataset)).join(
+        F.broadcast(chains.select(F.col("target_file").alias("_ds"), "chains")), "_ds", "left"
+    )
     empty = F.array().cast("array<struct<tool:string,style:string,salt:string,times:int>>")
     out = []
     for c in keep:
