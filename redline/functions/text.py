@@ -23,8 +23,16 @@ def trim_ws(col: Column) -> Column:
 
 
 def has_non_blank(col: Column) -> Column:
-    """True when the value holds at least one non-white-space character."""
-    return F.coalesce(F.regexp_replace(col, f"{_WS_CLASS}+", "") != F.lit(""), F.lit(False))
+    """True when the value holds at least one non-white-space character
+    (the first character decides in the common case; the regex runs only
+    on values that start with white space)."""
+    first = F.substring(col, 1, 1)
+    non_ws = "[^" + R.WHITESPACE_CHARS + "]"
+    return (
+        F.when(col.isNull() | (F.length(col) == 0), F.lit(False))
+        .when(~first.isin(*list(R.WHITESPACE_CHARS)), F.lit(True))
+        .otherwise(col.rlike(non_ws))
+    )
 
 
 def may_hit_default_rules(text: Column) -> Column:

@@ -1,19 +1,27 @@
 """Column (tabular) detection.
 
-Tables are brought to the long form ``cells(dataset, row_key, col_pos,
-column_name, value)``; the first k non-blank values of every column are
-taken with a window top-k (Catalyst plans a partial ``WindowGroupLimit``
-before the shuffle, so at most k rows per column and map task move), and
-each column is classified by name and by the values of its samples.
+The first k non-blank values of every column (in row order) are sampled,
+and each column is classified by its name and by the values of its samples.
+
+* Tables (``scan_table``): one top-k per column — ``where(non-blank)
+  .orderBy(key).limit(k)`` plans as ``TakeOrderedAndProject``: every task
+  keeps a k-row heap (no sort, no unpivot, values cast to text only for the
+  survivors) and Parquet reads just the key and that column.
+* Parsed files (``scan_columns`` over long-form ``cells``): a window
+  ``row_number() <= k`` that Catalyst plans with a partial
+  ``WindowGroupLimit`` before the exchange.
+
 Whole columns are never grouped on one task: only the k samples are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.columns import (
@@ -54,6 +62,52 @@ def table_cells(
     ).select("dataset", "row_key", "c.col_pos", "c.column_name", "c.value")
 
 
+def _present(c: Column, dtype: T.DataType) -> Column:
+    """Non-blank test: non-text columns only need a value; text needs a
+    non-white-space character (first character checked first)."""
+    if not isinstance(dtype, T.StringType):
+        return c.isNotNull()
+    return has_non_blank(c)
+
+
+def sample_table_values(
+    df: DataFrame,
+    dataset: str,
+    order_by: str | list[str],
+    k: int = R.SAMPLE_VALUES_PER_COLUMN,
+    columns: Iterable[str] | None = None,
+) -> DataFrame:
+    """First ``k`` non-blank values of every column of a table in ``order_by``
+    order (a unique key): ``(dataset, col_pos, column_name, sample_ord,
+    value)``, one top-k per column."""
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    cols = list(columns) if columns is not None else list(df.columns)
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    parts = []
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        parts.append(
+            df.where(_present(col, types[c]))
+            .select(
+                *[F.col(f"`{kc}`").alias(f"_k{j}") for j, kc in enumerate(keys)],
+                F.lit(i).cast("int").alias("col_pos"),
+                col.cast("string").alias("value"),
+            )
+            .orderBy(*[F.col(f"_k{j}").asc() for j in range(len(keys))])
+            .limit(k)
+        )
+    tops = reduce(lambda a, b: a.unionByName(b), parts)
+    names = F.array(*[F.lit(c) for c in cols])
+    w = Window.partitionBy("col_pos").orderBy(*[F.col(f"_k{j}").asc() for j in range(len(keys))])
+    return tops.select(
+        F.lit(dataset).alias("dataset"),
+        "col_pos",
+        F.element_at(names, F.col("col_pos") + 1).alias("column_name"),
+        F.row_number().over(w).cast("int").alias("sample_ord"),
+        "value",
+    )
+
+
 def sample_column_values(cells: DataFrame, k: int = R.SAMPLE_VALUES_PER_COLUMN) -> DataFrame:
     """First ``k`` non-blank values of every column in row order:
     ``(dataset, col_pos, column_name, sample_ord, value)``."""
@@ -96,10 +150,9 @@ def classify_columns(
     )
 
 
-def scan_columns(
-    cells: DataFrame,
+def scan_samples(
+    samples: DataFrame,
     scan_id: Column | str = "scan",
-    k: int = R.SAMPLE_VALUES_PER_COLUMN,
     entity_counts: Callable[[Column], Column] = entity_category_counts,
     created_at: Column | None = None,
 ) -> DataFrame:
@@ -107,7 +160,7 @@ def scan_columns(
     name type (``AZURE`` vs ``KEYWORD``).  Columns with no non-blank value
     or a blank name give nothing."""
     scan_col = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
-    per_col = classify_columns(column_samples(sample_column_values(cells, k)), entity_counts)
+    per_col = classify_columns(column_samples(samples), entity_counts)
     per_col = per_col.where(has_non_blank(F.col("column_name")))
     per_col = per_col.where(F.col("name_type").isNotNull() | F.col("value_type").isNotNull())
     return per_col.select(
@@ -129,6 +182,17 @@ def scan_columns(
     )
 
 
+def scan_columns(
+    cells: DataFrame,
+    scan_id: Column | str = "scan",
+    k: int = R.SAMPLE_VALUES_PER_COLUMN,
+    entity_counts: Callable[[Column], Column] = entity_category_counts,
+    created_at: Column | None = None,
+) -> DataFrame:
+    """Column findings of long-form cells (parsed CSV/JSON files)."""
+    return scan_samples(sample_column_values(cells, k), scan_id, entity_counts, created_at)
+
+
 def scan_table(
     df: DataFrame,
     dataset: str,
@@ -136,8 +200,8 @@ def scan_table(
     scan_id: Column | str = "scan",
     k: int = R.SAMPLE_VALUES_PER_COLUMN,
 ) -> DataFrame:
-    """``scan_columns`` over one table."""
-    return scan_columns(table_cells(df, dataset, order_by), scan_id=scan_id, k=k)
+    """Column findings of one table (``order_by``: a unique row key)."""
+    return scan_samples(sample_table_values(df, dataset, order_by, k), scan_id=scan_id)
 
 
 def union_cells(frames: list[DataFrame]) -> DataFrame:

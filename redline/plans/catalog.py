@@ -121,7 +121,11 @@ def column_cells(spark: SparkSession, d: str, names: list[str] | None = None) ->
 
 
 def column_findings(spark: SparkSession, d: str, names: list[str] | None = None) -> DataFrame:
-    frames = [detect_columns.scan_columns(c, scan_id="tables") for c in column_cells(spark, d, names)]
+    frames = [
+        detect_columns.scan_table(table(spark, d, name), name, key, scan_id="tables")
+        for name, key in COLUMN_TABLES
+        if names is None or name in names
+    ]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -243,7 +247,11 @@ def q_source_type(spark, d):
 
 
 def _samples(spark, d, names):
-    frames = [detect_columns.sample_column_values(c) for c in column_cells(spark, d, names)]
+    frames = [
+        detect_columns.sample_table_values(table(spark, d, name), name, key)
+        for name, key in COLUMN_TABLES
+        if names is None or name in names
+    ]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
