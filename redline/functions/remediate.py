@@ -61,3 +61,27 @@ def redact_lines(content: Column, notes: Column) -> Column:
 
 def line_count(content: Column) -> Column:
     return F.size(F.split(content, "\n", -1))
+
+
+def parse_fix_args(json_text: Column) -> Column:
+    """Fix arguments from JSON text: an object only (anything else, or bad
+    JSON, gives an empty map); non-string values keep their JSON text; keys
+    are lower-cased for case-insensitive lookup."""
+    parsed = F.from_json(json_text, "map<string,string>")
+    is_obj = F.ltrim(F.coalesce(json_text, F.lit(""))).startswith("{")
+    m = F.when(is_obj, parsed)
+    return lower_keys(F.coalesce(m, F.create_map().cast("map<string,string>")))
+
+
+def lower_keys(m: Column) -> Column:
+    """Map with lower-cased keys; of keys equal ignoring case the last one
+    wins."""
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def last(e: Column, i: Column) -> Column:
+        # no later entry (position > i) carries the same key
+        later = F.filter(entries, lambda x, j: j > i)
+        return ~F.exists(later, lambda x: x["k"] == e["k"])
+
+    kept = F.filter(entries, last)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.reason import location_column, location_file_name, location_line
-from ..functions.remediate import anonymize, mask, redact_lines, redaction_note
+from ..functions.remediate import anonymize, lower_keys, mask, redact_lines, redaction_note
 
 COLUMN_TOOLS = ["MASK_COLUMN", "DROP_COLUMN", "ANONYMIZE_COLUMN"]
 DEFAULT_LABEL = "redline"
 
 
 def _args_lower(args: Column) -> Column:
-    return F.transform_keys(F.coalesce(args, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    return lower_keys(F.coalesce(args, F.create_map().cast("map<string,string>")))
 
 
 def fix_plan(approved: DataFrame, files: DataFrame) -> DataFrame:

@@ -146,3 +146,31 @@ def annotate_columns(columns: DataFrame, findings: DataFrame) -> DataFrame:
         F.col("f.data_type").alias("data_type"),
         F.col("f.severity").alias("severity"),
     )
+
+
+def scan_detail(scans: DataFrame, findings: DataFrame, sources: DataFrame) -> DataFrame:
+    """Scan status and score with every file of the scan (its current
+    content) and the number of findings in it; flat, one row per file."""
+    per_file = findings.groupBy("scan_id", "file_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_findings"))
+    score = compliance_score(findings, scans).select("scan_id", "compliance_score")
+    files = sources.select("scan_id", "file_name", "content")
+    return (
+        scans.select("scan_id", "policy_id", "status")
+        .join(score, "scan_id", "left")
+        .join(files, "scan_id", "left")
+        .join(per_file, ["scan_id", "file_name"], "left")
+        .fillna(0, ["n_findings"])
+    )
+
+
+def policy_summary(clauses: DataFrame) -> DataFrame:
+    """Clauses per policy with the policy's description (NULL when
+    unknown), ordered by name."""
+    from ..functions.policy import policy_description
+
+    return (
+        clauses.groupBy("policy_name")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("clause_count"))
+        .select("policy_name", policy_description(F.col("policy_name")).alias("description"), "clause_count")
+        .orderBy("policy_name")
+    )

@@ -576,6 +576,14 @@ def q_annotate_columns(spark, d):
     return report.annotate_columns(cols, f).select("file_name", _i("col_pos").alias("col_pos"), "column_name", "finding_id", "data_type")
 
 
+def q_scan_detail(spark, d):
+    f = enriched_doc_findings(spark, d)
+    return report.scan_detail(scans(spark, d), f, doc_sources(spark, d)).select(
+        "scan_id", "policy_id", "status", _i("compliance_score").alias("compliance_score"), "file_name",
+        _i(F.length("content")).alias("content_length"), "n_findings",
+    )
+
+
 def q_permanent_fix(spark, d):
     f = enriched_doc_findings(spark, d)
     return f.select("finding_id", permanent_fix_advice(F.col("data_type"), F.col("fix_tool")).alias("advice"))

@@ -674,6 +674,18 @@ def _q() -> dict[str, str]:
         "SELECT cc.file_name, CAST(cc.col_pos AS BIGINT) AS col_pos, cc.column_name, p.finding_id, p.data_type FROM cc "
         "LEFT JOIN pcf p ON cc.file_name = p.file_name AND trim(cc.column_name) = p.column_name",
     )
+    q["scan_detail"] = with_(
+        doc_enriched_ctes() + [
+            "cnt AS (SELECT scan_id, count(*) FILTER (WHERE e_severity = 'CRITICAL') AS critical, "
+            "count(*) FILTER (WHERE e_severity = 'HIGH') AS high FROM ef GROUP BY scan_id)",
+            "pf AS (SELECT scan_id, file_name, count(*) AS n FROM ef GROUP BY scan_id, file_name)",
+        ],
+        "SELECT sc.scan_id, sc.policy_id, sc.status, CAST(greatest(0, 100 - coalesce(c.critical, 0) * "
+        f"{R.COMPLIANCE_CRITICAL_PENALTY} - coalesce(c.high, 0) * {R.COMPLIANCE_HIGH_PENALTY}) AS BIGINT) AS compliance_score, "
+        "s.file_name, CAST(length(s.content) AS BIGINT) AS content_length, CAST(coalesce(pf.n, 0) AS BIGINT) AS n_findings "
+        "FROM sc LEFT JOIN cnt c ON sc.scan_id = c.scan_id LEFT JOIN src s ON sc.scan_id = s.scan_id "
+        "LEFT JOIN pf ON s.scan_id = pf.scan_id AND s.file_name = pf.file_name",
+    )
     t = "upper(coalesce(data_type, ''))"
     adv = " ".join(
         "WHEN " + " OR ".join(f"contains({t}, {s(n)})" for n in needles) + f" THEN {s(text)}"

@@ -121,3 +121,46 @@ def test_scores_and_summary(spark):
     assert b == {"s": ("High risk", "High risk")}
     sc = report.severity_counts(f).first()
     assert (sc.critical, sc.high, sc.medium, sc.low, sc.total) == (2, 2, 1, 0, 5)
+
+
+def test_parse_fix_args(spark):
+    from redline.functions.remediate import parse_fix_args
+
+    vals = ['{"Column": "Email", "style": "full", "n": 5, "column": "ssn"}', "[1, 2]", "not json", None, '{"a": {"b": 1}}']
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r[0] for r in df.select(parse_fix_args(F.col("v"))).collect()]
+    assert got[0] == {"style": "full", "n": "5", "column": "ssn"}
+    assert got[1] == {} and got[2] == {} and got[3] == {}
+    assert got[4] == {"a": '{"b":1}'}
+
+
+def test_status_views_and_policy_summary(spark):
+    from redline.functions.report import finding_status_view, scan_status_view, source_type
+    from redline.sources.policies import load_policy_clauses
+
+    df = spark.createDataFrame([("DONE", "APPROVED", "a.CSV:column=x"), ("ERROR", "rejected", "b.cs:3"), ("SCANNING", "PENDING_REVIEW", "c.json"), (None, None, None)], "s string, f string, l string")
+    got = [tuple(r) for r in df.select(scan_status_view(F.col("s")), finding_status_view(F.col("f")), source_type(F.col("l"))).collect()]
+    assert got == [("done", "approved", "dataset"), ("done", "rejected", "code"), ("running", "pending", "dataset"), ("pending", "pending", "code")]
+    ps = [tuple(r) for r in report.policy_summary(load_policy_clauses(spark)).collect()]
+    assert ps == [("GDPR", "EU General Data Protection Regulation", 7), ("HIPAA", "US Health Insurance Portability and Accountability Act", 7)]
+
+
+def test_persist_and_export(spark, scratch):
+    import json
+    import os
+
+    from redline.operators.detect_text import scan_text
+    from redline.sources.tables import export_report, persist_findings, read_findings
+
+    src = spark.createDataFrame([("1", "a.txt", "mail a@b.io", None, "s1"), ("2", "b.txt", "ip 10.0.0.1", None, "s2")], "source_id string, file_name string, content string, language string, scan_id string")
+    f = scan_text(src)
+    path = os.path.join(scratch, "findings")
+    persist_findings(f, path)
+    assert sorted(os.listdir(path))[:2] == ["_SUCCESS", "scan_id=s1"] or "scan_id=s1" in os.listdir(path)
+    assert read_findings(spark, path, "s2").count() == 1
+    persist_findings(f.where("scan_id = 's1'"), path)  # replaces only scan s1
+    assert read_findings(spark, path).count() == 2
+    out = os.path.join(scratch, "report")
+    export_report(report.audit_report(spark.createDataFrame([("s1", "ALL")], "scan_id string, policy_id string"), f), out)
+    lines = [l for p in os.listdir(out) if p.startswith("part-") for l in open(os.path.join(out, p))]
+    assert len(lines) == 1 and json.loads(lines[0])["scan_id"] == "s1"
