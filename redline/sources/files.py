@@ -54,40 +54,33 @@ def as_sources(
 
 
 def read_sources(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Every file under ``path`` read whole as one text row.
+    """Every file under ``path`` read whole as one text row (UTF-8;
+    undecodable bytes become U+FFFD).
 
-    Files that cannot be decoded are skipped (``ignoreCorruptFiles``); a
-    missing folder gives an empty result.  ``max_bytes`` drops files larger
-    than the bound before they are read (one row must fit in a task).
+    Files that cannot be read are skipped (``ignoreCorruptFiles``); a missing
+    folder gives an empty result.  ``max_bytes`` drops larger files before
+    their contents are read (the ``length`` filter is pushed into the
+    binary-file listing), since one file is one row and must fit a task.
     """
     from ..schemas import SOURCES
 
     try:
-        listing = (
+        files = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("ignoreCorruptFiles", "true")
             .load(path)
-            .select("path", "length")
         )
-        if max_bytes is not None:
-            listing = listing.where(F.col("length") <= F.lit(max_bytes))
-        texts = (
-            spark.read.option("recursiveFileLookup", "true")
-            .option("ignoreCorruptFiles", "true")
-            .text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-        )
-        if max_bytes is not None:
-            texts = texts.join(listing.select("path"), "path", "left_semi")
     except Exception as exc:  # missing folder -> empty table
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], SOURCES)
         raise
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= F.lit(max_bytes))
     file_name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
-    return texts.select(
+    return files.select(
         F.sha2(F.col("path"), 256).substr(1, 16).alias("source_id"),
         file_name.alias("file_name"),
-        F.col("content"),
+        F.decode(F.col("content"), "UTF-8").alias("content"),
         guess_language(file_name).alias("language"),
     )

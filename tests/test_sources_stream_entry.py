@@ -93,3 +93,26 @@ def test_oracle_matches_on_small_sample(spark):
         dk = dk[sorted(dk.columns)]
         dd = sorted(tuple(str(x) for x in r) for r in dk.itertuples(index=False))
         assert sp == dd, k
+
+
+def test_read_sources_size_bound(spark, scratch):
+    open(os.path.join(scratch, "small.txt"), "w").write("a@b.io")
+    open(os.path.join(scratch, "big.txt"), "w").write("x" * 5000)
+    got = sorted(r.file_name for r in read_sources(spark, scratch, max_bytes=1000).collect())
+    assert got == ["small.txt"]
+
+
+def test_whole_scan_on_mock_files(spark, mock_sources):
+    from redline.plans.scan import scan
+    from redline.sources.policies import load_policy_clauses
+
+    scans = spark.createDataFrame([("s1", "gdpr")], "scan_id string, policy_id string")
+    f = scan(mock_sources.withColumn("scan_id", F.lit("s1")), load_policy_clauses(spark), scans=scans)
+    rows = f.collect()
+    assert all(r.status == "PENDING_REVIEW" and r.policy_clause_id.startswith("GDPR") for r in rows)
+    by_loc = {(r.location, r.detected_by): (r.data_type, r.severity, r.fix_tool) for r in rows}
+    assert by_loc[("customers.csv:column=ssn", "AZURE")] == ("SSN", "CRITICAL", "DROP_COLUMN")
+    assert by_loc[("customers.csv:column=email", "AZURE")] == ("EMAIL", "HIGH", "MASK_COLUMN")
+    assert by_loc[("patients.csv:column=diagnosis", "KEYWORD")] == ("DIAGNOSIS", "MEDIUM", "ANONYMIZE_COLUMN")
+    assert by_loc[("auth.cs:16", "ROSLYN")] == ("EMAIL", "HIGH", "REDACT_CODE_LINE")
+    assert by_loc[("config.cs:5", "ROSLYN")] == ("API_KEY", "CRITICAL", "REDACT_CODE_LINE")
