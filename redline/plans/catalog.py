@@ -51,6 +51,8 @@ COLUMN_TABLES: list[tuple[str, str | list[str]]] = [
     ("region", "r_regionkey"),
     ("orders", "o_orderkey"),
     ("lineitem", ["l_orderkey", "l_linenumber"]),
+    ("events", "event_id"),
+    ("documents", "doc_id"),
 ]
 SAMPLE_TABLES = ["customer", "supplier", "part"]
 SCAN_POLICY_CYCLE = ["ALL", "gdpr", "HIPAA", "Secrets"]
@@ -229,6 +231,32 @@ def q_scan_pages(spark, d):
     )
 
 
+def q_scan_conversations(spark, d):
+    """Negative text scan: conversation turns hold no personal data."""
+    turns = table(spark, d, "conversations").withColumn("turn_id", F.concat_ws("/", "conv_id", "turn"))
+    src = as_sources(turns, "turn_id", "text", "conversations/")
+    return detect_text.scan_text(src, scan_id="conversations").select("finding_id", "file_name", _i("line_no").alias("line_no"), "data_type")
+
+
+def q_scan_benchmark(spark, d):
+    """Negative text scan over the benchmark passages."""
+    src = as_sources(table(spark, d, "benchmark"), "item_id", "text", "benchmark/")
+    return detect_text.scan_text(src, scan_id="benchmark").select("finding_id", "file_name", _i("line_no").alias("line_no"), "data_type")
+
+
+def q_findings_by_label(spark, d):
+    """Findings per labelled document (documents ⋈ labels on doc_id)."""
+    f = doc_findings(spark, d).select(
+        F.regexp_extract("file_name", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "data_type"
+    )
+    per_doc = f.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_findings"))
+    lab = table(spark, d, "labels")
+    return lab.join(per_doc, "doc_id", "left").select(
+        _i("doc_id").alias("doc_id"), _i("quality").alias("quality"), _i("toxic").alias("toxic"),
+        F.coalesce("n_findings", F.lit(0)).cast("bigint").alias("n_findings"),
+    )
+
+
 def q_split_lines(spark, d):
     return detect_text.split_source_lines(doc_sources(spark, d)).select(
         "file_name", _i("line_no").alias("line_no"), "line"

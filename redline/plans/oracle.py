@@ -29,6 +29,8 @@ TABLE_COLUMNS = {
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
 }
 
 
@@ -433,6 +435,23 @@ def _q() -> dict[str, str]:
         [src_pages("src"), lines("ln", "src", R.LINE_PREFILTER), matches("mt", "ln", R.TEXT_RULES), text_findings("tf", "mt")],
         "SELECT finding_id, file_name, line_no, data_type, CAST(rule_ord AS BIGINT) AS rule_ord, match_ord, snippet FROM tf",
     )
+    for key, tbl, idc, col in (("scan_conversations", "conversations", "conv_id", "text"), ("scan_benchmark", "benchmark", "item_id", "text")):
+        if tbl == "conversations":
+            name = "'conversations/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"
+        else:
+            name = "'benchmark/' || CAST(item_id AS VARCHAR)"
+        q[key] = with_(
+            [f"src AS (SELECT {s(tbl)} AS scan_id, {name} AS file_name, {col} AS content FROM {tbl})",
+             lines("ln", "src", R.LINE_PREFILTER), matches("mt", "ln", R.TEXT_RULES), text_findings("tf", "mt")],
+            "SELECT finding_id, file_name, line_no, data_type FROM tf",
+        )
+    q["findings_by_label"] = with_(
+        doc_findings_ctes() + [
+            "pd AS (SELECT CAST(regexp_extract(file_name, '(\\d+)$', 1) AS BIGINT) AS doc_id, count(*) AS n FROM tf GROUP BY 1)"
+        ],
+        "SELECT CAST(l.doc_id AS BIGINT) AS doc_id, CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic, "
+        "CAST(coalesce(pd.n, 0) AS BIGINT) AS n_findings FROM labels l LEFT JOIN pd ON l.doc_id = pd.doc_id",
+    )
     q["split_lines"] = with_([src_docs(), lines("ln", "src")], "SELECT file_name, line_no, line FROM ln")
     exts = "[" + ", ".join(s(e) for e in C.STANDIN_EXTENSIONS) + "]"
     fn_cte = f"fn AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) || {exts}[(doc_id % {len(C.STANDIN_EXTENSIONS)}) + 1] AS file_name FROM documents)"
