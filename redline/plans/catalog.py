@@ -644,4 +644,4 @@ def q_running_score(spark, d):
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
-ROWS_ONLY = {"normalize_response", "stream_scan", "running_score"}
+ROWS_ONLY: set[str] = set()

@@ -445,6 +445,20 @@ def _q() -> dict[str, str]:
              lines("ln", "src", R.LINE_PREFILTER), matches("mt", "ln", R.TEXT_RULES), text_findings("tf", "mt")],
             "SELECT finding_id, file_name, line_no, data_type FROM tf",
         )
+    q["normalize_response"] = with_(
+        doc_findings_ctes() + [clauses_cte()] + enriched_ctes("tf", None),
+        "SELECT finding_id, e_severity AS severity, policy_clause_id, fix_tool, fix_args FROM ef",
+    )
+    q["stream_scan"] = with_(doc_findings_ctes(), "SELECT finding_id, scan_id, data_type, location FROM tf")
+    q["running_score"] = with_(
+        doc_findings_ctes() + [
+            f"rs AS (SELECT scan_id, {severity_expr('data_type')} AS sev FROM tf)",
+            "ag AS (SELECT scan_id, CAST(count(*) FILTER (WHERE sev = 'CRITICAL') AS BIGINT) AS critical, "
+            "CAST(count(*) FILTER (WHERE sev = 'HIGH') AS BIGINT) AS high, CAST(count(*) AS BIGINT) AS total FROM rs GROUP BY scan_id)",
+        ],
+        f"SELECT scan_id, critical, high, total, CAST(greatest(0, 100 - critical * {R.COMPLIANCE_CRITICAL_PENALTY} - "
+        f"high * {R.COMPLIANCE_HIGH_PENALTY}) AS INTEGER) AS compliance_score FROM ag",
+    )
     q["findings_by_label"] = with_(
         doc_findings_ctes() + [
             "pd AS (SELECT CAST(regexp_extract(file_name, '(\\d+)$', 1) AS BIGINT) AS doc_id, count(*) AS n FROM tf GROUP BY 1)"
