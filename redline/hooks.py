@@ -21,6 +21,7 @@ from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 Detector = Callable[[DataFrame], DataFrame]
 Embedder = Callable[[DataFrame], DataFrame]
@@ -52,7 +53,7 @@ def pandas_embedder(embed_batch: Callable[[list[str]], list[list[float]]], text_
     ``mapInPandas`` (Arrow batches, one model load per task)."""
 
     def hook(df: DataFrame) -> DataFrame:
-        schema = df.schema.add("embedding", "array<float>")
+        schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -69,7 +70,7 @@ def pandas_reasoner(answer_batch: Callable[[pd.DataFrame], list[str]]) -> Reason
     (``raw_1``), run with ``mapInPandas``."""
 
     def hook(df: DataFrame) -> DataFrame:
-        schema = df.schema.add("raw_1", "string")
+        schema = T.StructType(df.schema.fields + [T.StructField("raw_1", T.StringType())])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

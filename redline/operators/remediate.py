@@ -175,7 +175,8 @@ def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame) -> DataFram
     The chains are bounded by the dataset's columns times the distinct fix
     kinds; they are fetched (size checked) and folded as literal
     expressions, so the table is rewritten by one projection with no join.
-    Beyond ``MAX_LITERAL_OPS`` the single chains row is joined instead.
+    Beyond ``MAX_LITERAL_OPS`` the single chains row is joined instead
+    (AQE picks the join from its measured size).
     """
     drop = set(dropped_columns(plan, dataset))
     chains = column_chains(plan).where(F.col("target_file") == dataset)
@@ -197,7 +198,7 @@ def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame) -> DataFram
             out.append(v.alias(c))
         return df.select(*out)
     joined = df.withColumn("_ds", F.lit(dataset)).join(
-        F.broadcast(chains.select(F.col("target_file").alias("_ds"), "chains")), "_ds", "left"
+        chains.select(F.col("target_file").alias("_ds"), "chains"), "_ds", "left"
     )
     empty = F.array().cast("array<struct<tool:string,style:string,salt:string,times:int>>")
     out = []
