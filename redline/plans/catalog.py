@@ -6,8 +6,8 @@ fixed rules, and only give rows in the schema the job expects:
 
 * a *scan* is one ``documents.source``; its policy id is picked from the
   source number (``ALL``, ``gdpr``, ``HIPAA``, ``Secrets`` in turn);
-* review *decisions* are derived from each finding's line and rule
-  (APPROVE, REJECT or none in turn), by ``reviewer``, without a time;
+* review *decisions*: ``reviewer`` approves CRITICAL and EMAIL findings,
+  rejects IP findings, leaves the rest pending (no decision time);
 * file names with extensions for the routing views are built from
   ``doc_id`` and a fixed list of extensions.
 """
@@ -140,11 +140,15 @@ def enriched_doc_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decisions(findings: DataFrame) -> DataFrame:
-    """Stand-in review decisions derived from line and rule numbers."""
-    k = F.pmod(F.coalesce(F.col("line_no"), F.lit(0)) + F.coalesce(F.col("rule_ord"), F.lit(0)), F.lit(3))
+    """Stand-in review decisions: a reviewer approves every CRITICAL and
+    every EMAIL finding, rejects IP findings and leaves the rest pending."""
+    action = (
+        F.when((F.col("severity") == "CRITICAL") | (F.col("data_type") == "EMAIL"), F.lit("APPROVE"))
+        .when(F.col("data_type") == "IP", F.lit("REJECT"))
+    )
     return findings.select(
         "finding_id",
-        F.when(k == 0, F.lit("APPROVE")).when(k == 1, F.lit("REJECT")).alias("action"),
+        action.alias("action"),
         F.lit(REVIEWER).alias("approved_by"),
         F.lit(None).cast("timestamp").alias("decided_at"),
     ).where(F.col("action").isNotNull())

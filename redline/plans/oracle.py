@@ -361,9 +361,9 @@ def doc_enriched_ctes() -> list[str]:
 
 
 def reviewed_ctes() -> list[str]:
-    k = "((coalesce(line_no, 0) + coalesce(rule_ord, 0)) % 3)"
     return doc_enriched_ctes() + [
-        f"dec AS (SELECT finding_id, CASE WHEN {k} = 0 THEN 'APPROVE' WHEN {k} = 1 THEN 'REJECT' END AS action FROM ef)",
+        "dec AS (SELECT finding_id, CASE WHEN e_severity = 'CRITICAL' OR data_type = 'EMAIL' THEN 'APPROVE' "
+        "WHEN data_type = 'IP' THEN 'REJECT' END AS action FROM ef)",
         "rv AS (SELECT ef.*, CASE WHEN d.action = 'REJECT' THEN 'REJECTED' WHEN d.action = 'APPROVE' THEN 'APPROVED' "
         "ELSE 'PENDING_REVIEW' END AS r_status, CASE WHEN d.action = 'APPROVE' THEN "
         f"{s(C.REVIEWER)} END AS approved_by FROM ef LEFT JOIN dec d ON ef.finding_id = d.finding_id)",
