@@ -7,11 +7,12 @@
   HTTP client methods, with at least one argument holding a sensitive
   identifier; one finding per call.
 
-Limits of the text tier (no syntax tree): calls whose argument list does not
-close on the same line are not seen; block comments and multi-line string
-literals are not blanked; identifiers inside interpolated-string holes are
-blanked with the string; nested calls inside a flagged call's arguments are
-not reported separately.
+Calls may span lines (matched on the whole blanked source).  Limits of the
+text tier (no syntax tree): argument lists nest at most three parentheses
+deep; block comments and multi-line string literals are not blanked;
+identifiers inside interpolated-string holes are blanked with the string;
+nested calls inside a flagged call's arguments are not reported separately;
+identifiers of the arguments are checked left to right.
 """
 
 from __future__ import annotations
@@ -93,21 +94,52 @@ def sensitive_literal_assignment(
 
 
 def member_calls(sources: DataFrame) -> DataFrame:
-    """Member calls per line (strings and comments blanked):
-    ``(file_name, line_no, line, call_ord, receiver, method, args)``."""
-    lines = _lines(with_scan_id(sources, None), r"\.\s*[A-Za-z_][A-Za-z0-9_]*\s*\(")
-    code = blank_code(F.col("line"))
+    """Member calls of every source, also when the argument list spans
+    several lines: ``(file_name, line_no, line, call_ord, receiver, method,
+    args)``.
+
+    Strings and line comments are blanked line by line (line breaks are
+    kept), calls are matched on the whole blanked text, each match is located
+    after the previous one to get its offset, and the line number is one plus
+    the line breaks before the call's first non-blank character.
+    """
+    src = with_scan_id(sources, None).where(F.col("content").rlike(r"\.\s*[A-Za-z_][A-Za-z0-9_]*\s*\("))
+    raw_lines = F.split(F.col("content"), "\n", -1)
+    blanked = F.array_join(F.transform(raw_lines, blank_code), "\n")
     pat = F.lit(MEMBER_CALL)
-    calls = F.arrays_zip(
-        F.regexp_extract_all(code, pat, 1).alias("receiver"),
-        F.regexp_extract_all(code, pat, 2).alias("method"),
-        F.regexp_extract_all(code, pat, 3).alias("args"),
+    b = src.select(
+        "scan_id", "file_name", raw_lines.alias("raw_lines"), blanked.alias("code"),
+    ).select(
+        "scan_id", "file_name", "raw_lines", "code",
+        F.regexp_extract_all(F.col("code"), pat, 0).alias("m0"),
+        F.regexp_extract_all(F.col("code"), pat, 1).alias("m1"),
+        F.regexp_extract_all(F.col("code"), pat, 2).alias("m2"),
+        F.regexp_extract_all(F.col("code"), pat, 3).alias("m3"),
+    )
+    code = F.col("code")
+
+    def step(acc: Column, m: Column) -> Column:
+        pos = F.call_function("locate", m, code, acc["next"])
+        lead = F.length(F.regexp_extract(m, r"^(\s*)", 1))
+        start = pos + lead
+        return F.struct(
+            (pos + F.length(m)).alias("next"),
+            F.concat(acc["starts"], F.array(start)).alias("starts"),
+        )
+
+    init = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.col("m0"), init, step)["starts"]
+    located = b.select(
+        "scan_id", "file_name", "raw_lines", "code",
+        F.posexplode(F.arrays_zip(starts.alias("start"), F.col("m1").alias("receiver"), F.col("m2").alias("method"), F.col("m3").alias("args"))).alias("pos", "c"),
     )
-    return lines.select("scan_id", "file_name", "line_no", "line", F.posexplode(calls).alias("pos", "c")).select(
+    prefix = F.substring(code, 1, F.col("c.start") - 1)
+    line_no = (F.length(prefix) - F.length(F.regexp_replace(prefix, "\n", "")) + 1).cast("int")
+    return located.select(
         "scan_id",
         "file_name",
-        "line_no",
-        "line",
+        line_no.alias("line_no"),
+        F.regexp_replace(F.element_at(F.col("raw_lines"), line_no), "\r+$", "").alias("line"),
         (F.col("pos") + 1).cast("int").alias("call_ord"),
         F.col("c.receiver").alias("receiver"),
         F.col("c.method").alias("method"),

@@ -99,3 +99,22 @@ def test_route_detectors_mock(spark, mock_sources):
     assert by[("auth.cs", "ROSLYN")] == ["EMAIL"]
     assert by[("config.cs", "ROSLYN")] == ["API_KEY"]
     assert ("config.cs", "REGEX") not in by  # the regex API_KEY rule does not hit this value
+
+
+def test_multi_line_calls(spark):
+    text = "\n".join([
+        "class A {",                                   # 1
+        "  void F(User user) {",                       # 2
+        "    _logger.LogWarning(",                     # 3  call starts here
+        "        \"reset for {0}\",",                  # 4
+        "        user.Email);",                        # 5
+        "    client",                                  # 6
+        "      .PostAsync(url,",                       # 7  starts at the '.' line
+        "        payload.Ssn);",                       # 8
+        "    x.Log(\"password\");",                    # 9  only a string: no finding
+        "  }",
+        "}",
+    ])
+    src = spark.createDataFrame([("1", "a.cs", text, "csharp")], "source_id string, file_name string, content string, language string")
+    rows = sorted((r.line_no, r.data_type, r.snippet) for r in detect_code.sensitive_calls(src).collect())
+    assert rows == [(3, "EMAIL", "_logger.LogWarning("), (6, "SSN", "client")]
