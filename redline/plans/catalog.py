@@ -19,7 +19,6 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..functions.code import classify_identifier
 from ..functions.columns import classify_column_name, entity_category_counts
 from ..functions.policy import build_query, policy_of, resolve_policy_name, tokenize
@@ -33,7 +32,7 @@ from ..functions.reason import (
     location_line,
 )
 from ..functions.remediate import anonymize, mask
-from ..functions.report import permanent_fix_advice, risk_band, source_type
+from ..functions.report import permanent_fix_advice, source_type
 from ..functions.text import TextRule, default_rules, luhn_valid, rule_matches, split_lines
 from ..operators import detect_code, detect_columns, detect_text, enrich, remediate, report, retrieve
 from ..sources.files import as_sources, guess_language
@@ -114,14 +113,6 @@ def doc_findings(spark: SparkSession, d: str, keep_match: bool = False) -> DataF
     return detect_text.scan_text(doc_sources(spark, d), keep_match=keep_match)
 
 
-def column_cells(spark: SparkSession, d: str, names: list[str] | None = None) -> list[DataFrame]:
-    out = []
-    for name, key in COLUMN_TABLES:
-        if names is None or name in names:
-            out.append(detect_columns.table_cells(table(spark, d, name), name, key))
-    return out
-
-
 def column_findings(spark: SparkSession, d: str, names: list[str] | None = None) -> DataFrame:
     frames = [
         detect_columns.scan_table(table(spark, d, name), name, key, scan_id="tables")
