@@ -16,6 +16,8 @@ _ARGS = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*"
 MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\((" + _ARGS + r")\)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 STRING_LITERAL = r'@?"(?:[^"\\]|\\.)*"'
+INTERPOLATED_STRING = r'\$@?"(?:[^"\\]|\\.)*"'
+HOLE = r"\{([^{}]*)\}"
 LINE_COMMENT = r"//.*$"
 
 
@@ -32,10 +34,24 @@ def classify_identifier(name: Column) -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+def keep_holes(line: Column) -> Column:
+    """Replace every interpolated string ``$"..{a}..{b}.."`` by ``(a, b)``:
+    the expressions in its holes stay code, its text does not."""
+    pat = F.lit(INTERPOLATED_STRING)
+    parts = F.split(line, INTERPOLATED_STRING, -1)
+    holes = F.transform(
+        F.regexp_extract_all(line, pat, 0),
+        lambda s_: F.concat(F.lit("("), F.array_join(F.regexp_extract_all(s_, F.lit(HOLE), 1), ", "), F.lit(")")),
+    )
+    glue = F.concat(holes, F.array(F.lit("")))
+    return F.array_join(F.zip_with(parts, glue, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+
+
 def blank_code(line: Column) -> Column:
     """Remove string-literal contents and line comments so that text inside
-    them is never read as an identifier."""
-    no_strings = F.regexp_replace(line, STRING_LITERAL, '""')
+    them is never read as an identifier (holes of interpolated strings are
+    kept as code)."""
+    no_strings = F.regexp_replace(keep_holes(line), STRING_LITERAL, '""')
     return F.regexp_replace(no_strings, LINE_COMMENT, "")
 
 

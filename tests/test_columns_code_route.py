@@ -118,3 +118,14 @@ def test_multi_line_calls(spark):
     src = spark.createDataFrame([("1", "a.cs", text, "csharp")], "source_id string, file_name string, content string, language string")
     rows = sorted((r.line_no, r.data_type, r.snippet) for r in detect_code.sensitive_calls(src).collect())
     assert rows == [(3, "EMAIL", "_logger.LogWarning("), (6, "SSN", "client")]
+
+
+def test_interpolated_string_holes(spark):
+    text = "\n".join([
+        'logger.LogInformation($"Reset for {user.Email} at {DateTime.Now}");',   # 1 EMAIL via hole
+        'logger.LogInformation($"email sent to {count} users");',                # 2 text only: none
+        'Console.WriteLine($"Card: {order.CreditCard:N0}", "token");',           # 3 CREDIT_CARD
+    ])
+    src = spark.createDataFrame([("1", "a.cs", text, "csharp")], "source_id string, file_name string, content string, language string")
+    rows = sorted((r.line_no, r.data_type) for r in detect_code.sensitive_calls(src).collect())
+    assert rows == [(1, "EMAIL"), (3, "CREDIT_CARD")]
