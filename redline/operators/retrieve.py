@@ -21,6 +21,7 @@ ties, a zero score still cites, no candidate -> NULL).
 from __future__ import annotations
 
 import math
+import weakref
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,16 +124,15 @@ def retrieve_top1(
     return _retrieve(findings, blocks, n_blocks, cand_bytes, key, q_text, q_vec, pol, out, broadcast_bytes)
 
 
-_STATS: dict[int, tuple[DataFrame, tuple[int, int]]] = {}
+_STATS: "weakref.WeakKeyDictionary[DataFrame, tuple[int, int]]" = weakref.WeakKeyDictionary()
 
 
 def _stats(clauses_index: DataFrame) -> tuple[int, int]:
     """Number of candidates and their approximate size in bytes (one small
     aggregate over the clause corpus, remembered per index DataFrame)."""
-    key = id(clauses_index)
-    hit = _STATS.get(key)
-    if hit is not None and hit[0] is clauses_index:
-        return hit[1]
+    hit = _STATS.get(clauses_index)
+    if hit is not None:
+        return hit
     stats = clauses_index.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(
@@ -148,7 +148,7 @@ def _stats(clauses_index: DataFrame) -> tuple[int, int]:
         ).alias("bytes"),
     ).first()
     result = (int(stats["n"]), int(stats["bytes"]))
-    _STATS[key] = (clauses_index, result)
+    _STATS[clauses_index] = result
     return result
 
 
