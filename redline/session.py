@@ -46,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="redline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, current)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Connect session has no SparkContext to configure
+        return current
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
@@ -66,9 +69,12 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     cheap filters, so only candidate rows move."""
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave as is
+        return df
+    if splits < cores:
         return df.repartition(cores)
     return df
 
