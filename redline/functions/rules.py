@@ -29,6 +29,9 @@ TEXT_RULES: list[tuple[int, str, str, str | None]] = [
 # prefix).  Derived from the rules; used as a cheap prefilter.
 LINE_PREFILTER = r"[@0-9]|[0-9A-Fa-f]{2}[:-]|-----BEGIN|eyJ|AKIA|sk-|pk-|ghp_"
 
+# Line prefilter of the Unicode parity mode (any Unicode digit).
+LINE_PREFILTER_UNICODE = r"(?U)[@\d]|[0-9A-Fa-f]{2}[:-]|-----BEGIN|eyJ|AKIA|sk-|pk-|ghp_"
+
 # Coarser test for a whole source before it is split into lines: any of
 # these characters, or one of these literals, must occur for any rule to hit.
 SOURCE_GATE_CLASS = "[0-9@:_-]"

@@ -107,9 +107,13 @@ class TextRule:
     validator: Callable[[Column], Column] | None = None
 
 
-def default_rules() -> list[TextRule]:
+def default_rules(unicode: bool = False) -> list[TextRule]:
+    """The nine built-in rules.  ``unicode=True`` is the parity mode:
+    ``\\d``, ``\\w``, ``\\s`` and ``\\b`` become Unicode-aware (``(?U)``), as
+    in the reference's regex engine; the default is ASCII classes."""
+    prefix = "(?U)" if unicode else ""
     return [
-        TextRule(o, t, p, VALIDATORS[v] if v else None) for (o, t, p, v) in R.TEXT_RULES
+        TextRule(o, t, prefix + p, VALIDATORS[v] if v else None) for (o, t, p, v) in R.TEXT_RULES
     ]
 
 

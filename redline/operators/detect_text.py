@@ -24,6 +24,7 @@ def scan_text(
     source_gate=None,
     keep_match: bool = False,
     created_at: Column | None = None,
+    unicode: bool = False,
 ) -> DataFrame:
     """Findings for every match of every rule in every non-empty line.
 
@@ -31,16 +32,18 @@ def scan_text(
     sources and a precise line prefilter; with custom rules give a
     ``prefilter`` (regex or Column function) that every possible match
     requires (and optionally a coarser ``source_gate``), or none.
+    ``unicode=True`` runs the built-in rules with Unicode-aware classes
+    (parity with the reference's engine; the cheap ASCII gate is then off).
     The snippet is the trimmed whole line; location is ``file:line``.
     """
     from .detect_code import with_scan_id
 
     sources = with_scan_id(sources, scan_id)
     if rules is None:
-        rules = default_rules()
+        rules = default_rules(unicode)
         if prefilter is None:
-            prefilter = R.LINE_PREFILTER
-        if source_gate is None:
+            prefilter = R.LINE_PREFILTER_UNICODE if unicode else R.LINE_PREFILTER
+        if source_gate is None and not unicode:
             source_gate = may_hit_default_rules
     src = sources.where(F.col("content").isNotNull())
     gate = source_gate if source_gate is not None else prefilter

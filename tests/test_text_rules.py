@@ -82,3 +82,16 @@ def test_luhn_matches_python(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(luhn_valid(F.col("v"))).collect()]
     assert got == [_py_luhn(v) for v in values]
+
+
+def test_unicode_parity_mode(spark):
+    arabic_ssn = "رقم ١٢٣-٤٥-٦٧٨٩ هنا"
+    src = spark.createDataFrame([("1", "f.txt", arabic_ssn, None)], "source_id string, file_name string, content string, language string")
+    ascii_hits = [r.data_type for r in scan_text(src).collect()]
+    uni_hits = [r.data_type for r in scan_text(src, unicode=True).collect()]
+    assert ascii_hits == [] and "SSN" in uni_hits
+    # on ordinary text both modes agree
+    plain = spark.createDataFrame([("1", "f.txt", "call 555-123-4567 or a@b.io", None)], "source_id string, file_name string, content string, language string")
+    a = sorted(r.finding_id for r in scan_text(plain).collect())
+    b = sorted(r.finding_id for r in scan_text(plain, unicode=True).collect())
+    assert a == b and len(a) == 2
