@@ -2,7 +2,8 @@
 
 Plan shape: scan → filter(source may hit) → project(lines kept by the
 prefilter, matches of all rules as one array) → explode → project.  No
-shuffle; every rule runs in the same pass over a line.
+shuffle, except one round-robin of the candidate sources when the input has
+fewer splits than cores; every rule runs in the same pass over a line.
 """
 
 from __future__ import annotations

@@ -3,9 +3,10 @@
 * ``fix_plan``: every approved finding's target (file, column or line),
   tool, arguments and outcome (applied or the reason it is not).
 * ``apply_column_fixes``: the approved column fixes of one dataset folded in
-  approval order into a single ``select``.  The per-column chains travel as
-  one small row joined on the dataset name; each value is folded with the
-  ``aggregate`` higher-order function, so no data row leaves its task.
+  approval order into a single ``select`` over the table: the per-column
+  chains (columns × fix kinds, size checked) become literal expressions, so
+  no data row leaves its task; very long chains travel instead as one row
+  joined on the dataset name and are folded with ``aggregate``.
 * ``apply_line_redactions``: the approved line redactions of text sources.
 * ``approve`` / ``reject`` / ``approve_all_high``: status transitions.
 """
