@@ -573,10 +573,10 @@ def _q() -> dict[str, str]:
         f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {anon_sql('c_name')} AS c_name, "
         f"{anon_sql('c_name', chr(39) + 's1' + chr(39))} AS c_name_salted FROM customer"
     )
+    # the oracle joins on the raw keys: the pseudonymised join must give the same pairs
     q["anonymize_join"] = (
         f"SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, {anon_sql('CAST(o.o_custkey AS VARCHAR)')} AS anon_custkey, "
-        f"c.c_mktsegment FROM orders o JOIN customer c ON {anon_sql('CAST(o.o_custkey AS VARCHAR)')} = "
-        f"{anon_sql('CAST(c.c_custkey AS VARCHAR)')}"
+        f"c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
     )
     cust_str = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in TABLE_COLUMNS["customer"] if c != "c_name")
     q["drop_column"] = with_(customer_plan_ctes("DROP_COLUMN"), f"SELECT {cust_str} FROM customer")
