@@ -172,7 +172,8 @@ def scan_samples(
             line_no=F.lit(None),
             column_name=F.col("column_name"),
             rule_ord=F.lit(None),
-            match_ord=F.lit(None),
+            # the column's position: keeps ids apart when a header repeats a name
+            match_ord=F.col("col_pos") + 1,
             snippet=F.substring(F.col("samples")[0], 1, R.COLUMN_SNIPPET_MAX),
             detected_by=F.when(F.col("value_type").isNotNull(), F.lit(R.DETECTED_BY_VALUES)).otherwise(
                 F.lit(R.DETECTED_BY_NAME)

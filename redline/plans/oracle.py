@@ -191,10 +191,10 @@ def column_findings_ctes(tables: list[str], scan: str = "tables", name: str = "c
     return samples_ctes(tables) + [
         f"pcx AS (SELECT *, {entity_count_cols('blob')}, {name_type('column_name')} AS name_type FROM pc)",
         f"pcy AS (SELECT *, {value_type_expr()} AS value_type FROM pcx)",
-        f"{name} AS (SELECT {fid(s(scan), 'dataset', 'NULL', 'column_name', 'detected_by', 'NULL', 'NULL')} AS finding_id, "
+        f"{name} AS (SELECT {fid(s(scan), 'dataset', 'NULL', 'column_name', 'detected_by', 'NULL', 'col_pos + 1')} AS finding_id, "
         f"{s(scan)} AS scan_id, dataset AS file_name, column_name, coalesce(value_type, name_type) AS data_type, "
         f"dataset || ':column=' || column_name AS location, substr(first_sample, 1, {R.COLUMN_SNIPPET_MAX}) AS snippet, "
-        f"detected_by, CAST(NULL AS BIGINT) AS line_no, CAST(NULL AS BIGINT) AS rule_ord, CAST(NULL AS BIGINT) AS match_ord "
+        f"detected_by, CAST(NULL AS BIGINT) AS line_no, CAST(NULL AS BIGINT) AS rule_ord, CAST(col_pos + 1 AS BIGINT) AS match_ord "
         f"FROM (SELECT *, CASE WHEN value_type IS NOT NULL THEN {s(R.DETECTED_BY_VALUES)} ELSE {s(R.DETECTED_BY_NAME)} "
         f"END AS detected_by FROM pcy) WHERE {nonblank('column_name')} AND (name_type IS NOT NULL OR value_type IS NOT NULL))",
     ]

@@ -129,3 +129,10 @@ def test_interpolated_string_holes(spark):
     src = spark.createDataFrame([("1", "a.cs", text, "csharp")], "source_id string, file_name string, content string, language string")
     rows = sorted((r.line_no, r.data_type) for r in detect_code.sensitive_calls(src).collect())
     assert rows == [(1, "EMAIL"), (3, "CREDIT_CARD")]
+
+
+def test_repeated_header_gives_distinct_ids(spark):
+    content = "email,email\na@b.io,c@d.io\n"
+    src = spark.createDataFrame([("s", "dup.csv", content)], "scan_id string, file_name string, content string")
+    f = detect_columns.scan_columns(csv_cells(src).drop("scan_id"), scan_id="s").collect()
+    assert len(f) == 2 and len({r.finding_id for r in f}) == 2
