@@ -413,8 +413,8 @@ def code_plan_ctes() -> list[str]:
 def _q() -> dict[str, str]:
     q: dict[str, str] = {}
     tf_cols = (
-        "finding_id, scan_id, file_name, line_no, data_type, rule_ord, match_ord, location, snippet, detected_by, "
-        "severity, status"
+        "finding_id, scan_id, file_name, line_no, data_type, CAST(rule_ord AS BIGINT) AS rule_ord, match_ord, location, "
+        "snippet, detected_by, severity, status"
     )
     q["scan_text_findings"] = with_(doc_findings_ctes(), f"SELECT {tf_cols} FROM tf")
     for key, t in (("scan_rule_email", "EMAIL"), ("scan_rule_phone", "PHONE"), ("scan_rule_ip", "IP")):
