@@ -54,7 +54,7 @@ def main() -> None:
         )
 
     def report_q():
-        f = catalog.reviewed_doc_findings(spark, sf_dir, materialized=True)
+        f = catalog.reviewed_doc_findings(spark, sf_dir)
         return report.audit_report(catalog.scans(spark, sf_dir), f)
 
     qs = {

@@ -146,7 +146,10 @@ def decisions(findings: DataFrame) -> DataFrame:
 
 
 def reviewed_doc_findings(spark: SparkSession, d: str, materialized: bool = False) -> DataFrame:
-    f = enriched_doc_findings(spark, d)
+    """Enriched findings after the stand-in review.  The decisions derive
+    from the findings themselves, so the findings are written once
+    (checkpoint) and both sides of the decision join read them."""
+    f = materialize(enriched_doc_findings(spark, d))
     out = remediate.approve(f, decisions(f))
     return materialize(out) if materialized else out
 
@@ -548,7 +551,7 @@ def q_residual_score(spark, d):
 
 
 def q_risk_band(spark, d):
-    return report.scores_with_bands(reviewed_doc_findings(spark, d, materialized=True))
+    return report.scores_with_bands(reviewed_doc_findings(spark, d))
 
 
 def q_severity_counts(spark, d):
@@ -560,7 +563,7 @@ def q_status_summary(spark, d):
 
 
 def q_audit_report(spark, d):
-    a = report.audit_report(scans(spark, d), reviewed_doc_findings(spark, d, materialized=True))
+    a = report.audit_report(scans(spark, d), reviewed_doc_findings(spark, d))
     return a.select(
         "scan_id", "policy_id", "total", "critical", "high", "approved", "rejected", "pending",
         _i("compliance_score").alias("compliance_score"), "finding_id", "data_type", "severity", "location",
