@@ -50,11 +50,9 @@ def may_hit_default_rules(text: Column) -> Column:
     return F.coalesce(gate, F.lit(False))
 
 
-Prefilter = "str | Callable[[Column], Column]"
-
-
-def _keep(prefilter, line: Column) -> Column:
-    return prefilter(line) if callable(prefilter) else line.rlike(prefilter)
+def accepts(prefilter: str | Callable[[Column], Column], text: Column) -> Column:
+    """Apply a prefilter given as a regex or as a Column function."""
+    return prefilter(text) if callable(prefilter) else text.rlike(prefilter)
 
 
 def split_lines(content: Column, prefilter=None) -> Column:
@@ -76,7 +74,7 @@ def split_lines(content: Column, prefilter=None) -> Column:
     )
     if prefilter is None:
         return F.filter(numbered, lambda s: F.length(s["line"]) > 0)
-    return F.filter(numbered, lambda s: (F.length(s["line"]) > 0) & _keep(prefilter, s["line"]))
+    return F.filter(numbered, lambda s: (F.length(s["line"]) > 0) & accepts(prefilter, s["line"]))
 
 
 def digits_only(col: Column) -> Column:

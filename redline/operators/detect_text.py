@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import TextRule, _keep, default_rules, may_hit_default_rules, rule_matches, split_lines, trim_ws
+from ..functions.text import TextRule, accepts, default_rules, may_hit_default_rules, rule_matches, split_lines, trim_ws
 from ..schemas import detection_finding
 from ..session import spread_for_cpu
 
@@ -51,7 +51,7 @@ def scan_text(
     if gate is not None:
         # whole-source check first: a source with no candidate character is
         # never split into lines
-        src = src.where(_keep(gate, F.col("content")))
+        src = src.where(accepts(gate, F.col("content")))
     # few input splits (small inputs, single row groups): spread the
     # candidate sources over the cores before the per-line regex work
     src = spread_for_cpu(src.select("scan_id", "file_name", "content"))
