@@ -1,8 +1,9 @@
 """Continuous scanning with Structured Streaming.
 
-* ``start_stream_scan``: newly landed text rows or files → ``scan_text``
-  (stateless, append) → Parquet sink with a checkpoint in the shared
-  checkpoint folder.  Exactly-once through the file sink's log.
+* ``start_stream_scan`` (landed table rows) and ``start_file_stream_scan``
+  (landed files, each read whole): → ``scan_text`` (stateless, append) →
+  Parquet sink with a checkpoint in the shared checkpoint folder.
+  Exactly-once through the file sink's log.
 * ``start_running_score``: per-scan CRITICAL/HIGH counts and the compliance
   score in update mode; every micro-batch is written by ``foreachBatch`` as
   an upsert log (batch id + new totals of the changed scans) next to a
@@ -50,6 +51,32 @@ def start_stream_scan(
     return w.outputMode("append").start()
 
 
+def file_sources_stream(spark: SparkSession, landing_dir: str, scan_id: str = "stream", max_files_per_trigger: int = 100) -> DataFrame:
+    """Stream of newly landed files, each read whole as one ``sources`` row
+    (name from the file metadata, language guessed from the extension)."""
+    from ..sources.files import guess_language
+
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(landing_dir, wholetext=True)
+    name = F.col("_metadata.file_name")
+    return raw.select(
+        F.sha2(F.col("_metadata.file_path"), 256).substr(1, 16).alias("source_id"),
+        name.alias("file_name"),
+        F.col("value").alias("content"),
+        guess_language(name).alias("language"),
+        F.lit(scan_id).alias("scan_id"),
+    )
+
+
+def start_file_stream_scan(
+    spark: SparkSession, landing_dir: str, out_dir: str, ckpt_dir: str, scan_id: str = "stream", available_now: bool = True
+) -> StreamingQuery:
+    """Text-rule scan of files as they land in ``landing_dir`` (append)."""
+    findings = scan_text(file_sources_stream(spark, landing_dir, scan_id)).drop("fix_args")
+    w = findings.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.outputMode("append").start()
+
+
 def stream_scan_table(spark: SparkSession, path: str) -> DataFrame:
     """Run the stream scan to completion over what is there and read the
     sink back."""

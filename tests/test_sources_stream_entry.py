@@ -116,3 +116,18 @@ def test_whole_scan_on_mock_files(spark, mock_sources):
     assert by_loc[("patients.csv:column=diagnosis", "KEYWORD")] == ("DIAGNOSIS", "MEDIUM", "ANONYMIZE_COLUMN")
     assert by_loc[("auth.cs:16", "ROSLYN")] == ("EMAIL", "HIGH", "REDACT_CODE_LINE")
     assert by_loc[("config.cs:5", "ROSLYN")] == ("API_KEY", "CRITICAL", "REDACT_CODE_LINE")
+
+
+def test_file_landing_stream_equals_batch(spark, scratch):
+    from redline.streaming.scan import start_file_stream_scan
+
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    open(os.path.join(landing, "customers.csv"), "w").write(CUSTOMERS_CSV)
+    open(os.path.join(landing, "config.cs"), "w").write(CONFIG_CS + "\\nkey = 192.168.1.254\\n")
+    out, ck = os.path.join(scratch, "out"), os.path.join(scratch, "ck")
+    start_file_stream_scan(spark, landing, out, ck, scan_id="s").awaitTermination()
+    streamed = sorted(r.finding_id for r in spark.read.parquet(out).collect())
+    batch_src = read_sources(spark, landing).withColumn("scan_id", F.lit("s"))
+    batch = sorted(r.finding_id for r in scan_text(batch_src).collect())
+    assert streamed == batch and len(batch) == 7
