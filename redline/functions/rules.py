@@ -24,6 +24,18 @@ TEXT_RULES: list[tuple[int, str, str, str | None]] = [
     (9, "PRIVATE_KEY", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----", None),
 ]
 
+# Literals a line must contain for a rule to be tried (any of them); rules
+# without an entry are always tried.  Derived from the patterns above.
+RULE_REQUIRES: dict[str, list[str]] = {
+    "EMAIL": ["@"],
+    "SSN": ["-"],
+    "IP": ["."],
+    "MAC": [":", "-"],
+    "API_KEY": ["AKIA", "sk-", "pk-", "ghp_"],
+    "TOKEN": ["eyJ"],
+    "PRIVATE_KEY": ["-----BEGIN"],
+}
+
 # A line can only hit one of the rules above if it contains one of these
 # (e-mail '@', any digit, a hex pair before a MAC separator, or a secret
 # prefix).  Derived from the rules; used as a cheap prefilter.

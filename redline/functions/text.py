@@ -96,13 +96,15 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {"luhn": luhn_valid}
 
 @dataclass(frozen=True)
 class TextRule:
-    """A detection rule: a data type, a Java regex and an optional validator
-    applied to each match (a Column function returning boolean)."""
+    """A detection rule: a data type, a Java regex, an optional validator
+    applied to each match (a Column function returning boolean) and optional
+    literals of which a line must contain one for the regex to be tried."""
 
     ordinal: int
     data_type: str
     pattern: str
     validator: Callable[[Column], Column] | None = None
+    requires: tuple[str, ...] = ()
 
 
 def default_rules(unicode: bool = False) -> list[TextRule]:
@@ -111,7 +113,8 @@ def default_rules(unicode: bool = False) -> list[TextRule]:
     in the reference's regex engine; the default is ASCII classes."""
     prefix = "(?U)" if unicode else ""
     return [
-        TextRule(o, t, prefix + p, VALIDATORS[v] if v else None) for (o, t, p, v) in R.TEXT_RULES
+        TextRule(o, t, prefix + p, VALIDATORS[v] if v else None, tuple(R.RULE_REQUIRES.get(t, ())))
+        for (o, t, p, v) in R.TEXT_RULES
     ]
 
 
@@ -124,7 +127,15 @@ def rule_matches(line: Column, rules: list[TextRule]) -> Column:
     """
     per_rule = []
     for rule in rules:
-        tagged = F.transform(F.regexp_extract_all(line, F.lit(rule.pattern), 0), _tagger(rule))
+        found = F.regexp_extract_all(line, F.lit(rule.pattern), 0)
+        if rule.requires:
+            # the regex runs only on lines holding one of the rule's literals
+            has = None
+            for lit_ in rule.requires:
+                c = F.instr(line, lit_) > 0
+                has = c if has is None else (has | c)
+            found = F.when(has, found).otherwise(F.array().cast("array<string>"))
+        tagged = F.transform(found, _tagger(rule))
         if rule.validator is not None:
             tagged = F.filter(tagged, _checker(rule.validator))
         per_rule.append(tagged)
