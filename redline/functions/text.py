@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from . import rules as R
 
-_WS_CLASS = "[" + R.WHITESPACE_CHARS.replace("\\", "\\\\") + "]"
-
-
 def trim_ws(col: Column) -> Column:
-    """Trim leading/trailing white space (Unicode white space, not only ' ')."""
-    return F.regexp_replace(col, f"^{_WS_CLASS}+|{_WS_CLASS}+$", "")
+    """Trim leading/trailing white space (Unicode white space, not only ' '):
+    ``btrim`` with the white-space characters as the trim set."""
+    return F.btrim(col, F.lit(R.WHITESPACE_CHARS))
 
 
 def has_non_blank(col: Column) -> Column:
@@ -69,7 +67,7 @@ def split_lines(content: Column, prefilter=None) -> Column:
         parts,
         lambda x, i: F.struct(
             (i + 1).cast("int").alias("line_no"),
-            F.regexp_replace(x, "\r+$", "").alias("line"),
+            F.rtrim(x, F.lit("\r")).alias("line"),
         ),
     )
     if prefilter is None:
