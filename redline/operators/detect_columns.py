@@ -80,6 +80,40 @@ def sample_table_values(
     """First ``k`` non-blank values of every column of a table in ``order_by``
     order (a unique key): ``(dataset, col_pos, column_name, sample_ord,
     value)``, one top-k per column."""
+    tops, cols, n_keys = _column_tops(df, order_by, k, columns)
+    names = F.array(*[F.lit(c) for c in cols])
+    w = Window.partitionBy("col_pos").orderBy(*[F.col(f"_k{j}").asc() for j in range(n_keys)])
+    return tops.select(
+        F.lit(dataset).alias("dataset"),
+        "col_pos",
+        F.element_at(names, F.col("col_pos") + 1).alias("column_name"),
+        F.row_number().over(w).cast("int").alias("sample_ord"),
+        "value",
+    )
+
+
+def table_column_samples(
+    df: DataFrame,
+    dataset: str,
+    order_by: str | list[str],
+    k: int = R.SAMPLE_VALUES_PER_COLUMN,
+    columns: Iterable[str] | None = None,
+) -> DataFrame:
+    """``(dataset, col_pos, column_name, samples)``: the ordered first ``k``
+    non-blank values of every column, gathered straight from the per-column
+    top-k (at most k values per group)."""
+    tops, cols, n_keys = _column_tops(df, order_by, k, columns)
+    names = F.array(*[F.lit(c) for c in cols])
+    keyed = F.struct(*[F.col(f"_k{j}") for j in range(n_keys)], F.col("value"))
+    return tops.groupBy("col_pos").agg(F.sort_array(F.collect_list(keyed)).alias("s")).select(
+        F.lit(dataset).alias("dataset"),
+        "col_pos",
+        F.element_at(names, F.col("col_pos") + 1).alias("column_name"),
+        F.transform("s", lambda x: x["value"]).alias("samples"),
+    )
+
+
+def _column_tops(df: DataFrame, order_by: str | list[str], k: int, columns: Iterable[str] | None):
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     cols = list(columns) if columns is not None else list(df.columns)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -96,16 +130,7 @@ def sample_table_values(
             .orderBy(*[F.col(f"_k{j}").asc() for j in range(len(keys))])
             .limit(k)
         )
-    tops = reduce(lambda a, b: a.unionByName(b), parts)
-    names = F.array(*[F.lit(c) for c in cols])
-    w = Window.partitionBy("col_pos").orderBy(*[F.col(f"_k{j}").asc() for j in range(len(keys))])
-    return tops.select(
-        F.lit(dataset).alias("dataset"),
-        "col_pos",
-        F.element_at(names, F.col("col_pos") + 1).alias("column_name"),
-        F.row_number().over(w).cast("int").alias("sample_ord"),
-        "value",
-    )
+    return reduce(lambda a, b: a.unionByName(b), parts), cols, len(keys)
 
 
 def sample_column_values(cells: DataFrame, k: int = R.SAMPLE_VALUES_PER_COLUMN) -> DataFrame:
@@ -158,9 +183,11 @@ def scan_samples(
 ) -> DataFrame:
     """At most one finding per column; the value-confirmed type beats the
     name type (``AZURE`` vs ``KEYWORD``).  Columns with no non-blank value
-    or a blank name give nothing."""
+    or a blank name give nothing.  ``samples`` is either one row per sample
+    (``sample_ord, value``) or one row per column (``samples`` array)."""
     scan_col = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
-    per_col = classify_columns(column_samples(samples), entity_counts)
+    per_column = samples if "samples" in samples.columns else column_samples(samples)
+    per_col = classify_columns(per_column, entity_counts)
     per_col = per_col.where(has_non_blank(F.col("column_name")))
     per_col = per_col.where(F.col("name_type").isNotNull() | F.col("value_type").isNotNull())
     return per_col.select(
@@ -202,7 +229,7 @@ def scan_table(
     k: int = R.SAMPLE_VALUES_PER_COLUMN,
 ) -> DataFrame:
     """Column findings of one table (``order_by``: a unique row key)."""
-    return scan_samples(sample_table_values(df, dataset, order_by, k), scan_id=scan_id)
+    return scan_samples(table_column_samples(df, dataset, order_by, k), scan_id=scan_id)
 
 
 def union_cells(frames: list[DataFrame]) -> DataFrame:
