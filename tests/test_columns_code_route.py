@@ -136,3 +136,18 @@ def test_repeated_header_gives_distinct_ids(spark):
     src = spark.createDataFrame([("s", "dup.csv", content)], "scan_id string, file_name string, content string")
     f = detect_columns.scan_columns(csv_cells(src).drop("scan_id"), scan_id="s").collect()
     assert len(f) == 2 and len({r.finding_id for r in f}) == 2
+
+
+def test_sampling_paths_agree(spark):
+    from conftest import SF_SMALL
+
+    for name, key in [("customer", "c_custkey"), ("lineitem", ["l_orderkey", "l_linenumber"]), ("events", "event_id")]:
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        a = detect_columns.sample_table_values(df, name, key)
+        b = detect_columns.sample_column_values(detect_columns.table_cells(df, name, key))
+        rows = lambda x: sorted(tuple(r) for r in x.select("col_pos", "column_name", "sample_ord", "value").collect())
+        assert rows(a) == rows(b), name
+        c = detect_columns.table_column_samples(df, name, key)
+        per_col = {r.col_pos: list(r.samples) for r in c.collect()}
+        for col_pos, _n, _o, _v in rows(a):
+            assert per_col[col_pos] == [v for p, _n2, _o2, v in rows(a) if p == col_pos]
