@@ -81,6 +81,6 @@ def read_sources(spark: SparkSession, path: str, max_bytes: int | None = None) -
     return files.select(
         F.sha2(F.col("path"), 256).substr(1, 16).alias("source_id"),
         file_name.alias("file_name"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         guess_language(file_name).alias("language"),
     )

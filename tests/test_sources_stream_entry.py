@@ -131,3 +131,12 @@ def test_file_landing_stream_equals_batch(spark, scratch):
     batch_src = read_sources(spark, landing).withColumn("scan_id", F.lit("s"))
     batch = sorted(r.finding_id for r in scan_text(batch_src).collect())
     assert streamed == batch and len(batch) == 7
+
+
+def test_read_sources_binary_file(spark, scratch):
+    open(os.path.join(scratch, "a.txt"), "w").write("mail a@b.io")
+    open(os.path.join(scratch, "b.xlsx"), "wb").write(b"PK\x03\x04\xff\xfe\x80 x@y.io \xc3\x28")
+    src = read_sources(spark, scratch)
+    got = {r.file_name: r.content for r in src.collect()}
+    assert got["a.txt"] == "mail a@b.io" and "�" in got["b.xlsx"]
+    assert sorted(r.file_name for r in scan_text(src.withColumn("scan_id", F.lit("s"))).collect()) == ["a.txt", "b.xlsx"]
