@@ -1,13 +1,5 @@
 import pytest
 
-from redline.session import local_session
-
-
-@pytest.fixture(scope="session")
-def spark():
-    return local_session(cores=4, shuffle_partitions=4, app="redline-llm-tests")
-
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
