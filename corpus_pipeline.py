@@ -15,18 +15,25 @@ from redline.llm import line_dedup, packing, prob_minhash, secret_scan, toxicity
 from redline.llm.common import shared_table, table
 
 
+def _unused(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    return "x" * (1 + max(map(len, docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the rejection threshold."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("toxicity.predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _unused(docs)
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), out=out)
+    return scored.where(F.col(f"{out}.predicted") == 0).drop(out)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; one of which nothing is
     left but had text goes."""
-    cut = line_dedup.dedup_lines(docs)
-    emptied = (F.col("dedup.deleted") > 0) & (F.col("dedup.deleted") == F.col("dedup.lines"))
-    return cut.where(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stats = _unused(docs)
+    cut = line_dedup.dedup_lines(docs, stats=stats)
+    emptied = (F.col(f"{stats}.deleted") > 0) & (F.col(f"{stats}.deleted") == F.col(f"{stats}.lines"))
+    return cut.where(~emptied).drop(stats)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,12 +139,12 @@ def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(texts, lines)])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, stats: str = "line_stats") -> DataFrame:
     """``docs`` without the later copies of repeated line runs.
 
     Returns the rows with all their columns, ``text`` cut and ``n_chars`` (if
-    there) counted anew where lines went, and struct ``dedup`` with ``lines``
-    and ``deleted`` (numbers of lines; a name of the input's own gives way).
+    there) counted anew where lines went, and a struct named ``stats`` with
+    ``lines`` and ``deleted`` (numbers of lines).
     The first copy is that of the smallest ``doc_id`` (null last), then of the
     smallest digest of the text; of identical rows the first stays whole.  A
     null text stays null and an empty one empty (one line without words).  A
@@ -165,5 +165,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = found.withColumn("new", F.coalesce("cut", text))
     found = found.withColumn("stats", F.struct(F.size(F.split(text_of(text), "\n", -1)).alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("deleted")))
     new = {"text": F.col("new"), "n_chars": F.when(F.col("gone").isNotNull(), F.char_length("new").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    kept = [c for c in docs.columns if c != "dedup"]
-    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in kept], F.col("stats").alias("dedup"))
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], F.col("stats").alias(stats))

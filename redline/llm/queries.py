@@ -23,7 +23,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of line runs of 50 words or more."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "n_chars", F.col("dedup.lines").alias("n_lines"), F.col("dedup.deleted").alias("n_deleted"))
+    return out.select("doc_id", "text", "n_chars", F.col("line_stats.lines").alias("n_lines"), F.col("line_stats.deleted").alias("n_deleted"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select(
-        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"),
-        F.col("toxicity.predicted").alias("predicted"), F.col("toxicity.spans").alias("spans"),
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score.score").alias("score"),
+        F.col("toxicity_score.predicted").alias("predicted"), F.col("toxicity_score.spans").alias("spans"),
     )
 
 

@@ -25,8 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship_package, slices, text_of
 
@@ -301,13 +303,13 @@ def _scored(model: Model):
         memo = _memos.setdefault(model.version, {})
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in slices(batches):
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in pc.struct_field(b.column(0), "text").to_pylist()]
             hits, top, places = aggregate(model, [_WORD.findall(t) for t in texts], memo)
             found = [[{"start": s, "end": e} for s, e in spans(t, p)] for t, p in zip(texts, places)]
             score = model.score(hits, top)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(score), pa.array([len(p) for p in places], pa.int32()), pa.array(found, kind)],
-                [*b.schema.names[:-1], "score", "n_hits", "spans"],
+                [b.column(0), pa.array(score), pa.array([len(p) for p in places], pa.int32()), pa.array(found, kind)],
+                ["row", "score", "n_hits", "spans"],
             )
 
     return run
@@ -341,8 +343,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], weights)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, reject: float = REJECT) -> DataFrame:
-    """``docs`` with struct ``toxicity``: ``score`` (0 to 1), ``predicted``
+def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, reject: float = REJECT, out: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a struct named ``out``: ``score`` (0 to 1), ``predicted``
     (score >= ``reject``), ``n_hits`` and ``spans`` (places of offending runs
     in the text, in code points).
 
@@ -353,11 +355,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     """
     ship_package(docs.sparkSession)
     model = model or fit(docs, labels)
-    kept = [c for c in docs.columns if c != "toxicity"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_of().alias("text"))
-    row = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_scored(model), f"row {row}, score double, n_hits int, spans array<struct<start: int, end: int>>")
+    rows = docs.select(F.struct("*").alias("row"))
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    more = [T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.IntegerType()), T.StructField("spans", T.ArrayType(span))]
+    scored = rows.mapInArrow(_scored(model), T.StructType([rows.schema["row"], *more]))
     return scored.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in kept],
-        F.struct("score", (F.col("score") >= reject).cast("int").alias("predicted"), "n_hits", "spans").alias("toxicity"),
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        F.struct("score", (F.col("score") >= reject).cast("int").alias("predicted"), "n_hits", "spans").alias(out),
     )

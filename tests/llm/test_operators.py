@@ -1,0 +1,485 @@
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from redline.llm import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, packing, prob_minhash, queries, secret_scan, sharding, toxicity
+from redline.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pairs(df):
+    """Rows of (doc_id, text), nulls included."""
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- sharding
+
+
+def _check_shards(rows, expected):
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(
+        (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in expected
+    )
+    slots = defaultdict(list)
+    for r in rows:
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 8
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    at = 0
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):  # contiguous: the next row begins where the last ends
+        assert r["start_byte"] == at
+        at += r["size"]
+
+
+def test_sharding(spark, docs, texts):
+    rows = queries.op1_sharding(spark, SF).collect()
+    _check_shards(rows, texts.items())
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    largest = max(r["size"] for r in rows)
+    assert all(abs(size[s] - sum(size.values()) / 8) <= largest for s in range(8))
+
+
+def test_sharding_edges(spark, edge_docs, empty_docs, scratch):
+    _check_shards(sharding.shard_by_bytes(edge_docs).collect(), pairs(edge_docs))
+    assert sharding.shard_by_bytes(empty_docs).collect() == []
+    sharding.write_shards(edge_docs, f"{scratch}/shards", shards=3)
+    back = spark.read.parquet(f"{scratch}/shards").select("carried.*")
+    assert Counter(pairs(back)) == Counter(pairs(edge_docs)) and back.columns == edge_docs.columns
+
+
+# ---------------------------------------------------------------- line dedup
+
+
+def test_line_dedup(spark, docs, texts):
+    got = {r["doc_id"]: r for r in queries.op2_line_dedup(spark, SF).collect()}
+    order = sorted(texts)
+    for i, t in zip(order, brute.cut_lines([texts[i] for i in order])):
+        assert got[i]["text"] == t and got[i]["n_chars"] == len(t)
+
+
+def test_line_dedup_runs(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 20), ("b", 25), ("c", 10)))
+    long = " ".join(f"l{i}" for i in range(60))
+    texts = [
+        f"{a}\n{b}\n{c}\nown",  # 55 words: the first copy of a run of three lines
+        f"x\n{a}\n{b}\n{c}\ny",  # a later copy
+        f"{a}\n{b}",  # 45 words: too short
+        f"{long}\n{c}\nz",
+        f"{long}\n{c}\nw",  # the short line after the long one goes with the run
+        f"{long}\n{long}\n{long}",  # within a document
+        "", f"{c}\n{c}", f"{long}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute.cut_lines(texts)
+    assert got[1] == "x\ny" and got[2] == texts[2] and got[4] == "w" and got[5] == ""
+
+
+def test_line_dedup_edges(edge_docs, empty_docs):
+    out = line_dedup.dedup_lines(edge_docs)
+    assert out.columns == [*edge_docs.columns, "line_stats"]
+    rows = sorted(edge_docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    # equal ids go by digest: here their texts are all below 50 words
+    cut = brute.cut_lines([r["text"] or "" for r in rows])
+    want = Counter((r["doc_id"], None if r["text"] is None else t) for r, t in zip(rows, cut))
+    assert Counter(pairs(out)) == want
+    assert line_dedup.dedup_lines(empty_docs).collect() == []
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def _check_fingerprints(rows, ordered):
+    """``ordered``: (id, text) in the order of succession."""
+    assert len(rows) == len(ordered)
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        want[i, len(t), sha(t[: len(t) - len(t) // 3] + after[: len(t) // 3])] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
+
+
+def test_fingerprints(spark, texts):
+    rows = queries.op3_fingerprints(spark, SF).collect()
+    order = sorted(texts, reverse=True)
+    _check_fingerprints(rows, [(i, texts[i]) for i in order])
+    after = {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows}
+    by_text = defaultdict(set)
+    for r in rows:
+        t, u = texts[r["doc_id"]], texts[after[r["doc_id"]]]
+        e = fingerprints.edited(t, u)
+        by_text[t].add(prints[r["doc_id"]])
+        by_text[e].add(r["edited_fingerprint"])
+        a, b, c = (set(fingerprints.digests(x).tolist()) for x in (t, e, u))
+        like = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        assert math.isclose(r["near_edited"], like(a, b)) and math.isclose(r["near_next"], like(a, c))
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_fingerprint_sketch_recovers_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 40, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, 500 + n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n:], rng.integers(0, 1 << 63, n, dtype=np.uint64)]))
+        only_a, only_b, _ = fingerprints.difference(a, b)
+        assert set(only_a.tolist()) == set(a.tolist()) - set(b.tolist())
+        assert set(only_b.tolist()) == set(b.tolist()) - set(a.tolist())
+
+
+def test_fingerprints_edges(spark, edge_docs, empty_docs):
+    hashed = edge_docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    ordered = sorted(hashed, key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(1 << 63)), r["h"]))
+    for ranges in (1, 3, 8):
+        _check_fingerprints(fingerprints.fingerprint_versions(edge_docs, ranges).collect(), [(r["doc_id"], r["text"]) for r in ordered])
+    one = spark.createDataFrame([(None, "alone")], "doc_id long, text string")
+    _check_fingerprints(fingerprints.fingerprint_versions(one).collect(), [(None, "alone")])
+    assert fingerprints.fingerprint_versions(empty_docs).collect() == []
+
+
+# ---------------------------------------------------------------- packing
+
+
+def _check_packing(rows, expected, tokenizer, full=4096):
+    ids = Counter()
+    for i, t in expected:
+        ids[i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids) + (2,)] += 1
+    sequences, pieces = defaultdict(list), Counter()
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]] += 1
+    # every id in exactly one piece, per id of document: the pieces' ranges tile the documents
+    covered = Counter()
+    for (i, start, n, crc, total), k in pieces.items():
+        fits = [x for (j, x) in ids if j == i and len(x) == total and zlib.crc32(struct.pack(f"<{n}I", *x[start : start + n])) == crc]
+        assert fits
+        covered[i] += n * k
+    assert covered == Counter({i: sum(len(x) * k for (j, x), k in ids.items() if j == i) for i, _ in ids})
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= full and (at == full or at & (at - 1) == 0)  # nothing is padded
+
+
+def test_packing(spark, texts, tokenizer):
+    rows = queries.op4_packing(spark, SF).collect()
+    _check_packing(rows, texts.items(), tokenizer)
+    starts = defaultdict(list)
+    for r in rows:
+        starts[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    for s in starts.values():
+        at = 0
+        for start, n, total in sorted(s):
+            assert start == at
+            at += n
+        assert at == total
+
+
+def test_packing_edges(edge_docs, empty_docs, tokenizer):
+    _check_packing(packing.pack_documents(edge_docs, block_tokens=5000).collect(), pairs(edge_docs), tokenizer)
+    assert packing.pack_documents(empty_docs).collect() == []
+    got = packing.pack_documents(edge_docs.where("doc_id = 7"), with_ids=True).collect()
+    assert [i for r in sorted(got, key=lambda r: r["start"]) for i in r["ids"]] == [*tokenizer.encode("one").ids, 2]
+
+
+def test_pack_takes_the_cheapest_sequence_with_room():
+    parts, caps = packing.pack([3, 3, 2, 2, 2, 2, 1, 1], full=8)
+    assert caps == [8, 8] and sorted((p, n) for p, _, n, _, _ in parts) == [(0, 3), (1, 3), (2, 2), (3, 2), (4, 2), (5, 2), (6, 1), (7, 1)]
+    assert {s for p, _, _, s, _ in parts if p < 2} == {0, 1}
+    lengths = np.random.default_rng(0).integers(1, 4096, 300).tolist()
+    parts, caps = packing.pack(lengths)
+    used = Counter()
+    for p, start, n, s, offset in sorted(parts, key=lambda x: (x[3], x[4])):
+        assert used[s] == offset
+        used[s] += n
+    assert [used[s] for s in range(len(caps))] == caps and sum(caps) == sum(lengths)
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_marginals_equal_plain_forward_backward():
+    rng = np.random.default_rng(0)
+    lengths = np.array([0, 1, 5, 64, 65, 200, 0, 130])
+    scores, transitions = rng.normal(size=lengths.sum()) * 3, (-1.0, 0.5, 1.2)
+    got, at = toxicity.marginals(scores, lengths, transitions), 0
+    a, c, b = np.exp(transitions)
+    for n in lengths:
+        e = np.exp(scores[at : at + n])
+        f, g = np.zeros((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            p = f[t - 1] if t else (1.0, 0.0)
+            f[t] = p[0] + p[1] * c, e[t] * (p[0] * a + p[1] * b)
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            g[t] = g[t + 1][0] + a * e[t + 1] * g[t + 1][1], c * g[t + 1][0] + b * e[t + 1] * g[t + 1][1]
+            g[t] /= g[t].sum()
+        if n:
+            assert np.allclose((f * g)[:, 1] / (f * g).sum(1), got[at : at + n])
+        at += n
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in queries.op5_toxicity(spark, d).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, d, "labels").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
+    assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows.values())
+    held = [(rows[i]["score"], y) for i, y in labels.items() if rows[i]["held_out"]]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.9
+    flagged = [y for s, y in held if s >= 0.7]
+    assert np.mean(flagged) > 0.95 and sum(flagged) > 0.75 * len(pos)
+
+
+def test_toxicity_spans_and_edges(spark, edge_docs, empty_docs):
+    rude = [(i, f"you are a {w} friend of mine number{i}" if i % 2 else f"you are a good friend of mine number{i}", i % 2) for i, w in ((i, ("moron", "idiot")[i % 4 // 2]) for i in range(2, 400))]
+    train = spark.createDataFrame(rude, "doc_id long, text string, toxic int")
+    model = toxicity.fit(train, train.union(spark.createDataFrame([(None, "x", 1), (9, "x", None)], train.schema)))
+    more = spark.createDataFrame([(1, "x Moron idiot, nice day; idiot"), (2, "nice day"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score_toxicity(more, train, model).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(2, 13), (25, 30)]
+    assert got[1]["predicted"] == 1 and got[2]["predicted"] == 0 and got[3]["n_hits"] == 0
+    out = toxicity.score_toxicity(edge_docs, train, model)
+    assert Counter(pairs(out)) == Counter(pairs(edge_docs)) and "dotted.name" in out.columns
+    assert toxicity.score_toxicity(empty_docs, train, model).collect() == []
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert len({r["toxicity_score"]["score"] for r in toxicity.score_toxicity(edge_docs, none).collect()}) == 1
+
+
+# ---------------------------------------------------------------- BPE
+
+
+def _check_bpe(rows, expected, tokenizer):
+    want = Counter()
+    for i, t in expected:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
+
+
+def test_bpe(spark, texts, tokenizer):
+    _check_bpe(queries.op6_bpe(spark, SF).collect(), texts.items(), tokenizer)
+
+
+def test_bpe_edges(spark, edge_docs, empty_docs, tokenizer):
+    odd = [
+        "<|endoftext|>", "a<|startoftext|>b <|endoftext|> c", "é ́x", "\x1c\x1d a\x85b\xa0c d", "ΑΣ Σ ΣΑ'S don't I'LL",
+        "x" * 5000, "日本語のテキスト" * 400, "\n\n \n", "1234567 3.14", "🙂🙃" * 900, "a\tb\r\nc", "İstanbul ǅ ﬁ",
+    ]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for bits in (2, 5, 10):
+        _check_bpe(chunk_bpe.encode_decode(docs, chunk_bits=bits).collect(), list(enumerate(odd)), tokenizer)
+    _check_bpe(chunk_bpe.encode_decode(edge_docs).collect(), pairs(edge_docs), tokenizer)
+    assert chunk_bpe.encode_decode(empty_docs).collect() == []
+    got = chunk_bpe.encode_decode(docs).where("doc_id = 4").first()
+    assert got["ids"] == tokenizer.encode(odd[4]).ids
+
+
+def test_chunks_are_shared_wherever_they_stand():
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"w{x}" for x in rng.integers(0, 9999, 3000))
+    ends = [chunk_bpe.cuts(f"{head} {shared}".encode()) for head in ("a", "quite another start")]
+    chunks = [{f"{head} {shared}".encode()[i:j] for i, j in zip([0, *e], e)} for head, e in zip(("a", "quite another start"), ends)]
+    assert len(chunks[0] & chunks[1]) >= len(chunks[0]) - 2
+
+
+# ---------------------------------------------------------------- exact dedup
+
+
+def _check_groups(rows, expected):
+    groups = defaultdict(list)
+    for i, t in expected:
+        groups[brute.squeezed(t)].append((-len(t or ""), i is None, i))
+    want, kept = Counter(), Counter()
+    for norm, members in groups.items():
+        keep = min(members, key=lambda m: (m[0], m[1], m[2] or 0))[2]
+        kept[keep, sha(norm)] += 1
+        for m in members:
+            want[m[2], keep, len(members), sha(norm)] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows) == want
+    assert Counter((r["doc_id"], r["text_sha256"]) for r in rows if r["kept"]) == kept
+
+
+@pytest.mark.parametrize("capacity", [3, 8192])
+def test_exact_groups(docs, texts, capacity):
+    _check_groups(exact_dedup.exact_groups(docs, capacity).collect(), texts.items())
+
+
+def test_exact_groups_edges(edge_docs, empty_docs):
+    _check_groups(exact_dedup.exact_groups(edge_docs, 2).collect(), pairs(edge_docs))
+    assert exact_dedup.exact_groups(empty_docs).collect() == []
+
+
+def test_directory_doubles_until_buckets_fit(spark):
+    keys = spark.range(2000).select(F.xxhash64("id").alias("key"))
+    directory, depth = exact_dedup.build_directory(keys, capacity=16)
+    slots = directory.collect()
+    assert sorted(r["slot"] for r in slots) == list(range(1 << depth)) and 1 < len({r["depth"] for r in slots})
+    bucket = {r["slot"]: r["bucket"] for r in slots}
+    held = Counter(bucket[(r["key"] % (1 << 64)) >> (64 - depth)] for r in keys.collect())
+    assert max(held.values()) <= 16
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_secrets(spark, docs, texts):
+    d = "/root/testdata/sf0.01"
+    source = table(spark, d, "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+    found = secret_scan.scan_secrets(source)
+    rows = found.collect()
+    pattern = re.compile(r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*[0-9])[A-Za-z0-9_+/=\-]{12,}")
+    want = Counter((i, m.start(), m.group()) for i, t in texts.items() for m in pattern.finditer(t))
+    assert Counter((r["doc_id"], r["start"], r["code"]) for r in rows) == want
+    planted = {(i, m[1]) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert planted and planted == {(r["doc_id"], r["code"]) for r in rows if r["is_secret"]}
+    masked = {r["doc_id"]: r for r in secret_scan.mask_secrets(source, found).collect()}
+    for i, t in texts.items():
+        for j, code in planted:
+            t = t.replace(code, secret_scan.MASK) if i == j else t
+        assert masked[i]["text"] == t and masked[i]["n_chars"] == len(t)
+
+
+def test_forest_learns_from_labelled_findings(spark):
+    rng = np.random.default_rng(2)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(200)]
+    rows = [("src/app.py", h, "the key is ", " here", 1.0) for h in hexes[:100]] + [("test/data.py", f"release-build-{i:04d}", "see ", " notes", 0.0) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "path string, code string, before string, after string, label double")
+    docs = spark.createDataFrame([(i, f"the key is {h} here") for i, h in enumerate(hexes[100:])] + [(500 + i, f"see release-build-{i + 5000} notes") for i in range(50)], "doc_id long, text string")
+    words = spark.createDataFrame([("release",), ("build",)], "word string")
+    got = secret_scan.scan_secrets(docs, labelled, words).collect()
+    assert len(got) == 150 and all(r["is_secret"] == (r["doc_id"] < 500) for r in got)
+
+
+def test_secrets_edges(spark, edge_docs, empty_docs):
+    found = secret_scan.scan_secrets(edge_docs)
+    assert found.collect() == []
+    assert Counter(pairs(secret_scan.mask_secrets(edge_docs, found))) == Counter(pairs(edge_docs))
+    assert secret_scan.scan_secrets(empty_docs).collect() == []
+    twice = spark.createDataFrame([(None, 'password: "abcdef123456789"')] * 2, "doc_id long, text string")
+    got = secret_scan.scan_secrets(twice)  # one class of labels only: the rules decide
+    assert [(r["start"], r["is_secret"]) for r in got.collect()] == [(11, True)] * 2
+    assert [r["text"] for r in secret_scan.mask_secrets(twice, got).collect()] == ['password: "[SECRET]"'] * 2
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def test_near_duplicates(spark, texts):
+    rows = {r["doc_id"]: r for r in queries.op9_near_dedup(spark, SF).collect()}
+    order = sorted(texts)
+    for i, first in zip(order, brute.components([texts[i] for i in order])):
+        assert rows[i]["class_id"] == order[first] and rows[i]["kept"] == (i == order[first])
+
+
+def test_near_duplicates_planted(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(12):  # groups of near copies of which some are linked only through others
+        base = rng.choice(words, 120).tolist()
+        for _ in range(14):
+            t = list(base)
+            for k in rng.integers(0, 120, rng.integers(0, 4)):
+                t[k] = "changed" + str(rng.integers(99))
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in prob_minhash.near_duplicates(docs).collect()}
+    assert [rows[i]["class_id"] for i in range(len(texts))] == brute.components(texts)
+    assert {r["doc_id"] for r in prob_minhash.keep_one(docs).collect()} == {i for i, r in rows.items() if r["kept"]}
+
+
+def test_registers_agree_with_probability_jaccard():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    x, y = rng.gamma(2.0, size=300), rng.gamma(2.0, size=300)
+    x[:60], y[240:] = 0, 0
+    both = (x > 0) & (y > 0)
+    jp = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.nonzero(both)[0])
+    a, b = prob_minhash.signatures([(keys[x > 0], x[x > 0]), (keys[y > 0], y[y > 0])], 4096)
+    assert abs((a == b).mean() - jp) < 0.03
+
+
+def test_near_duplicates_edges(edge_docs, empty_docs):
+    rows = prob_minhash.near_duplicates(edge_docs).collect()
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in rows)
+    assert got[1, 1, 3, True] == 1 and got[1, 1, 3, False] == 1 and got[8, 1, 3, False] == 1  # the repeated row and its respaced copy
+    assert got[4, 4, 2, True] == 1 and got[5, 4, 2, False] == 1
+    assert got[1, 1, 1, True] == 1 and got[7, 7, 1, True] == 1 and got[None, None, 1, True] == 2
+    assert got[2, 2, 1, True] == got[3, 3, 1, True] == got[6, 6, 1, True] == 1 and len(rows) == 12
+    kept = prob_minhash.keep_one(edge_docs)
+    assert kept.columns == edge_docs.columns and kept.count() == 9
+    assert prob_minhash.near_duplicates(empty_docs).collect() == [] and prob_minhash.keep_one(empty_docs).collect() == []
+
+
+# ---------------------------------------------------------------- chat
+
+
+def _check_chat(rows, turns):
+    convs = defaultdict(list)
+    for c, n, role, text in turns:
+        convs[c].append((n is not None, n or 0, role or "", text or ""))
+    assert len(rows) == len(convs)
+    for r in rows:
+        said = sorted(convs[r["conv_id"]])
+        learned = "".join(t for _, _, role, t in said if role == "assistant")
+        assert r["n_turns"] == len(said) and r["turns_sha256"] == sha("".join(f"{a}\n{t}\n" for _, _, a, t in said))
+        assert r["loss_chars"] == len(learned) and r["loss_sha256"] == sha(learned)
+
+
+def test_chat(spark):
+    turns = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in table(spark, SF, "conversations").collect()]
+    said = "</s>[INST] ok [/INST]"
+    rows = queries.op10_chat_format(spark, SF).collect()
+    _check_chat(rows, turns + [(-1, 0, "user", said), (-1, 1, "assistant", said)])
+    assert all(r["formatted_chars"] > r["loss_chars"] for r in rows)
+
+
+def test_chat_edges(spark):
+    odd = ["</s>", "<\\/s>", "<\\\\/s>", "[INST]", "[\\INST] [/INST]", "<<SYS>>\n<</SYS>>", "<s>:x\ny </s>", "\\", "", None, "é🙂</s>🙂", "[INST", "x" * 200_000, "<<s>/s>"]
+    roles = ["user", "assistant", "system", "tool", "a\nb\\n</s>", None, "", " assistant", "<s>"]
+    turns = [(k % 7 if k % 11 else None, k // 7, roles[k % len(roles)], odd[k % len(odd)]) for k in range(1500)]
+    turns += [(3, None, "assistant", "null turn"), (3, None, "assistant", "null turn"), (9, 1, "user", "only")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    parts = chat_format.format_conversations(df)
+    _check_chat(chat_format.read_back(parts).collect(), turns)
+    for r in parts.collect():
+        for x in r["loss"]:
+            assert r["formatted"][x["start"] + x["length"] :].startswith(" </s>") and r["formatted"][: x["start"]].endswith("<s> ")
+    assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).collect() == []
