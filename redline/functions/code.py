@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 from . import rules as R
 
+# All loops over text are possessive: Java's engine runs them without a stack
+# frame per character, and a failed match is not tried again in pieces.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
 # An identifier, an optional '+', '=', then one complete double-quoted literal.
-LITERAL_ASSIGNMENT = r'([A-Za-z_][A-Za-z0-9_]*)\s*\+?=\s*"(?:[^"\\]|\\.)*"'
-
-# A member call: '.' method '(' arguments ')' with up to three levels of
-# nested parentheses inside the arguments.
-_ARGS = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*"
-MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\((" + _ARGS + r")\)"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
-STRING_LITERAL = r'@?"(?:[^"\\]|\\.)*"'
-INTERPOLATED_STRING = r'\$@?"(?:[^"\\]|\\.)*"'
-HOLE = r"\{([^{}]*)\}"
+LITERAL_ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_]*+)\s*+\+?=\s*+" + _QUOTED
+
+# A member call: '.' method '(' arguments ')'.
+MAX_NESTING = 24
+
+
+def _nested(depth: int) -> str:
+    """Text whose parentheses are balanced, at most ``depth`` deep."""
+    return r"[^()]*+" if depth == 0 else r"(?:[^()]++|\(" + _nested(depth - 1) + r"\))*+"
+
+
+MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*+([A-Za-z_][A-Za-z0-9_]*+)\s*+\((" + _nested(MAX_NESTING) + r")\)"
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*+"
+STRING_LITERAL = "@?" + _QUOTED
+INTERPOLATED_STRING = r"\$@?" + _QUOTED
+HOLE = r"\{([^{}]*+)\}"
+# What may hold comment signs, and comments: strings, verbatim strings (which
+# may span lines), line comments, block comments.
+LEXEMES = r'@"(?:[^"]++|"")*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/'
 LINE_COMMENT = r"//.*$"
 
 
@@ -47,6 +60,18 @@ def keep_holes(line: Column) -> Column:
     return F.array_join(F.zip_with(parts, glue, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
 
 
+def blank_multiline(code: Column) -> Column:
+    """Block comments and verbatim strings that span lines reduced to their
+    line breaks, so every line keeps its number."""
+    found = F.regexp_extract_all(code, F.lit(LEXEMES), F.lit(0))
+    kept = F.transform(
+        found,
+        lambda x: F.when(x.startswith("/*") | (x.startswith("@") & x.contains("\n")), F.regexp_replace(x, "[^\\n]++", "")).otherwise(x),
+    )
+    glued = F.zip_with(F.split(code, LEXEMES, -1), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(code.contains("/*") | code.contains('@"'), F.array_join(glued, "")).otherwise(code)
+
+
 def blank_code(line: Column) -> Column:
     """Remove string-literal contents and line comments so that text inside
     them is never read as an identifier (holes of interpolated strings are

@@ -89,6 +89,17 @@ def entity_category_counts(text: Column) -> Column:
     return F.filter(F.array(*counts), lambda s: s["cnt"] > 0)
 
 
+def confident_counts(entities: Column) -> Column:
+    """``entity_category_counts`` of a plugged-in detector's entities: those of
+    enough confidence, categories in first-seen order; null stays null."""
+    kept = filter_confidence(entities)
+    seen = F.array_distinct(F.transform(kept, lambda e: e["category"]))
+    return F.transform(
+        seen,
+        lambda c, i: F.struct(F.size(F.filter(kept, lambda e: e["category"] == c)).alias("cnt"), (-i).alias("neg_ord"), c.alias("category")),
+    )
+
+
 def dominant_category(counts: Column) -> Column:
     """Most frequent category; ties go to the first seen (pattern order)."""
     return F.when(F.size(counts) > 0, F.array_max(counts)["category"])

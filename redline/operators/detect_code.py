@@ -7,10 +7,9 @@
   HTTP client methods, with at least one argument holding a sensitive
   identifier; one finding per call.
 
-Calls may span lines (matched on the whole blanked source).  Limits of the
-text tier (no syntax tree): argument lists nest at most three parentheses
-deep; block comments and multi-line string literals are not blanked;
-identifiers inside interpolated-string holes are blanked with the string;
+Calls may span lines (matched on the whole blanked source; block comments and
+verbatim strings over several lines are blanked too).  Limits of the text tier
+(no syntax tree): argument lists nest at most ``MAX_NESTING`` parentheses deep;
 nested calls inside a flagged call's arguments are not reported separately;
 identifiers of the arguments are checked left to right.
 """
@@ -25,6 +24,7 @@ from ..functions.code import (
     LITERAL_ASSIGNMENT,
     MEMBER_CALL,
     blank_code,
+    blank_multiline,
     classify_identifier,
     first_sensitive_identifier,
     is_http_call,
@@ -105,7 +105,7 @@ def member_calls(sources: DataFrame) -> DataFrame:
     """
     src = with_scan_id(sources, None).where(F.col("content").rlike(r"\.\s*[A-Za-z_][A-Za-z0-9_]*\s*\("))
     raw_lines = F.split(F.col("content"), "\n", -1)
-    blanked = F.array_join(F.transform(raw_lines, blank_code), "\n")
+    blanked = F.array_join(F.transform(F.split(blank_multiline(F.col("content")), "\n", -1), blank_code), "\n")
     pat = F.lit(MEMBER_CALL)
     b = src.select(
         "scan_id", "file_name", raw_lines.alias("raw_lines"), blanked.alias("code"),

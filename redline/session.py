@@ -8,6 +8,7 @@ driver smoke check only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created and set.
+    On a cluster the setting names a shared folder and is used as is; without
+    it the job fails.  Only on a ``local`` master a scratch folder is created
+    and set when it is unset (tests).
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if master and not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="redline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, current)
     try:
@@ -62,6 +67,23 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark's file listing spells it (scheme and all)."""
+    hadoop, fs = _file_system(spark, path)
+    return fs.makeQualified(hadoop).toString()
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder in whichever store it names."""
+    hadoop, fs = _file_system(spark, path)
+    return bool(fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory())
+
+
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """Round-robin ``df`` over the cluster's cores when its scan gives fewer
     partitions than that (few large files or row groups).  At scale the file

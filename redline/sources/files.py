@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..session import qualified_path
 
 
 def file_extension(file_name: Column) -> Column:
@@ -53,34 +54,52 @@ def as_sources(
     )
 
 
-def read_sources(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def _listing(spark: SparkSession, path: str, corrupt: bool) -> DataFrame | None:
+    """The files under ``path`` with their name relative to it (the base name
+    if ``path`` is one file), or None if there is no such folder."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(corrupt).lower()).load(path)
+    except Exception as exc:  # missing folder -> empty table
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return None
+        raise
+    root = qualified_path(spark, path).rstrip("/") + "/"
+    relative = F.when(F.col("path").startswith(root), F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))).otherwise(
+        F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    )
+    return files.select("path", "length", relative.alias("file_name"), "content")
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Every file under ``path`` read whole as one text row (UTF-8;
     undecodable bytes become U+FFFD).
 
-    Files that cannot be read are skipped (``ignoreCorruptFiles``); a missing
-    folder gives an empty result.  ``max_bytes`` drops larger files before
-    their contents are read (the ``length`` filter is pushed into the
-    binary-file listing), since one file is one row and must fit a task.
+    ``file_name`` is the path relative to ``path``, so equal names in two
+    folders stay apart.  No file is left out for its size; one that Spark
+    cannot read gives no row here and one in ``unreadable_sources``.  A
+    missing folder gives an empty result.
     """
     from ..schemas import SOURCES
 
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("ignoreCorruptFiles", "true")
-            .load(path)
-        )
-    except Exception as exc:  # missing folder -> empty table
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], SOURCES)
-        raise
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= F.lit(max_bytes))
-    file_name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    files = _listing(spark, path, corrupt=True)
+    if files is None:
+        return spark.createDataFrame([], SOURCES)
     return files.select(
         F.sha2(F.col("path"), 256).substr(1, 16).alias("source_id"),
-        file_name.alias("file_name"),
+        "file_name",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        guess_language(file_name).alias("language"),
+        guess_language(F.col("file_name")).alias("language"),
+    )
+
+
+def unreadable_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The files under ``path`` that were not scanned: ``source_id,
+    file_name, length, reason``.  The listing (which opens no file) without
+    the files whose contents could be read."""
+    files = _listing(spark, path, corrupt=True)
+    if files is None:
+        return spark.createDataFrame([], "source_id string, file_name string, length bigint, reason string")
+    read = files.where(F.col("content").isNotNull()).select("path")
+    return files.drop("content").join(read, "path", "left_anti").select(
+        F.sha2(F.col("path"), 256).substr(1, 16).alias("source_id"), "file_name", "length", F.lit("unreadable").alias("reason")
     )

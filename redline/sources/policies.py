@@ -1,8 +1,12 @@
 """Policy clause corpus: each ``*.json`` file is one policy (name = upper
-file stem) holding an array of clause objects with case-insensitive keys."""
+file stem) holding an array of clause objects with case-insensitive keys.
+
+The shipped files in ``redline/policies`` are fixed values: the texts of the
+clauses must equal the reference's."""
 
 from __future__ import annotations
 
+import importlib.resources
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,15 @@ from ..schemas import CLAUSES
 BUILTIN_POLICY_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "policies")
 
 
-def load_policy_clauses(spark: SparkSession, path: str = BUILTIN_POLICY_DIR) -> DataFrame:
+def _shipped(spark: SparkSession) -> DataFrame:
+    """The shipped policy files as rows; executors need not have the package
+    at the same path."""
+    folder = importlib.resources.files(__package__.rpartition(".")[0]).joinpath("policies")
+    rows = [(f.name, f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".json")]
+    return spark.createDataFrame(rows, "file_name string, content string")
+
+
+def load_policy_clauses(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``clauses(policy_name, clause_ord, clause_id, title, clause_text,
     example_violations)``.
 
@@ -22,7 +34,7 @@ def load_policy_clauses(spark: SparkSession, path: str = BUILTIN_POLICY_DIR) ->
     array of objects contributes nothing.
     """
     try:
-        raw = (
+        raw = _shipped(spark) if path is None else (
             spark.read.option("pathGlobFilter", "*.json")
             .text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))

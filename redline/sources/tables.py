@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import FINDINGS
+from ..schemas import CLAUSES, FINDINGS, SCANS
 
 
 def read_csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -21,11 +21,16 @@ def read_csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
     The header names come from the first record; a repeated name gets its
     position as suffix (so no two columns share a name).  Short rows are
-    padded with NULL.  ``multi_line`` allows quoted line breaks (a file is
-    then one split; pass False for large line-oriented files).
+    padded with NULL.  Cells beyond the header are kept in further columns
+    named by position (``column_3``); for that the widest record is looked for
+    first.  ``multi_line``
+    allows quoted line breaks (a file is then one split; pass False for large
+    line-oriented files, which are split).
     """
     from pyspark.sql import types as T
 
+    from ..plans.scan import csv_records
+
     opts = {"multiLine": str(multi_line).lower(), "escape": '"'}
     head = spark.read.options(header="false", **opts).csv(path).limit(1).collect()
     if not head:
@@ -36,31 +41,42 @@ def read_csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> D
         n = "" if v is None else str(v)
         names.append(n if n.lower() not in seen else f"{n}_{i}")
         seen.add(n.lower())
+
+    text = spark.read.text(path, wholetext=multi_line)
+    cells = F.aggregate(csv_records(F.col("value")), F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+    most = text.agg(F.max(cells)).first()[0] or 0
+    for i in range(len(names), most):
+        n = f"column_{i + 1}"
+        names.append(n if n.lower() not in seen else f"{n}_{i}")
+        seen.add(n.lower())
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.options(header="true", enforceSchema="true", **opts).schema(schema).csv(path)
 
 
-def read_json_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file holding a top-level array of objects (or JSON Lines), as
-    an all-string table: non-string values keep their JSON text, missing and
-    null values become ''."""
-    df = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
-    cols = [c for c in df.columns if c != "_corrupt_record"]
-    return df.select(
-        *[
-            F.coalesce(
-                F.col(f"`{c}`") if dict(df.dtypes)[c] == "string" else F.to_json(F.col(f"`{c}`")), F.lit("")
-            ).alias(c)
-            for c in cols
-        ]
-    )
+def read_json_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON file holding a top-level array of objects (with ``lines``: one
+    object a line), as an all-string table: columns in first-seen order,
+    non-string values keep their JSON text, missing and null values become
+    ''.  Elements that are no objects are skipped; another root, or a text
+    that is no JSON, gives a table without columns."""
+    from ..plans.scan import json_objects
+
+    text = spark.read.text(path, wholetext=not lines)
+    content = F.concat(F.lit("["), F.col("value"), F.lit("]")) if lines else F.col("value")
+    files = text.select(F.lit("").alias("scan_id"), F.monotonically_increasing_id().cast("string").alias("file_name"), content.alias("content"))
+    objects = json_objects(files)
+    # the names of the keys, in order of first sight: a schema, not rows
+    keys = objects.select(F.col("file_name").cast("bigint").alias("file"), "rec", F.posexplode(F.map_keys("object")).alias("pos", "name"))
+    names = [r["name"] for r in keys.groupBy("name").agg(F.min(F.struct("file", "rec", "pos")).alias("at")).orderBy("at").collect()]
+    return objects.select(*[F.coalesce(F.col("object")[n], F.lit("")).alias(n) for n in names])
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
-    """Header + rows, every value as text, quotes escaped by doubling."""
+    """Header + rows, every value as text (white space at its ends kept),
+    quotes escaped by doubling."""
     df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.mode("overwrite").option(
         "header", "true"
-    ).option("escape", '"').csv(path)
+    ).options(escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def write_json_table(df: DataFrame, path: str) -> None:
@@ -72,12 +88,25 @@ def write_json_table(df: DataFrame, path: str) -> None:
 
 def persist_findings(findings: DataFrame, path: str) -> None:
     """Write findings partitioned by scan; only the scans present are
-    replaced (dynamic partition overwrite)."""
-    spark = findings.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    findings.select(*[c for c in FINDINGS.fieldNames()]).repartition("scan_id").write.mode("overwrite").partitionBy(
-        "scan_id"
-    ).parquet(path)
+    replaced (dynamic partition overwrite).  ``rebalance`` gathers small scans
+    into few files and lets AQE split a scan that holds many findings."""
+    rows = findings.select(*FINDINGS.fieldNames()).hint("rebalance", "scan_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
+
+
+def persist_scans(scans: DataFrame, path: str) -> None:
+    """Write the scans table (one row a scan; missing columns are null)."""
+    rows = scans.select(*[
+        (F.col(f.name) if f.name in scans.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCANS.fields
+    ])
+    rows.write.mode("overwrite").parquet(path)
+
+
+def persist_clauses(clauses: DataFrame, path: str) -> None:
+    """Write the clause table, one folder a policy; only the policies present
+    are replaced."""
+    rows = clauses.select(*CLAUSES.fieldNames())
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("policy_name").parquet(path)
 
 
 def read_findings(spark: SparkSession, path: str, scan_id: str | None = None) -> DataFrame:
