@@ -3,10 +3,11 @@
 The first k non-blank values of every column (in row order) are sampled,
 and each column is classified by its name and by the values of its samples.
 
-* Tables (``scan_table``): one top-k per column — ``where(non-blank)
-  .orderBy(key).limit(k)`` plans as ``TakeOrderedAndProject``: every task
-  keeps a k-row heap (no sort, no unpivot, values cast to text only for the
-  survivors) and Parquet reads just the key and that column.
+* Tables (``scan_table``): one pass takes the first k rows by key
+  (``TakeOrderedAndProject``: every task keeps a k-row heap, no sort); only a
+  column with a blank among them gets a pass of its own —
+  ``where(non-blank).orderBy(key).limit(k)``, where Parquet reads just the key
+  and that column.
 * Parsed files (``scan_columns`` over long-form ``cells``): a window
   ``row_number() <= k`` that Catalyst plans with a partial
   ``WindowGroupLimit`` before the exchange.
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
+from ..hooks import EntityHook
 from ..functions.columns import (
     classify_column_name,
+    confident_counts,
     dominant_category,
     entity_category_counts,
     map_entity_category,
@@ -117,8 +120,20 @@ def _column_tops(df: DataFrame, order_by: str | list[str], k: int, columns: Iter
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     cols = list(columns) if columns is not None else list(df.columns)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    parts = []
+    # one pass takes the first k rows; a column without a blank among them is done
+    order = [F.col(f"_k{j}").asc() for j in range(len(keys))]
+    head = df.select(
+        *[F.col(f"`{kc}`").alias(f"_k{j}") for j, kc in enumerate(keys)],
+        F.array(*[_present(F.col(f"`{c}`"), types[c]) for c in cols]).alias("_there"),
+        F.array(*[F.col(f"`{c}`").cast("string") for c in cols]).alias("_v"),
+    ).orderBy(*order).limit(k)
+    there = head.select("_there").collect()  # k rows
+    done = [all(r[0][i] for r in there) for i in range(len(cols))]
+    first = head.select(*[f"_k{j}" for j in range(len(keys))], F.posexplode("_v").alias("col_pos", "value"))
+    parts = [first.where(F.col("col_pos").isin([i for i, d in enumerate(done) if d]))] if any(done) else []
     for i, c in enumerate(cols):
+        if done[i]:
+            continue
         col = F.col(f"`{c}`")
         parts.append(
             df.where(_present(col, types[c]))
@@ -135,22 +150,29 @@ def _column_tops(df: DataFrame, order_by: str | list[str], k: int, columns: Iter
 
 def sample_column_values(cells: DataFrame, k: int = R.SAMPLE_VALUES_PER_COLUMN) -> DataFrame:
     """First ``k`` non-blank values of every column in row order:
-    ``(dataset, col_pos, column_name, sample_ord, value)``."""
-    w = Window.partitionBy("dataset", "col_pos").orderBy(F.col("row_key").asc())
+    ``(dataset, col_pos, column_name, sample_ord, value)``, and ``scan_id``
+    where the cells have it (equal file names of two scans stay apart)."""
+    keys = _dataset_keys(cells)
+    w = Window.partitionBy(*keys, "col_pos").orderBy(F.col("row_key").asc())
     return (
         cells.where(has_non_blank(F.col("value")))
         .withColumn("sample_ord", F.row_number().over(w))
         .where(F.col("sample_ord") <= k)
-        .select("dataset", "col_pos", "column_name", F.col("sample_ord").cast("int"), "value")
+        .select(*keys, "col_pos", "column_name", F.col("sample_ord").cast("int"), "value")
     )
 
 
+def _dataset_keys(df: DataFrame) -> list[str]:
+    return (["scan_id"] if "scan_id" in df.columns else []) + ["dataset"]
+
+
 def column_samples(samples: DataFrame) -> DataFrame:
     """One row per column with its ordered samples (at most k per group)."""
-    return samples.groupBy("dataset", "col_pos", "column_name").agg(
+    keys = _dataset_keys(samples)
+    return samples.groupBy(*keys, "col_pos", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("sample_ord", "value"))).alias("samples")
     ).select(
-        "dataset",
+        *keys,
         "col_pos",
         "column_name",
         F.transform("samples", lambda s: s["value"]).alias("samples"),
@@ -160,14 +182,22 @@ def column_samples(samples: DataFrame) -> DataFrame:
 def classify_columns(
     per_column: DataFrame,
     entity_counts: Callable[[Column], Column] = entity_category_counts,
+    entities: EntityHook | None = None,
 ) -> DataFrame:
     """Add ``name_type``, ``value_type`` and the chosen type per column.
 
     Values are judged on the samples joined by LF (so a pattern may run
-    across two samples, as the reference detector does).
+    across two samples, as the reference detector does), by the pattern
+    detector or by a plugged-in one: ``entities`` adds ``entities
+    array<struct<category, confidence>>`` for ``text``; null (the detector
+    failed) leaves the type to the column's name.
     """
     blob = F.array_join(F.col("samples"), "\n")
-    counts = entity_counts(blob)
+    if entities is not None:
+        per_column = entities(per_column.withColumn("text", blob)).drop("text")
+        counts = confident_counts(F.col("entities"))
+    else:
+        counts = entity_counts(blob)
     return per_column.select(
         "*",
         classify_column_name(F.col("column_name")).alias("name_type"),
@@ -180,14 +210,18 @@ def scan_samples(
     scan_id: Column | str = "scan",
     entity_counts: Callable[[Column], Column] = entity_category_counts,
     created_at: Column | None = None,
+    entities: EntityHook | None = None,
 ) -> DataFrame:
     """At most one finding per column; the value-confirmed type beats the
     name type (``AZURE`` vs ``KEYWORD``).  Columns with no non-blank value
     or a blank name give nothing.  ``samples`` is either one row per sample
     (``sample_ord, value``) or one row per column (``samples`` array)."""
-    scan_col = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
+    if "scan_id" in samples.columns:
+        scan_col = F.col("scan_id")
+    else:
+        scan_col = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
     per_column = samples if "samples" in samples.columns else column_samples(samples)
-    per_col = classify_columns(per_column, entity_counts)
+    per_col = classify_columns(per_column, entity_counts, entities)
     per_col = per_col.where(has_non_blank(F.col("column_name")))
     per_col = per_col.where(F.col("name_type").isNotNull() | F.col("value_type").isNotNull())
     return per_col.select(
@@ -216,9 +250,11 @@ def scan_columns(
     k: int = R.SAMPLE_VALUES_PER_COLUMN,
     entity_counts: Callable[[Column], Column] = entity_category_counts,
     created_at: Column | None = None,
+    entities: EntityHook | None = None,
 ) -> DataFrame:
-    """Column findings of long-form cells (parsed CSV/JSON files)."""
-    return scan_samples(sample_column_values(cells, k), scan_id, entity_counts, created_at)
+    """Column findings of long-form cells (parsed CSV/JSON files); cells that
+    carry a ``scan_id`` keep it."""
+    return scan_samples(sample_column_values(cells, k), scan_id, entity_counts, created_at, entities)
 
 
 def scan_table(
@@ -227,13 +263,8 @@ def scan_table(
     order_by: str | list[str],
     scan_id: Column | str = "scan",
     k: int = R.SAMPLE_VALUES_PER_COLUMN,
+    entities: EntityHook | None = None,
 ) -> DataFrame:
     """Column findings of one table (``order_by``: a unique row key)."""
-    return scan_samples(table_column_samples(df, dataset, order_by, k), scan_id=scan_id)
-
+    return scan_samples(table_column_samples(df, dataset, order_by, k), scan_id=scan_id, entities=entities)
 
-def union_cells(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

@@ -13,11 +13,11 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..functions.policy import build_query, resolve_policy_name
 from ..functions.reason import deterministic_reasoning, normalize_model_response
-from .retrieve import retrieve_top1
+from .retrieve import clause_index, retrieve_top1
 
+Embedder = Callable[[DataFrame], DataFrame]
 Reasoner = Callable[[DataFrame], DataFrame]
 
 
@@ -30,10 +30,25 @@ def attach_scan_policy(findings: DataFrame, scans: DataFrame) -> DataFrame:
     return findings.join(scans.select("scan_id", F.col("policy_id").alias("scan_policy_id")), "scan_id", "left")
 
 
-def cite(findings: DataFrame, clause_idx: DataFrame, policy_id: Column | None = None) -> DataFrame:
-    """Findings with ``match`` = best clause under the scan's policy."""
+def embedded_index(clauses: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """The clause index, with the embedder's vectors if there is one."""
+    idx = clause_index(clauses)
+    if embedder is None:
+        return idx
+    vectors = embedder(idx.select("policy_name", "clause_id", F.col("search_text").alias("text")))
+    return clause_index(clauses, vectors)
+
+
+def cite(findings: DataFrame, clause_idx: DataFrame, policy_id: Column | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Findings with ``match`` = best clause under the scan's policy; with an
+    ``embedder`` each finding's query gets a vector (only id and query text
+    pass through the hook)."""
     pol = resolve_policy_name(policy_id) if policy_id is not None else None
-    return retrieve_top1(findings, clause_idx, key="finding_id", query=finding_query(findings), policy=pol)
+    if embedder is None:
+        return retrieve_top1(findings, clause_idx, key="finding_id", query=finding_query(findings), policy=pol)
+    queries = embedder(findings.select("finding_id", finding_query(findings).alias("text")).distinct())
+    asked = findings.join(queries.select("finding_id", F.col("embedding").cast("array<float>").alias("_query_vec")), "finding_id", "left")
+    return retrieve_top1(asked, clause_idx, key="finding_id", query=finding_query(asked), query_vec=F.col("_query_vec"), policy=pol).drop("_query_vec")
 
 
 def enrich(
@@ -41,12 +56,13 @@ def enrich(
     clause_idx: DataFrame,
     policy_id: Column | None = None,
     reasoner: Reasoner | None = None,
+    embedder: Embedder | None = None,
 ) -> DataFrame:
     """Severity, citation, explanation and proposed fix for every finding;
     status is reset to PENDING_REVIEW.  ``is_violation = false`` does not
     drop a finding."""
     cols = findings.columns
-    cited = cite(findings, clause_idx, policy_id)
+    cited = cite(findings, clause_idx, policy_id, embedder)
     m = F.col("match")
     det = deterministic_reasoning(
         F.col("data_type"), F.col("location"), F.col("detected_by"), m["clause_id"], m["title"], F.col("policy_clause_id")
@@ -86,6 +102,3 @@ def offline_reasoner(df: DataFrame) -> DataFrame:
     )
     return df.withColumn("raw_1", F.to_json(det))
 
-
-def default_policy() -> str:
-    return R.ALL_POLICIES

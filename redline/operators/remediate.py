@@ -2,11 +2,9 @@
 
 * ``fix_plan``: every approved finding's target (file, column or line),
   tool, arguments and outcome (applied or the reason it is not).
-* ``apply_column_fixes``: the approved column fixes of one dataset folded in
-  approval order into a single ``select`` over the table: the per-column
-  chains (columns × fix kinds, size checked) become literal expressions, so
-  no data row leaves its task; very long chains travel instead as one row
-  joined on the dataset name and are folded with ``aggregate``.
+* ``apply_column_fixes``: the approved column fixes of one dataset of one scan
+  folded in approval order: the chains travel as one row, broadcast, and each
+  value is folded with ``aggregate``, so no data row leaves its task.
 * ``apply_line_redactions``: the approved line redactions of text sources.
 * ``approve`` / ``reject`` / ``approve_all_high``: status transitions.
 """
@@ -33,9 +31,12 @@ def fix_plan(approved: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files(file_name, columns array<string>)`` lists what exists: datasets
     with their column names, text sources with ``columns = NULL``.  Fixes of
-    one (file, column) apply in ``approved_at`` order; after a DROP the
-    column is gone, so later fixes on it are not applied.
+    one (scan, file, column) apply in ``approved_at`` order; after a DROP the
+    column is gone, so later fixes on it are not applied.  ``files`` names the
+    scan of each file in ``scan_id``; without that column its files belong to
+    every scan.
     """
+    by_scan = "scan_id" in files.columns
     a = _args_lower(F.col("fix_args"))
     tool = F.upper(F.col("fix_tool"))
     fname = location_file_name(F.col("location"))
@@ -59,8 +60,9 @@ def fix_plan(approved: DataFrame, files: DataFrame) -> DataFrame:
         a["reason"].alias("reason"),
         F.col("approved_at"),
     )
-    f = files.select(F.col("file_name").alias("_f"), F.col("columns").alias("_cols"))
-    j = base.join(f, base["target_file"] == f["_f"], "left")
+    f = files.select(F.col("file_name").alias("_f"), F.col("columns").alias("_cols"), *([F.col("scan_id").alias("_s")] if by_scan else []))
+    same = base["target_file"] == f["_f"]
+    j = base.join(f, same & base["scan_id"].eqNullSafe(f["_s"]) if by_scan else same, "left")
     found_col = F.filter(F.coalesce(F.col("_cols"), F.array().cast("array<string>")), lambda c: F.lower(c) == F.lower(F.col("target_column")))
     j = j.withColumn("resolved_column", F.try_element_at(found_col, F.lit(1)))
     is_col_tool = F.col("tool").isin(*COLUMN_TOOLS)
@@ -70,12 +72,12 @@ def fix_plan(approved: DataFrame, files: DataFrame) -> DataFrame:
     j = j.withColumn("_col_key", F.lower(F.col("resolved_column"))).withColumn("_order", order_key)
     first_drop = (
         j.where(is_col_tool & (F.col("tool") == "DROP_COLUMN") & F.col("_col_key").isNotNull())
-        .groupBy(F.col("target_file").alias("_df"), F.col("_col_key").alias("_dk"))
+        .groupBy(F.col("scan_id").alias("_ds"), F.col("target_file").alias("_df"), F.col("_col_key").alias("_dk"))
         .agg(F.min("_order").alias("_first_drop"))
     )
     j = j.join(
         first_drop,
-        (j["target_file"] == first_drop["_df"]) & (j["_col_key"] == first_drop["_dk"]),
+        j["scan_id"].eqNullSafe(first_drop["_ds"]) & (j["target_file"] == first_drop["_df"]) & (j["_col_key"] == first_drop["_dk"]),
         "left",
     ).withColumn(
         "_dropped_before",
@@ -120,45 +122,33 @@ def _fold(value: Column, ops: Column) -> Column:
 
 
 def column_chains(plan: DataFrame) -> DataFrame:
-    """One row per dataset: ``chains map<lower column, array<op>>``.
-
-    Approved fixes are first reduced per (column, tool, style, salt) to a
-    count and the earliest approval (partial aggregation; a hot column is
-    never gathered whole); each column's chain lists these kinds in order of
-    first approval.  A mask is idempotent and applied once; an anonymisation
-    is applied as many times as it was approved.  This equals applying the
-    fixes one by one whenever fixes of one kind are not interleaved with
-    another kind on the same column (e.g. ANONYMIZE, MASK, ANONYMIZE is
-    folded as ANONYMIZE twice, then MASK).
+    """One row per dataset: ``scan_id, target_file, chains map<lower column,
+    array<op>>``, the column's applied masks and anonymisations in approval
+    order.  Repetitions of one fix that follow each other are one op with
+    ``times`` (a mask is idempotent: once); the windows stream, so only the
+    ops, not the fixes, are gathered.
     """
     col_fixes = plan.where(F.col("applied") & F.col("tool").isin("MASK_COLUMN", "ANONYMIZE_COLUMN"))
-    kinds = col_fixes.groupBy(
-        "target_file", F.lower(F.col("resolved_column")).alias("col_key"), "tool", "style", "salt"
-    ).agg(
-        F.count(F.lit(1)).cast("int").alias("times"),
-        F.min(F.struct("approved_at", "finding_id")).alias("first"),
+    col_fixes = col_fixes.withColumn("col_key", F.lower(F.col("resolved_column")))
+    kind = F.when(F.col("tool") == "MASK_COLUMN", F.struct("tool", F.lower("style").alias("x"))).otherwise(F.struct("tool", F.col("salt").alias("x")))
+    w = Window.partitionBy("scan_id", "target_file", "col_key").orderBy("approved_at", "finding_id")
+    runs = col_fixes.withColumn("kind", kind).withColumn("new", F.when(F.lag("kind").over(w).eqNullSafe(F.col("kind")), 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("new").over(w)).groupBy("scan_id", "target_file", "col_key", "run").agg(
+        F.first("tool").alias("tool"), F.first("style").alias("style"), F.first("salt").alias("salt"),
+        F.when(F.first("tool") == "MASK_COLUMN", 1).otherwise(F.count(F.lit(1))).cast("int").alias("times"),
+    )
+    per_col = runs.groupBy("scan_id", "target_file", "col_key").agg(
+        F.sort_array(F.collect_list(F.struct("run", "tool", "style", "salt", "times"))).alias("ops")
     )
-    per_col = kinds.groupBy("target_file", "col_key").agg(
-        F.sort_array(F.collect_list(F.struct("first", "tool", "style", "salt", "times"))).alias("ops")
-    )
-    per_col = per_col.select(
-        "target_file",
-        "col_key",
-        F.transform(
-            "ops",
-            lambda o: F.struct(
-                o["tool"].alias("tool"), o["style"].alias("style"), o["salt"].alias("salt"), o["times"].alias("times")
-            ),
-        ).alias("ops"),
-    )
-    return per_col.groupBy("target_file").agg(F.map_from_entries(F.collect_list(F.struct("col_key", "ops"))).alias("chains"))
+    return per_col.groupBy("scan_id", "target_file").agg(F.map_from_entries(F.collect_list(F.struct("col_key", "ops"))).alias("chains"))
 
 
-def dropped_columns(plan: DataFrame, dataset: str) -> list[str]:
+def dropped_columns(plan: DataFrame, dataset: str, scan_id: str | None = None) -> list[str]:
     """Lower-cased names of the columns of ``dataset`` an applied DROP
     removes (a subset of the dataset's schema, so a small list)."""
     rows = (
-        plan.where(F.col("applied") & (F.col("tool") == "DROP_COLUMN") & (F.col("target_file") == dataset))
+        _of_dataset(plan, dataset, scan_id)
+        .where(F.col("applied") & (F.col("tool") == "DROP_COLUMN"))
         .select(F.lower(F.col("resolved_column")).alias("c"))
         .distinct()
         .collect()
@@ -166,94 +156,79 @@ def dropped_columns(plan: DataFrame, dataset: str) -> list[str]:
     return [r["c"] for r in rows]
 
 
-MAX_LITERAL_OPS = 10_000
+def _of_dataset(plan: DataFrame, dataset: str, scan_id: str | None) -> DataFrame:
+    mine = plan.where(F.col("target_file") == dataset)
+    return mine if scan_id is None else mine.where(F.col("scan_id") == scan_id)
 
 
-def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame) -> DataFrame:
+def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame, scan_id: str | None = None) -> DataFrame:
     """The cleaned copy of ``df``: dropped columns removed, masked and
     anonymised values replaced (all values as the scanner's strings).
 
-    The chains are bounded by the dataset's columns times the distinct fix
-    kinds; they are fetched (size checked) and folded as literal
-    expressions, so the table is rewritten by one projection with no join.
-    Beyond ``MAX_LITERAL_OPS`` the single chains row is joined instead
-    (AQE picks the join from its measured size).
+    ``scan_id`` names the scan the dataset belongs to; without it the plan
+    must be of one scan.  The chains of the dataset are one row (its columns
+    with their approved fixes), broadcast to the rows.
     """
-    drop = set(dropped_columns(plan, dataset))
-    chains = column_chains(plan).where(F.col("target_file") == dataset)
-    n_ops = chains.select(F.coalesce(F.sum(F.aggregate(F.map_values("chains"), F.lit(0), lambda a, x: a + F.size(x))), F.lit(0))).first()[0]
-    keep = [c for c in df.columns if c.lower() not in drop]
-    if n_ops <= MAX_LITERAL_OPS:
-        row = chains.select("chains").first()
-        lit_chains = dict(row["chains"]) if row is not None else {}
-        out = []
-        for c in keep:
-            v = F.col(f"`{c}`").cast("string")
-            ops = lit_chains.get(c.lower()) or []
-            for op in ops:
-                if op["tool"] == "MASK_COLUMN":
-                    v = mask(v, op["style"])
-                elif op["tool"] == "ANONYMIZE_COLUMN":
-                    for _ in range(max(1, int(op["times"]))):
-                        v = anonymize(v, op["salt"])
-            out.append(v.alias(c))
-        return df.select(*out)
-    joined = df.withColumn("_ds", F.lit(dataset)).join(
-        chains.select(F.col("target_file").alias("_ds"), "chains"), "_ds", "left"
-    )
-    empty = F.array().cast("array<struct<tool:string,style:string,salt:string,times:int>>")
+    drop = set(dropped_columns(plan, dataset, scan_id))
+    chains = column_chains(_of_dataset(plan, dataset, scan_id)).select(F.lit(1).alias("_one"), "chains")
+    chains = chains.groupBy("_one").agg(F.first("chains").alias("_chains"))
+    joined = df.select(F.struct("*").alias("_row"), F.lit(1).alias("_one")).join(F.broadcast(chains), "_one", "left")
     out = []
-    for c in keep:
-        ops = F.coalesce(F.col("chains")[c.lower()], empty)
-        v = F.col(f"`{c}`")
-        out.append(F.when(F.size(ops) > 0, _fold(v.cast("string"), ops)).otherwise(v.cast("string")).alias(c))
+    for c in df.columns:
+        if c.lower() not in drop:
+            v = F.col("_row").getField(c).cast("string")
+            ops = F.col("_chains")[c.lower()]
+            out.append(F.when(ops.isNull(), v).otherwise(_fold(v, F.coalesce(ops, F.array().cast(OPS)))).alias(c))
     return joined.select(*out)
 
 
+OPS = "array<struct<run:bigint,tool:string,style:string,salt:string,times:int>>"
+
+
 def apply_line_redactions(sources: DataFrame, plan: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     """Sources with every approved line redaction applied; for several
     notes on one line the last approved wins."""
-    red = plan.where(F.col("applied") & (F.col("tool") == "REDACT_CODE_LINE"))
-    notes = red.groupBy("target_file", "target_line").agg(
+    red = plan.where(F.col("applied") & (F.col("tool") == "REDACT_CODE_LINE")).withColumnRenamed("target_file", "file_name")
+    keys = (["scan_id"] if "scan_id" in sources.columns else []) + ["file_name"]
+    notes = red.groupBy(*keys, "target_line").agg(
         F.max_by(F.col("reason"), F.struct(F.col("approved_at"), F.col("finding_id"))).alias("reason")
-    ).groupBy("target_file").agg(
+    ).groupBy(*keys).agg(
         F.map_from_entries(
             F.collect_list(F.struct(F.col("target_line"), redaction_note(F.col("reason"), label)))
-        ).alias("notes")
+        ).alias("_notes")
     )
-    j = sources.join(notes, sources["file_name"] == notes["target_file"], "left")
-    new = F.when(F.col("notes").isNull(), F.col("content")).otherwise(redact_lines(F.col("content"), F.col("notes")))
+    j = sources.join(notes, keys, "left")
+    new = F.when(F.col("_notes").isNull(), F.col("content")).otherwise(redact_lines(F.col("content"), F.col("_notes")))
     return j.select(*[new.alias("content") if c == "content" else F.col(c) for c in sources.columns])
 
 
 def approve(findings: DataFrame, decisions: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """Apply APPROVE / REJECT decisions.
 
-    APPROVE: an already approved finding is untouched; otherwise status
-    APPROVED, approver (default ``system``) and time are set, even when the
-    fix was not applied.  REJECT: status REJECTED from any state.  For one
-    finding the latest decision counts.
+    The decisions on a finding are replayed in order of ``decided_at`` (null
+    first, then by action).  APPROVE: an already approved finding is
+    untouched, so the first approval is kept; otherwise status APPROVED,
+    approver (default ``system``) and time are set, even when the fix was not
+    applied.  REJECT: status REJECTED from any state.
     """
-    w = Window.partitionBy("finding_id").orderBy(F.col("decided_at").desc_nulls_last(), F.col("action"))
-    last = (
-        decisions.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") == 1)
-        .select(
-            "finding_id",
-            F.upper(F.col("action")).alias("_action"),
-            F.col("approved_by").alias("_by"),
-            F.col("decided_at").alias("_at"),
-        )
+    replay = decisions.groupBy("finding_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("decided_at").alias("at"), F.upper(F.col("action")).alias("action"), F.col("approved_by").alias("by")))).alias("_decisions")
     )
-    j = findings.join(last, "finding_id", "left")
-    already = F.col("status") == "APPROVED"
-    do_approve = (F.col("_action") == "APPROVE") & ~already
-    do_reject = F.col("_action") == "REJECT"
-    new = {
-        "status": F.when(do_reject, F.lit("REJECTED")).when(do_approve, F.lit("APPROVED")).otherwise(F.col("status")),
-        "approved_by": F.when(do_approve, F.coalesce(F.col("_by"), F.lit(R.DEFAULT_APPROVER))).otherwise(F.col("approved_by")),
-        "approved_at": F.when(do_approve, F.col("_at")).otherwise(F.col("approved_at")),
-    }
+    j = findings.join(replay, "finding_id", "left")
+
+    def step(now: Column, d: Column) -> Column:
+        return (
+            F.when(d["action"] == "REJECT", F.struct(F.lit("REJECTED").alias("status"), now["by"].alias("by"), now["at"].alias("at")))
+            .when(
+                (d["action"] == "APPROVE") & ~now["status"].eqNullSafe(F.lit("APPROVED")),
+                F.struct(F.lit("APPROVED").alias("status"), F.coalesce(d["by"], F.lit(R.DEFAULT_APPROVER)).alias("by"), d["at"].alias("at")),
+            )
+            .otherwise(now)
+        )
+
+    start = F.struct(F.col("status").alias("status"), F.col("approved_by").alias("by"), F.col("approved_at").alias("at"))
+    j = j.withColumn("_end", F.when(F.col("_decisions").isNull(), start).otherwise(F.aggregate("_decisions", start, step)))
+    new = {"status": F.col("_end.status"), "approved_by": F.col("_end.by"), "approved_at": F.col("_end.at")}
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in findings.columns])
 
 

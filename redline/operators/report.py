@@ -74,11 +74,9 @@ def scores_with_bands(findings: DataFrame) -> DataFrame:
 def audit_report(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """Flat audit trail: scan header + summary + score on every finding row;
     a scan without findings gives one row with NULL finding fields."""
-    summ = status_summary(findings)
-    score = compliance_score(findings)
+    summ = status_summary(findings).withColumn("compliance_score", compliance_from_counts(F.col("critical"), F.col("high")))
     head = (
         scans.join(summ, "scan_id", "left")
-        .join(score.select("scan_id", "compliance_score"), "scan_id", "left")
         .fillna(0, ["total", "critical", "high", "approved", "rejected", "pending"])
         .fillna(100, ["compliance_score"])
     )
@@ -87,8 +85,12 @@ def audit_report(scans: DataFrame, findings: DataFrame) -> DataFrame:
         "policy_clause_id", "policy_clause_text", "explanation", F.col("status").alias("finding_status"),
         "fix_tool", "fix_args", "approved_by", "approved_at",
     ]
+    # Findings stand on the left, so the scans' side may be broadcast when its
+    # measured size allows, and AQE may split a scan that holds many findings.
     f = findings.select("scan_id", *cols)
-    return head.join(f, "scan_id", "left")
+    none = head.where("total = 0")
+    none = none.select(*none.columns, *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in f.columns[1:]])
+    return f.join(head, "scan_id").select(*none.columns).unionByName(none)
 
 
 def available_policies(findings: DataFrame) -> DataFrame:
@@ -107,24 +109,31 @@ def filter_findings(findings: DataFrame, severity: str | None = None, policies:
 
 
 def files_with_findings(sources: DataFrame, findings: DataFrame) -> DataFrame:
-    """Sources having at least one finding (left-semi join on file)."""
-    return sources.join(findings.select("file_name").distinct(), "file_name", "left_semi")
+    """Sources having at least one finding (left-semi join on scan and file)."""
+    keys = _file_keys(sources, findings)
+    return sources.join(findings.select(*keys).distinct(), keys, "left_semi")
+
+
+def _file_keys(left: DataFrame, findings: DataFrame) -> list[str]:
+    """What names a file: the scan too, where the left side tells it."""
+    return (["scan_id"] if "scan_id" in left.columns and "scan_id" in findings.columns else []) + ["file_name"]
 
 
 def annotate_lines(sources: DataFrame, findings: DataFrame) -> DataFrame:
     """Every line of every source (empty lines included) with the last
     finding of that line (by rule, then match order)."""
+    keys = _file_keys(sources, findings)
     lines = sources.select(
-        "file_name", F.posexplode(F.split(F.col("content"), "\n", -1)).alias("pos", "text")
-    ).select("file_name", (F.col("pos") + 1).cast("int").alias("line_no"), "text")
-    per_line = findings.where(F.col("line_no").isNotNull()).groupBy("file_name", "line_no").agg(
+        *keys, F.posexplode(F.split(F.col("content"), "\n", -1)).alias("pos", "text")
+    ).select(*keys, (F.col("pos") + 1).cast("int").alias("line_no"), "text")
+    per_line = findings.where(F.col("line_no").isNotNull()).groupBy(*keys, "line_no").agg(
         F.max_by(
             F.struct("finding_id", "data_type", "severity"),
             F.struct(F.coalesce("rule_ord", F.lit(0)), F.coalesce("match_ord", F.lit(0)), "finding_id"),
         ).alias("f")
     )
-    return lines.join(per_line, ["file_name", "line_no"], "left").select(
-        "file_name", "line_no", "text",
+    return lines.join(per_line, [*keys, "line_no"], "left").select(
+        *keys, "line_no", "text",
         F.col("f.finding_id").alias("finding_id"),
         F.col("f.data_type").alias("data_type"),
         F.col("f.severity").alias("severity"),
@@ -134,14 +143,13 @@ def annotate_lines(sources: DataFrame, findings: DataFrame) -> DataFrame:
 def annotate_columns(columns: DataFrame, findings: DataFrame) -> DataFrame:
     """Every dataset column ``(file_name, col_pos, column_name)`` with the
     last finding naming it (trimmed header match)."""
-    per_col = findings.where(F.col("column_name").isNotNull()).groupBy("file_name", "column_name").agg(
+    keys = _file_keys(columns, findings)
+    per_col = findings.where(F.col("column_name").isNotNull()).groupBy(*keys, F.col("column_name").alias("_t")).agg(
         F.max_by(F.struct("finding_id", "data_type", "severity"), F.col("finding_id")).alias("f")
-    ).select("file_name", F.col("column_name").alias("_c"), "f")
+    )
     c = columns.withColumn("_t", F.trim(F.col("column_name")))
-    return c.join(
-        per_col, (c["file_name"] == per_col["file_name"]) & (c["_t"] == per_col["_c"]), "left"
-    ).select(
-        c["file_name"], "col_pos", c["column_name"],
+    return c.join(per_col, [*keys, "_t"], "left").select(
+        *keys, "col_pos", "column_name",
         F.col("f.finding_id").alias("finding_id"),
         F.col("f.data_type").alias("data_type"),
         F.col("f.severity").alias("severity"),
@@ -150,17 +158,23 @@ def annotate_columns(columns: DataFrame, findings: DataFrame) -> DataFrame:
 
 def scan_detail(scans: DataFrame, findings: DataFrame, sources: DataFrame) -> DataFrame:
     """Scan status and score with every file of the scan (its current
-    content) and the number of findings in it; flat, one row per file."""
+    content) and the number of findings in it; flat, one row per file; a scan
+    without files gives one row.
+
+    The scan's own columns are few and are joined to the counts per file
+    first; the file rows stand on the left of one join by (scan, file), so the
+    counts are broadcast when small and no exchange is by scan alone."""
     per_file = findings.groupBy("scan_id", "file_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_findings"))
-    score = compliance_score(findings, scans).select("scan_id", "compliance_score")
-    files = sources.select("scan_id", "file_name", "content")
-    return (
-        scans.select("scan_id", "policy_id", "status")
-        .join(score, "scan_id", "left")
-        .join(files, "scan_id", "left")
-        .join(per_file, ["scan_id", "file_name"], "left")
-        .fillna(0, ["n_findings"])
+    head = scans.select("scan_id", "policy_id", "status").join(compliance_score(findings, scans).select("scan_id", "compliance_score"), "scan_id", "left")
+    names = sources.select("scan_id", "file_name")
+    files = names.distinct().join(per_file, ["scan_id", "file_name"], "left").fillna(0, ["n_findings"])
+    slim = files.join(head, "scan_id")
+    out = sources.select("scan_id", "file_name", "content").join(slim, ["scan_id", "file_name"])
+    columns = ["scan_id", "policy_id", "status", "compliance_score", "file_name", "content", "n_findings"]
+    empty = head.join(names.select("scan_id").distinct(), "scan_id", "left_anti").withColumns(
+        {"file_name": F.lit(None).cast("string"), "content": F.lit(None).cast("string"), "n_findings": F.lit(0).cast("bigint")}
     )
+    return out.select(*columns).unionByName(empty.select(*columns))
 
 
 def policy_summary(clauses: DataFrame) -> DataFrame:

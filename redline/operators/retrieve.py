@@ -65,16 +65,21 @@ def _block_rows(index: DataFrame, n_blocks: int) -> DataFrame:
         F.col("embedding"),
     )
     blk = F.pmod(F.xxhash64("policy_name", "clause_id"), F.lit(n_blocks)).cast("int")
-    return index.select(blk.alias("_blk"), cand.alias("c")).groupBy("_blk").agg(F.collect_list("c").alias("_cands"))
+    blocks = index.select(blk.alias("_blk"), cand.alias("c")).groupBy("_blk").agg(F.collect_list("c").alias("_cands"))
+    # one row: the policies that have a clause without a vector
+    missing = index.agg(F.collect_set(F.when(F.col("embedding").isNull(), F.lower("policy_name"))).alias("_missing"), F.lit(1).alias("_one"))
+    return blocks.withColumn("_one", F.lit(1)).join(F.broadcast(missing), "_one").drop("_one")
 
 
-def _best_in_block(cands: Column, q_tokens: Column, q_vec: Column, policy: Column) -> Column:
+def _best_in_block(cands: Column, missing: Column, q_tokens: Column, q_vec: Column, policy: Column) -> Column:
     """``struct<neg_score, policy_name, clause_ord, clause_id, title, clause_text>``
     of the best candidate of one block, NULL when the policy leaves none."""
     eligible = F.filter(
         cands, lambda c: policy.isNull() | (F.lower(c["policy_name"]) == F.lower(policy))
     )
-    use_cos = q_vec.isNotNull() & F.forall(eligible, lambda c: c["embedding"].isNotNull())
+    # decided over all candidates of the policy, in whichever block they are
+    all_embedded = F.when(policy.isNull(), F.size(missing) == 0).otherwise(~F.array_contains(missing, F.lower(policy)))
+    use_cos = q_vec.isNotNull() & all_embedded
     n_q = F.size(q_tokens)
 
     def score(c: Column) -> Column:
@@ -111,7 +116,8 @@ def retrieve_top1(
 
     ``query`` is the text to tokenise (a column of ``findings``),
     ``query_vec`` an optional vector, ``policy`` an optional policy-name
-    filter per row (NULL = all).  Every input row is kept.
+    filter per row (NULL = all).  Every input row is kept.  ``key`` names the
+    finding; the result does not depend on ``block_size``.
     """
     q_text = query if query is not None else F.col("query")
     q_vec = query_vec if query_vec is not None else F.lit(None).cast("array<float>")
@@ -161,22 +167,24 @@ def _retrieve(findings, blocks, n_blocks, cand_bytes, key, q_text, q_vec, pol, o
     )
     # one row per finding and block; a generator (not a literal) keeps the
     # join an equi-join on the block id even for a single block
+    base_cols = list(findings.columns)
+    if n_blocks > 1:  # only what scoring needs is multiplied
+        prepared = prepared.select(F.col(f"`{key}`").alias("_key"), "_qt", "_qv", "_pol").dropDuplicates(["_key"])
     fan = prepared.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     blocks = F.broadcast(blocks) if cand_bytes <= broadcast_bytes else blocks
     joined = fan.join(blocks, "_blk", "left")
     best = _best_in_block(
         F.coalesce(F.col("_cands"), F.array().cast(blocks.schema["_cands"].dataType)),
+        F.coalesce(F.col("_missing"), F.array().cast("array<string>")),
         F.col("_qt"),
         F.col("_qv"),
         F.col("_pol"),
     )
-    base_cols = [c for c in findings.columns]
-    scored = joined.select(*[F.col(f"`{c}`") for c in base_cols], best.alias("_best"))
     if n_blocks > 1:
-        others = [c for c in base_cols if c != key]
-        scored = scored.groupBy(F.col(f"`{key}`")).agg(
-            *[F.first(F.col(f"`{c}`")).alias(c) for c in others], F.min("_best").alias("_best")
-        )
+        winners = joined.select("_key", best.alias("_best")).groupBy("_key").agg(F.min("_best").alias("_best"))
+        scored = findings.join(winners, findings[key].eqNullSafe(winners["_key"]), "left")
+    else:
+        scored = joined.select(*[F.col(f"`{c}`") for c in base_cols], best.alias("_best"))
     b = F.col("_best")
     match = F.when(
         b.isNotNull(),

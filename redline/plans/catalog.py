@@ -14,6 +14,8 @@ fixed rules, and only give rows in the schema the job expects:
 
 from __future__ import annotations
 
+import weakref
+
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,16 +99,15 @@ def clauses(spark: SparkSession) -> DataFrame:
     return load_policy_clauses(spark)
 
 
-_CLAUSE_INDEX: dict[int, DataFrame] = {}
+_CLAUSE_INDEX: "weakref.WeakKeyDictionary[SparkSession, DataFrame]" = weakref.WeakKeyDictionary()
 
 
 def clause_idx(spark: SparkSession) -> DataFrame:
     """The shipped policy corpus as a retrieval index, cached per session
     (reference data of a few dozen rows)."""
-    key = id(spark)
-    if key not in _CLAUSE_INDEX:
-        _CLAUSE_INDEX[key] = retrieve.clause_index(clauses(spark)).cache()
-    return _CLAUSE_INDEX[key]
+    if spark not in _CLAUSE_INDEX:
+        _CLAUSE_INDEX[spark] = retrieve.clause_index(clauses(spark)).cache()
+    return _CLAUSE_INDEX[spark]
 
 
 def doc_findings(spark: SparkSession, d: str, keep_match: bool = False) -> DataFrame:
@@ -481,10 +482,6 @@ def _customer_plan(spark, d, tool_override: str | None = None):
     return c, remediate.fix_plan(f, files)
 
 
-def _customer_out(df):
-    return df.select(*[F.col(c) for c in df.columns])
-
-
 def q_drop_column(spark, d):
     c, plan = _customer_plan(spark, d, "DROP_COLUMN")
     out = remediate.apply_column_fixes(c, "customer", plan)
@@ -592,7 +589,7 @@ def q_files_with_findings(spark, d):
 
 def q_annotate_lines(spark, d):
     a = report.annotate_lines(doc_sources(spark, d), enriched_doc_findings(spark, d))
-    return a.select("file_name", _i("line_no").alias("line_no"), _i(F.length("text")).alias("text_length"), "finding_id", "data_type", "severity")
+    return a.select("file_name", _i("line_no").alias("line_no"), F.sha2("text", 256).alias("text_sha256"), "finding_id", "data_type", "severity")
 
 
 def q_annotate_columns(spark, d):
@@ -606,7 +603,7 @@ def q_scan_detail(spark, d):
     f = enriched_doc_findings(spark, d)
     return report.scan_detail(scans(spark, d), f, doc_sources(spark, d)).select(
         "scan_id", "policy_id", "status", _i("compliance_score").alias("compliance_score"), "file_name",
-        _i(F.length("content")).alias("content_length"), "n_findings",
+        F.sha2("content", 256).alias("content_sha256"), "n_findings",
     )
 
 

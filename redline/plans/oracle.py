@@ -12,7 +12,6 @@ import json
 import os
 
 from ..functions import rules as R
-from ..functions.code import LITERAL_ASSIGNMENT
 from ..functions.policy import TOKEN_SPLIT
 from ..sources.policies import BUILTIN_POLICY_DIR
 from . import catalog as C
@@ -40,6 +39,9 @@ def s(x: str | None) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+# Written for DuckDB's engine on its own, not shared with the Spark code.
+LITERAL_ASSIGNMENT = r'([A-Za-z_][A-Za-z0-9_]*)[ \t\r\f\v]*[+]?=[ \t\r\f\v]*"(?:\\.|[^\\"])*"'
+
 WS = "[" + R.WHITESPACE_CHARS + "]"
 
 
@@ -694,7 +696,7 @@ def _q() -> dict[str, str]:
             "pl AS (SELECT file_name, line_no, finding_id, data_type, e_severity AS severity FROM ef QUALIFY row_number() OVER "
             "(PARTITION BY file_name, line_no ORDER BY rule_ord DESC, match_ord DESC, finding_id DESC) = 1)",
         ],
-        "SELECT u.file_name, u.line_no, CAST(length(u.text) AS BIGINT) AS text_length, pl.finding_id, pl.data_type, pl.severity "
+        "SELECT u.file_name, u.line_no, sha256(u.text) AS text_sha256, pl.finding_id, pl.data_type, pl.severity "
         "FROM al_u u LEFT JOIN pl ON u.file_name = pl.file_name AND u.line_no = pl.line_no",
     )
     cols_vals = ", ".join(f"('customer', {i}, {s(c)})" for i, c in enumerate(TABLE_COLUMNS["customer"]))
@@ -715,7 +717,7 @@ def _q() -> dict[str, str]:
         ],
         "SELECT sc.scan_id, sc.policy_id, sc.status, CAST(greatest(0, 100 - coalesce(c.critical, 0) * "
         f"{R.COMPLIANCE_CRITICAL_PENALTY} - coalesce(c.high, 0) * {R.COMPLIANCE_HIGH_PENALTY}) AS BIGINT) AS compliance_score, "
-        "s.file_name, CAST(length(s.content) AS BIGINT) AS content_length, CAST(coalesce(pf.n, 0) AS BIGINT) AS n_findings "
+        "s.file_name, sha256(s.content) AS content_sha256, CAST(coalesce(pf.n, 0) AS BIGINT) AS n_findings "
         "FROM sc LEFT JOIN cnt c ON sc.scan_id = c.scan_id LEFT JOIN src s ON sc.scan_id = s.scan_id "
         "LEFT JOIN pf ON s.scan_id = pf.scan_id AND s.file_name = pf.file_name",
     )

@@ -11,60 +11,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import hooks
 from ..functions import rules as R
 from ..functions.code import is_csharp
 from ..functions.columns import is_dataset, is_json_dataset
-from ..operators import detect_code, detect_columns, detect_text, enrich, retrieve
+from ..operators import detect_code, detect_columns, detect_text, enrich
 from ..operators.detect_code import with_scan_id
+from ..schemas import FINDING_COLUMNS
 
-# A comma outside double quotes (CSV field separator on one record line).
-CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stand-ins (Unicode noncharacters) for what a quoted CSV field may hold.
+HIDDEN = {"\n": "\ufdd0", ",": "\ufdd1", "\r": "\ufdd2"}
+
+
+def _hide_quoted(content: Column) -> Column:
+    """The text with line breaks and commas inside double quotes replaced by
+    stand-ins: every second piece between quotes is quoted text."""
+    plain, stand_ins = "".join(HIDDEN), "".join(HIDDEN.values())
+    pieces = F.transform(F.split(content, '"', -1), lambda p, i: F.when(i % 2 == 1, F.translate(p, plain, stand_ins)).otherwise(p))
+    return F.array_join(pieces, '"')
 
 
 def _unquote(cell: Column) -> Column:
-    inner = F.regexp_extract(cell, r'^\s*"(.*)"\s*$', 1)
-    quoted = cell.rlike(r'^\s*".*"\s*$')
-    return F.when(quoted, F.regexp_replace(inner, '""', '"')).otherwise(cell)
+    shown = F.translate(cell, "".join(HIDDEN.values()), "".join(HIDDEN))
+    bare = F.trim(shown)
+    quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) > 1)
+    return F.when(quoted, F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))).otherwise(shown)
 
 
-def csv_cells(sources: DataFrame) -> DataFrame:
-    """Cells of CSV sources: header row = column names, every cell a string,
-    ragged rows kept (cells beyond the header are ignored).  Records are
-    lines; a quoted field holding a line break is not supported here (read
-    such files with ``spark.read.csv(multiLine=True)`` instead)."""
-    lines = sources.select(
-        "scan_id", "file_name",
-        F.posexplode(F.filter(F.split(F.col("content"), "\n", -1), lambda l: F.trim(F.regexp_replace(l, "\r$", "")) != "")).alias("row_no", "line"),
-    )
-    cells = lines.select(
-        "scan_id", "file_name", "row_no",
-        F.posexplode(F.split(F.regexp_replace(F.col("line"), "\r$", ""), CSV_SPLIT, -1)).alias("col_pos", "raw"),
-    ).select("scan_id", "file_name", "row_no", "col_pos", _unquote(F.col("raw")).alias("value"))
-    header = cells.where(F.col("row_no") == 0).select("file_name", "col_pos", F.col("value").alias("column_name"))
-    body = cells.where(F.col("row_no") > 0)
-    return body.join(header, ["file_name", "col_pos"]).select(
-        "scan_id", F.col("file_name").alias("dataset"), F.col("row_no").cast("bigint").alias("row_key"),
-        F.col("col_pos").cast("int"), "column_name", "value",
-    )
+def csv_records(content: Column) -> Column:
+    """The records of a CSV text, each an array of cells: quoted fields may
+    hold commas, line breaks and doubled quotes; blank lines are left out."""
+    lines = F.transform(F.split(_hide_quoted(content), "\n", -1), lambda x: F.rtrim(x, F.lit("\r")))
+    return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.transform(F.split(x, ",", -1), _unquote))
 
 
-def json_cells(sources: DataFrame) -> DataFrame:
-    """Cells of JSON sources holding a top-level array of objects: columns
-    are the union of keys in first-seen order, non-object elements are
-    skipped, non-string values are kept as JSON text."""
+def csv_cells(sources: DataFrame) -> DataFrame:
+    """Cells of CSV sources, with their scan: header row = column names, every
+    cell a string, ragged rows kept (a cell beyond the header has an empty
+    column name)."""
+    rows = sources.select("scan_id", "file_name", csv_records(F.col("content")).alias("records"))
+    rows = rows.select("scan_id", "file_name", F.try_element_at("records", F.lit(1)).alias("header"), F.posexplode("records").alias("row_no", "cells"))
+    cells = rows.where("row_no > 0").select("scan_id", "file_name", "row_no", "header", F.posexplode("cells").alias("col_pos", "value"))
+    return cells.select(
+        "scan_id", F.col("file_name").alias("dataset"), F.col("row_no").cast("bigint").alias("row_key"), F.col("col_pos").cast("int"),
+        F.coalesce(F.try_element_at("header", F.col("col_pos") + 1), F.lit("")).alias("column_name"), "value",
+    )
+
+
+def json_objects(sources: DataFrame) -> DataFrame:
+    """The objects of a JSON text's top-level array, in order, as maps of
+    strings: ``scan_id, file_name, rec, object``."""
     elems = sources.select(
         "scan_id", "file_name",
         F.posexplode(F.coalesce(F.from_json(F.col("content"), "array<string>"), F.array().cast("array<string>"))).alias("rec", "el"),
     )
-    kv = elems.select(
-        "scan_id", "file_name", "rec",
-        F.posexplode(F.map_entries(F.from_json(F.col("el"), "map<string,string>"))).alias("kpos", "e"),
+    return elems.where(F.ltrim("el").startswith("{")).select("scan_id", "file_name", "rec", F.from_json(F.col("el"), "map<string,string>").alias("object"))
+
+
+def json_cells(sources: DataFrame) -> DataFrame:
+    """Cells of JSON sources holding a top-level array, with their scan:
+    columns are the union of the objects' keys in first-seen order, other
+    elements are skipped, another root gives none, non-string values are kept
+    as JSON text, null as ''."""
+    kv = json_objects(sources).select(
+        "scan_id", "file_name", "rec", F.posexplode(F.map_entries("object")).alias("kpos", "e")
     ).select("scan_id", "file_name", "rec", "kpos", F.col("e.key").alias("column_name"), F.col("e.value").alias("value"))
-    first_seen = kv.groupBy("file_name", "column_name").agg(F.min(F.struct("rec", "kpos")).alias("first"))
+    first_seen = kv.groupBy("scan_id", "file_name", "column_name").agg(F.min(F.struct("rec", "kpos")).alias("first"))
     order = first_seen.withColumn(
-        "col_pos", (F.dense_rank().over(Window.partitionBy("file_name").orderBy("first")) - 1).cast("int")
-    ).select("file_name", "column_name", "col_pos")
-    return kv.join(order, ["file_name", "column_name"]).select(
+        "col_pos", (F.dense_rank().over(Window.partitionBy("scan_id", "file_name").orderBy("first")) - 1).cast("int")
+    ).select("scan_id", "file_name", "column_name", "col_pos")  # a file's key names
+    return kv.join(order, ["scan_id", "file_name", "column_name"]).select(
         "scan_id", F.col("file_name").alias("dataset"), F.col("rec").cast("bigint").alias("row_key"), "col_pos",
         "column_name", F.coalesce(F.col("value"), F.lit("")).alias("value"),
     )
@@ -74,9 +90,15 @@ def route_detectors(
     sources: DataFrame,
     datasets: dict[str, tuple[DataFrame, str | list[str]]] | None = None,
     scan_id: str | None = None,
+    detectors: dict[str, hooks.Detector] | None = None,
+    entities: hooks.EntityHook | None = None,
 ) -> DataFrame:
     """Detection findings of a scan: regex on every source, code rules on C#
-    sources, column scan on CSV/JSON sources and on the given tables."""
+    sources, column scan on CSV/JSON sources and on the given tables, and the
+    given (else the registered) plug-in detectors on every source.
+
+    ``entities`` is a value detector over sample texts (see ``hooks``); where
+    it fails for a column, that column is classified by its name."""
     src = with_scan_id(sources, scan_id)
     parts = [detect_text.scan_text(src)]
     code_src = src.where(is_csharp(F.col("file_name"), F.col("language")))
@@ -84,38 +106,19 @@ def route_detectors(
     ds = src.where(is_dataset(F.col("file_name"), F.col("language")))
     js = is_json_dataset(F.col("file_name"), F.col("language"))
     for cells in (csv_cells(ds.where(~js)), json_cells(ds.where(js))):
-        parts.append(_scan_cells_with_scan(cells))
+        parts.append(detect_columns.scan_columns(cells, entities=entities))
     for name, (df, order_by) in (datasets or {}).items():
         sid = scan_id if scan_id is not None else name
-        parts.append(detect_columns.scan_columns(detect_columns.table_cells(df, name, order_by), scan_id=sid))
+        parts.append(detect_columns.scan_table(df, name, order_by, scan_id=sid, entities=entities))
+    plugged = hooks.run_detectors(src, detectors)
+    if plugged is not None:
+        parts.append(plugged.select(*FINDING_COLUMNS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _scan_cells_with_scan(cells: DataFrame) -> DataFrame:
-    """Column scan of parsed files; every file keeps its scan id."""
-    scan_of = cells.select("dataset", "scan_id").distinct()
-    f = detect_columns.scan_columns(cells.drop("scan_id"), scan_id="_")
-    return f.drop("scan_id").join(scan_of.withColumnRenamed("dataset", "file_name"), "file_name").select(
-        *[F.col(c) for c in detect_columns_finding_columns()]
-    ).withColumn(
-        "finding_id",
-        F.sha2(
-            F.concat_ws("|", "scan_id", "file_name", F.col("line_no").cast("string"), "column_name", "detected_by",
-                        F.col("rule_ord").cast("string"), F.col("match_ord").cast("string")),
-            256,
-        ),
-    )
-
-
-def detect_columns_finding_columns() -> list[str]:
-    from ..schemas import FINDING_COLUMNS
-
-    return FINDING_COLUMNS
-
-
 def validate_policy_requests(requests: DataFrame, clauses: DataFrame) -> DataFrame:
     """Requests whose policy id is neither ``ALL`` (any case) nor an existing
     policy (case-insensitive): the ones to reject."""
@@ -130,11 +133,16 @@ def scan(
     datasets: dict[str, tuple[DataFrame, str | list[str]]] | None = None,
     scans: DataFrame | None = None,
     reasoner=None,
+    embedder: hooks.Embedder | None = None,
+    detectors: dict[str, hooks.Detector] | None = None,
+    entities: hooks.EntityHook | None = None,
 ) -> DataFrame:
-    """Detect, cite and reason: the findings table of one or many scans."""
-    found = route_detectors(sources, datasets)
-    idx = retrieve.clause_index(clauses)
+    """Detect, cite and reason: the findings table of one or many scans.  With
+    an ``embedder`` clauses and queries get vectors and retrieval is by
+    cosine."""
+    found = route_detectors(sources, datasets, detectors=detectors, entities=entities)
+    idx = enrich.embedded_index(clauses, embedder)
     if scans is not None:
         found = enrich.attach_scan_policy(found, scans)
-        return enrich.enrich(found, idx, policy_id=F.col("scan_policy_id"), reasoner=reasoner).drop("scan_policy_id")
-    return enrich.enrich(found, idx, reasoner=reasoner)
+        return enrich.enrich(found, idx, policy_id=F.col("scan_policy_id"), reasoner=reasoner, embedder=embedder).drop("scan_policy_id")
+    return enrich.enrich(found, idx, reasoner=reasoner, embedder=embedder)

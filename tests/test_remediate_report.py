@@ -106,6 +106,46 @@ def test_approve_reject(spark):
     assert high == {"f1": "APPROVED", "f2": "APPROVED", "f3": "APPROVED", "f4": "PENDING_REVIEW"}
 
 
+def test_fixes_apply_in_approval_order(spark):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    kinds = {"m": ("MASK_COLUMN", {}), "f": ("MASK_COLUMN", {"style": "full"}), "a": ("ANONYMIZE_COLUMN", {}), "s": ("ANONYMIZE_COLUMN", {"salt": "z"})}
+
+    def cleaned(ops, value="John"):
+        rows = [(f"f{i:04d}", "s", "NAME", "MEDIUM", "c.csv:column=name", kinds[k][0], kinds[k][1], "APPROVED", "u", t(i), None, None) for i, k in enumerate(ops)]
+        other = [("g", "other", "NAME", "MEDIUM", "c.csv:column=name", "DROP_COLUMN", {}, "APPROVED", "u", t(0), None, None)]
+        files = spark.createDataFrame([("s", "c.csv", ["name"]), ("other", "c.csv", ["name"])], "scan_id string, file_name string, columns array<string>")
+        plan = remediate.fix_plan(_findings(spark, rows + other), files)
+        return remediate.apply_column_fixes(spark.createDataFrame([(value,)], "name string"), "c.csv", plan, scan_id="s").first()[0]
+
+    import hashlib
+
+    def expect(ops, v="John"):
+        for k in ops:
+            if k == "f":
+                v = "***"
+            elif k == "m":
+                v = v[0] + "***" + (v[v.index("@") :] if "@" in v[1:] else "")
+            else:
+                v = "anon_" + hashlib.sha256((("z" if k == "s" else "") + v).encode()).hexdigest()[:12]
+        return v
+
+    for ops in ("mam", "amas", "fma", "a" * 10, "saas", "a" * 1000):
+        assert cleaned(ops) == expect(ops), ops
+
+
+def test_first_approval_is_kept(spark):
+    rows = [(f"f{i}", "s", "EMAIL", "HIGH", "x:1", "MASK_COLUMN", {}, "PENDING_REVIEW", None, None, 1, 1) for i in range(3)]
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    decisions = [
+        ("f0", "APPROVE", "alice", t(1)), ("f0", "APPROVE", "bob", t(2)),
+        ("f1", "APPROVE", "alice", t(1)), ("f1", "REJECT", "eve", t(2)), ("f1", "approve", "bob", t(3)), ("f1", "APPROVE", "carl", t(4)),
+        ("f2", "APPROVE", "alice", t(1)), ("f2", "REJECT", "eve", t(2)),
+    ]
+    d = spark.createDataFrame(decisions, "finding_id string, action string, approved_by string, decided_at timestamp")
+    got = {r.finding_id: (r.status, r.approved_by, r.approved_at) for r in remediate.approve(_findings(spark, rows), d).collect()}
+    assert got == {"f0": ("APPROVED", "alice", t(1)), "f1": ("APPROVED", "bob", t(3)), "f2": ("REJECTED", "alice", t(1))}
+
+
 def test_scores_and_summary(spark):
     # the mock dashboard's findings: residual score 12 = 100 - (14 + 26 + 14 + 8 + 26)
     sev = ["HIGH", "CRITICAL", "HIGH", "MEDIUM", "CRITICAL"]
