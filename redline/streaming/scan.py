@@ -4,12 +4,15 @@
   (landed files, each read whole): → ``scan_text`` (stateless, append) →
   Parquet sink with a checkpoint in the shared checkpoint folder.
   Exactly-once through the file sink's log.
+* ``start_scan_stream``: every micro-batch goes through the whole scan (all
+  detectors, citation, reasoning) in ``foreachBatch``; its findings and its
+  lifecycle rows (PENDING, SCANNING, then DONE or ERROR, one row a scan) are
+  written to the folder of the batch id, so a batch that runs again replaces
+  what it wrote.  A batch that fails leaves ERROR rows with the message and
+  stops the query; its offset is not committed, so a restart runs it again.
 * ``start_running_score``: per-scan CRITICAL/HIGH counts and the compliance
-  score in update mode; every micro-batch is written by ``foreachBatch`` as
-  an upsert log (batch id + new totals of the changed scans) next to a
-  lifecycle row per scan and batch (DONE, or ERROR with its message, so one
-  bad batch does not stop the query).  ``latest_scores`` reads the newest
-  total per scan.
+  score in update mode, written by batch id in the same way (new totals of the
+  changed scans).  ``latest_scores`` reads the newest total per scan.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.reason import default_severity
 from ..functions.report import compliance_from_counts
 from ..operators.detect_text import scan_text
-from ..session import checkpoint_path
+from ..session import checkpoint_path, is_folder
 from ..sources.files import as_sources
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -31,20 +34,19 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 def documents_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Stream of ``documents`` rows from a landing folder; a path naming a
-    single file streams that file's folder filtered to its name."""
-    import os
-
+    single file (in whichever store) streams that file's folder filtered to
+    its name."""
     reader = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        folder, name = os.path.split(path)
+    if path.endswith(".parquet") and not is_folder(spark, path):
+        folder, _, name = path.rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
 def start_stream_scan(
-    spark: SparkSession, path: str, out_dir: str, ckpt_dir: str, available_now: bool = True
+    spark: SparkSession, path: str, out_dir: str, ckpt_dir: str, available_now: bool = True, max_files_per_trigger: int = 1
 ) -> StreamingQuery:
-    src = as_sources(documents_stream(spark, path), "doc_id", "text", "documents/", scan_col="source")
+    src = as_sources(documents_stream(spark, path, max_files_per_trigger), "doc_id", "text", "documents/", scan_col="source")
     findings = scan_text(src).drop("fix_args")
     w = findings.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
@@ -95,29 +97,67 @@ def _score_updates(findings: DataFrame) -> DataFrame:
     )
 
 
-def start_running_score(spark: SparkSession, path: str, run_dir: str, available_now: bool = True) -> StreamingQuery:
-    src = as_sources(documents_stream(spark, path), "doc_id", "text", "documents/", scan_col="source")
+def start_running_score(spark: SparkSession, path: str, run_dir: str, available_now: bool = True, max_files_per_trigger: int = 1) -> StreamingQuery:
+    src = as_sources(documents_stream(spark, path, max_files_per_trigger), "doc_id", "text", "documents/", scan_col="source")
     updates = _score_updates(scan_text(src))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        try:
-            rows = batch.select(
-                F.lit(batch_id).cast("bigint").alias("batch_id"), "scan_id", "critical", "high", "total",
-                compliance_from_counts(F.col("critical"), F.col("high")).alias("compliance_score"),
-            )
-            rows.write.mode("append").parquet(f"{run_dir}/scores")
-            status = rows.select("batch_id", "scan_id", F.lit("DONE").alias("status"), F.lit(None).cast("string").alias("error_message"))
-        except Exception as exc:  # keep an ERROR row instead of failing the query
-            status = batch.sparkSession.createDataFrame(
-                [(batch_id, None, "ERROR", str(exc)[:1000])], "batch_id bigint, scan_id string, status string, error_message string"
-            )
-        status.write.mode("append").parquet(f"{run_dir}/lifecycle")
+        rows = batch.select("scan_id", "critical", "high", "total", compliance_from_counts(F.col("critical"), F.col("high")).alias("compliance_score"))
+        rows.write.mode("overwrite").parquet(f"{run_dir}/scores/batch_id={batch_id}")
 
     w = updates.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", f"{run_dir}/ckpt")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
+def start_scan_stream(
+    sources: DataFrame,
+    clauses: DataFrame,
+    run_dir: str,
+    scans: DataFrame | None = None,
+    available_now: bool = True,
+    **hooks,
+) -> StreamingQuery:
+    """The whole scan over a stream of ``sources`` rows (with ``scan_id``):
+    findings in ``run_dir/findings``, lifecycle rows in ``run_dir/lifecycle``.
+    ``hooks`` are those of ``plans.scan.scan``."""
+    from ..plans.scan import scan
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # the batch is read by several detectors: one copy in the shared folder
+        landed = f"{run_dir}/landed/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(landed)
+        batch = spark.read.schema(batch.schema).parquet(landed)
+
+        def mark(step: int, status: str, message: str | None = None) -> None:
+            rows = batch.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_files")).select(
+                "scan_id", "n_files", F.lit(step).alias("step"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"), F.current_timestamp().alias("at")
+            )
+            rows.write.mode("overwrite").parquet(f"{run_dir}/lifecycle/batch_id={batch_id}/step_no={step}")
+
+        mark(1, "PENDING")
+        mark(2, "SCANNING")
+        try:
+            found = scan(batch, clauses, scans=scans, **hooks)
+            found.write.mode("overwrite").parquet(f"{run_dir}/findings/batch_id={batch_id}")
+        except Exception as exc:
+            mark(3, "ERROR", str(exc))
+            raise
+        mark(3, "DONE")
+
+    w = sources.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{run_dir}/ckpt")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def scan_states(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The newest lifecycle state of every scan."""
+    rows = spark.read.option("basePath", f"{run_dir}/lifecycle").parquet(f"{run_dir}/lifecycle")
+    last = rows.groupBy("scan_id").agg(F.max_by(F.struct("status", "error_message"), F.struct("batch_id", "step")).alias("v"))
+    return last.select("scan_id", "v.status", "v.error_message")
+
+
 def latest_scores(spark: SparkSession, run_dir: str) -> DataFrame:
     """Newest totals per scan from the upsert log (partial aggregation)."""
     s = spark.read.parquet(f"{run_dir}/scores")

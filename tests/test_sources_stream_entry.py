@@ -16,8 +16,8 @@ def test_read_sources_folder(spark, scratch):
     open(os.path.join(scratch, "customers.csv"), "w").write(CUSTOMERS_CSV)
     open(os.path.join(scratch, "sub", "config.CS"), "w").write(CONFIG_CS)
     src = {r.file_name: r for r in read_sources(spark, scratch).collect()}
-    assert set(src) == {"customers.csv", "config.CS"}
-    assert src["customers.csv"].language == "csv" and src["config.CS"].language == "csharp"
+    assert set(src) == {"customers.csv", "sub/config.CS"}
+    assert src["customers.csv"].language == "csv" and src["sub/config.CS"].language == "csharp"
     assert src["customers.csv"].content == CUSTOMERS_CSV
     assert read_sources(spark, os.path.join(scratch, "missing")).count() == 0
 
@@ -76,7 +76,7 @@ def test_entry_contract(spark):
     assert df.count() >= 0
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == catalog.ROWS_ONLY
+    assert set(catalog.QUERIES) - set(sql) == catalog.ROWS_ONLY
 
 
 def test_oracle_matches_on_small_sample(spark):
@@ -95,11 +95,101 @@ def test_oracle_matches_on_small_sample(spark):
         assert sp == dd, k
 
 
-def test_read_sources_size_bound(spark, scratch):
-    open(os.path.join(scratch, "small.txt"), "w").write("a@b.io")
-    open(os.path.join(scratch, "big.txt"), "w").write("x" * 5000)
-    got = sorted(r.file_name for r in read_sources(spark, scratch, max_bytes=1000).collect())
-    assert got == ["small.txt"]
+def test_read_sources_names_and_unreadable(spark, scratch):
+    from redline.sources.files import unreadable_sources
+
+    for folder in ("a", "b"):
+        os.makedirs(os.path.join(scratch, folder))
+        open(os.path.join(scratch, folder, "x.txt"), "w").write("mail a@b.io")
+    open(os.path.join(scratch, "big.txt"), "w").write("x" * 50_000 + "\n5 z@y.io")
+    for path in (scratch, f"file://{scratch}/"):
+        src = read_sources(spark, path).withColumn("scan_id", F.lit("s"))
+        found = scan_text(src).collect()
+        assert sorted(r.location for r in found) == ["a/x.txt:1", "b/x.txt:1", "big.txt:2"]
+        assert len({r.finding_id for r in found}) == 3
+        assert unreadable_sources(spark, path).count() == 0
+    one = read_sources(spark, os.path.join(scratch, "a", "x.txt")).first()
+    assert one.file_name == "x.txt"
+
+
+def test_json_table_roots_and_mixed_elements(spark, scratch):
+    def table(text, **kw):
+        p = os.path.join(scratch, f"t{abs(hash(text))}.json")
+        open(p, "w").write(text)
+        return read_json_table(spark, p, **kw)
+
+    t = table('[{"z":1,"a":"x"},5,{"b":null}]')
+    assert t.columns == ["z", "a", "b"]
+    assert sorted(tuple(r) for r in t.collect()) == [("", "", ""), ("1", "x", "")]
+    for bad in ('{"z":1}', "not json", "", "7"):
+        assert table(bad).columns == []
+    lines = table('{"k":1}\n{"m":"x","k":{"q":[1]}}\n', lines=True)
+    assert lines.columns == ["k", "m"] and sorted(tuple(r) for r in lines.collect()) == [("1", ""), ('{"q":[1]}', "x")]
+
+
+def test_csv_cells_beyond_the_header_are_kept(spark, scratch):
+    p = os.path.join(scratch, "wide.csv")
+    open(p, "w").write('a,b\n1,2,3\n4\n"x, y","li\nne",5,6\n')
+    t = read_csv_table(spark, p)
+    assert t.columns == ["a", "b", "column_3", "column_4"]
+    assert [tuple(r) for r in t.collect()] == [("1", "2", "3", None), ("4", None, None, None), ("x, y", "li\nne", "5", "6")]
+
+
+def test_scans_with_equal_file_names_stay_apart(spark):
+    from redline.operators import remediate, report
+    from redline.plans.scan import csv_cells, route_detectors
+
+    rows = [
+        ("1", "c.csv", 'k,email\r\n"1\n0",a@b.io\r\n', "csv", "A"),
+        ("2", "c.csv", "town,k\nRome,2", "csv", "B"),
+        ("3", "c.json", '[{"k":"1"},3,{"email":"q@r.io"}]', "json", "A"),
+        ("4", "c.json", '{"email":"s@t.io"}', "json", "B"),
+        ("5", "n.py", "call 10.1.2.3 now", "python", "A"),
+        ("6", "n.py", "nothing here", "python", "B"),
+    ]
+    src = spark.createDataFrame(rows, "source_id string, file_name string, content string, language string, scan_id string")
+    cells = {(r.scan_id, r.column_name, r.value) for r in csv_cells(src.where("file_name = 'c.csv'")).collect()}
+    assert cells == {("A", "k", "1\n0"), ("A", "email", "a@b.io"), ("B", "town", "Rome"), ("B", "k", "2")}
+    both = route_detectors(src)
+    apart = [route_detectors(src.where(F.col("scan_id") == s)) for s in "AB"]
+    key = lambda df: sorted((r.finding_id, r.scan_id, r.data_type, r.snippet) for r in df.collect())
+    assert key(both) == sorted(key(apart[0]) + key(apart[1]))
+    assert {(r.scan_id, r.location) for r in both.where("column_name is not null").collect()} == {("A", "c.csv:column=email"), ("A", "c.json:column=email")}
+    assert {(r.scan_id, r.file_name) for r in report.files_with_findings(src, both).collect()} == {("A", "c.csv"), ("A", "c.json"), ("A", "n.py"), ("B", "c.json")}
+    found = both.where("file_name = 'n.py'").withColumn("fix_tool", F.lit("REDACT_CODE_LINE")).withColumn("approved_at", F.lit(None).cast("timestamp"))
+    plan = remediate.fix_plan(found, src.select("scan_id", "file_name", F.lit(None).cast("array<string>").alias("columns")))
+    fixed = {(r.scan_id, r.file_name): r.content for r in remediate.apply_line_redactions(src, plan).collect()}
+    assert fixed["B", "n.py"] == "nothing here" and "REDACTED" in fixed["A", "n.py"]
+
+
+def test_scan_stream_equals_batch(spark, mock_sources, scratch):
+    from redline.plans.scan import scan
+    from redline.sources.policies import load_policy_clauses
+    from redline.streaming.scan import scan_states, start_scan_stream
+
+    landing = f"{scratch}/landing"
+    src = mock_sources.withColumn("scan_id", F.lit("s1"))
+    src.coalesce(1).write.parquet(landing)
+    clauses = load_policy_clauses(spark)
+    stream = spark.readStream.schema(src.schema).parquet(f"file://{landing}")
+    start_scan_stream(stream, clauses, f"{scratch}/run").awaitTermination()
+    want = sorted((r.finding_id, r.policy_clause_id, r.severity) for r in scan(src, clauses).collect())
+    got = sorted((r.finding_id, r.policy_clause_id, r.severity) for r in spark.read.parquet(f"{scratch}/run/findings").collect())
+    assert got == want
+    assert [tuple(r) for r in scan_states(spark, f"{scratch}/run").collect()] == [("s1", "DONE", None)]
+    states = spark.read.parquet(f"{scratch}/run/lifecycle").orderBy("step").collect()
+    assert [r.status for r in states] == ["PENDING", "SCANNING", "DONE"]
+
+    def broken(df):
+        raise RuntimeError("the model is away")
+
+    q = start_scan_stream(stream, clauses, f"{scratch}/bad", reasoner=broken)
+    try:
+        q.awaitTermination()
+        raise AssertionError("the failure was swallowed")
+    except Exception as exc:
+        assert "the model is away" in str(exc)
+    assert scan_states(spark, f"{scratch}/bad").first().status == "ERROR"
 
 
 def test_whole_scan_on_mock_files(spark, mock_sources):
@@ -114,7 +204,7 @@ def test_whole_scan_on_mock_files(spark, mock_sources):
     assert by_loc[("customers.csv:column=ssn", "AZURE")] == ("SSN", "CRITICAL", "DROP_COLUMN")
     assert by_loc[("customers.csv:column=email", "AZURE")] == ("EMAIL", "HIGH", "MASK_COLUMN")
     assert by_loc[("patients.csv:column=diagnosis", "KEYWORD")] == ("DIAGNOSIS", "MEDIUM", "ANONYMIZE_COLUMN")
-    assert by_loc[("auth.cs:16", "ROSLYN")] == ("EMAIL", "HIGH", "REDACT_CODE_LINE")
+    assert by_loc[("auth.cs:8", "ROSLYN")] == ("EMAIL", "HIGH", "REDACT_CODE_LINE")
     assert by_loc[("config.cs:5", "ROSLYN")] == ("API_KEY", "CRITICAL", "REDACT_CODE_LINE")
 
 
