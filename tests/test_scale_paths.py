@@ -75,8 +75,7 @@ def test_remote_value_detector_falls_back_to_the_name(spark):
 
     df = spark.createDataFrame([(1, "Ann", "boom", "q"), (2, "Ann", "z", "r")], "id long, who string, email string, note string")
     got = {r.column_name: (r.data_type, r.detected_by) for r in scan_table(df, "t", "id", entities=pandas_entities(detect)).collect()}
-    assert got == {"who": ("NAME", "AZURE"), "email": ("EMAIL", "KEYWORD")} or got["email"] == ("EMAIL", "KEYWORD")
-    assert "note" not in got and got["who"][1] == "AZURE"
+    assert set(got) == {"who", "email"} and got["email"] == ("EMAIL", "KEYWORD") and got["who"][1] == "AZURE"
 
 
 def test_plugged_detectors_and_embedder_take_part_in_a_scan(spark, mock_sources):
