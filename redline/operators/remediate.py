@@ -3,7 +3,7 @@
 * ``fix_plan``: every approved finding's target (file, column or line),
   tool, arguments and outcome (applied or the reason it is not).
 * ``apply_column_fixes``: the approved column fixes of one dataset of one scan
-  folded in approval order: the chains travel as one row, broadcast, and each
+  folded in approval order: the chains travel as one value, and each
   value is folded with ``aggregate``, so no data row leaves its task.
 * ``apply_line_redactions``: the approved line redactions of text sources.
 * ``approve`` / ``reject`` / ``approve_all_high``: status transitions.
@@ -166,13 +166,12 @@ def apply_column_fixes(df: DataFrame, dataset: str, plan: DataFrame, scan_id: st
     anonymised values replaced (all values as the scanner's strings).
 
     ``scan_id`` names the scan the dataset belongs to; without it the plan
-    must be of one scan.  The chains of the dataset are one row (its columns
-    with their approved fixes), broadcast to the rows.
+    must be of one scan.  The chains of the dataset are one value (its columns
+    with their approved fixes), a scalar subquery.
     """
     drop = set(dropped_columns(plan, dataset, scan_id))
-    chains = column_chains(_of_dataset(plan, dataset, scan_id)).select(F.lit(1).alias("_one"), "chains")
-    chains = chains.groupBy("_one").agg(F.first("chains").alias("_chains"))
-    joined = df.select(F.struct("*").alias("_row"), F.lit(1).alias("_one")).join(F.broadcast(chains), "_one", "left")
+    chains = column_chains(_of_dataset(plan, dataset, scan_id)).agg(F.first("chains").alias("_chains"))
+    joined = df.select(F.struct("*").alias("_row"), chains.scalar().alias("_chains"))
     out = []
     for c in df.columns:
         if c.lower() not in drop:

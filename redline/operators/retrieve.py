@@ -66,9 +66,9 @@ def _block_rows(index: DataFrame, n_blocks: int) -> DataFrame:
     )
     blk = F.pmod(F.xxhash64("policy_name", "clause_id"), F.lit(n_blocks)).cast("int")
     blocks = index.select(blk.alias("_blk"), cand.alias("c")).groupBy("_blk").agg(F.collect_list("c").alias("_cands"))
-    # one row: the policies that have a clause without a vector
-    missing = index.agg(F.collect_set(F.when(F.col("embedding").isNull(), F.lower("policy_name"))).alias("_missing"), F.lit(1).alias("_one"))
-    return blocks.withColumn("_one", F.lit(1)).join(F.broadcast(missing), "_one").drop("_one")
+    # the policies that have a clause without a vector: one value
+    missing = index.agg(F.collect_set(F.when(F.col("embedding").isNull(), F.lower("policy_name"))).alias("_missing"))
+    return blocks.withColumn("_missing", missing.scalar())
 
 
 def _best_in_block(cands: Column, missing: Column, q_tokens: Column, q_vec: Column, policy: Column) -> Column:

@@ -39,6 +39,8 @@ def main() -> None:
         ("scan → cite → enrich", catalog.enriched_doc_findings(spark, d)),
         ("mask + anonymize (customer)", c.select("c_custkey", mask(F.col("c_name")), anonymize(F.col("c_name")))),
         ("cleaned copy of customer (approved fixes)", remediate.apply_column_fixes(c, "customer", plan)),
+        ("audit trail (scans ⋈ findings)", report.audit_report(catalog.scans(spark, d), catalog.enriched_doc_findings(spark, d))),
+        ("scan detail (files, counts, content)", report.scan_detail(catalog.scans(spark, d), catalog.enriched_doc_findings(spark, d), catalog.doc_sources(spark, d))),
         ("report (compliance per scan)", report.compliance_score(catalog.enriched_doc_findings(spark, d), catalog.scans(spark, d))),
     ]
     print("# Physical plans of the headline queries\n")
