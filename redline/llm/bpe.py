@@ -8,10 +8,12 @@ them, one after the other.  A run that occurs again is looked up, not encoded.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
 
-#: Runs that a worker keeps; the memo starts anew beyond it.
-MEMO_WORDS = 300_000
+#: Runs in each of the two halves of a worker's memo; beyond it the newer half
+#: becomes the older one, which is dropped.
+MEMO_WORDS = 400_000
 #: Longer runs are encoded each time.
 MEMO_CHARS = 48
 VOCABULARY = "word_bpe_49k.json"
@@ -39,9 +41,15 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+# A comma or full stop after a letter or digit is a piece of its own (letters
+# and digits never share one with punctuation), so words meet with and without it.
+_STOP = re.compile(r"(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[.,](?: |\n|$))")
+
+
 def runs(text: str) -> list[str]:
-    """The runs between spaces and line feeds (empty ones too)."""
-    return text.replace("\n", " ").split(" ")
+    """The runs between spaces and line feeds (empty ones too), commas and full
+    stops at their ends apart."""
+    return _STOP.sub(" ", text).replace("\n", " ").split(" ")
 
 
 class WordMemo:
@@ -50,22 +58,22 @@ class WordMemo:
     def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = MEMO_WORDS):
         self.tokenizer, self.make, self.limit = tokenizer(path), make, limit
         self.memo: dict[str, object] = {"": make([])}
+        self.old: dict[str, object] = {}
 
     def values(self, words: list[str]) -> list:
         out = list(map(self.memo.get, words))
         if None not in out:
             return out
-        miss = list({w for w, v in zip(words, out) if v is None})
-        made = {}
-        for at in range(0, len(miss), 4096):
-            part = miss[at : at + 4096]
+        miss = {w for w, v in zip(words, out) if v is None}
+        made = {w: v for w in miss if (v := self.old.get(w)) is not None}
+        new = [w for w in miss if w not in made]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             made.update(zip(part, (self.make(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         out = [made[w] if v is None else v for w, v in zip(words, out)]
-        short = {w: v for w, v in made.items() if len(w) <= MEMO_CHARS}
-        if len(self.memo) + len(short) > self.limit:
-            self.memo = {"": self.memo[""]}
-        if len(short) <= self.limit:
-            self.memo.update(short)
+        if len(self.memo) + len(made) > self.limit:  # the words in use move over from the old half
+            self.old, self.memo = self.memo, {"": self.memo[""]}
+        self.memo.update((w, v) for w, v in made.items() if len(w) <= MEMO_CHARS)
         return out
 
     def of_texts(self, texts: Iterable[str]) -> list[list]:
