@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import ship_package, slices, text_of
 
-TRAIN_ROWS = 2000  # labelled documents of each class, at most
-TRAIN_CHARS = 10_000  # longer documents are not used for training (all are scored)
+TRAIN_ROWS = 1000  # labelled documents of each class, at most
+TRAIN_CHARS = 8_000  # longer documents are not used for training (all are scored)
 REJECT = 0.7
 BLOCK = 64
 STEPS = 50
@@ -177,11 +177,13 @@ def train(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.
     document of class 0 and of class 1 stands for."""
     y = np.array(toxic, int)
     docs = [_WORD.findall(t) for t in texts]
-    cache: dict[str, list[str]] = {}
+    cache: dict[str, tuple[str, ...]] = {}
+    names: dict[str, str] = {}  # one copy of each feature
     for d in docs:
         for w in d:
             if w not in cache:
-                cache[w] = features(w)
+                cache[w] = tuple(names.setdefault(f, f) for f in features(w))
+    del names
     df = [Counter(), Counter()]
     for d, t in zip(docs, y):
         df[t].update({f for w in set(d) for f in cache[w]})
@@ -202,6 +204,7 @@ def train(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.
 
     marks = {f for f, (n1, n0) in seen.items() if telling(n1, n0)}
     marked = {w: any(f in marks for f in fs) for w, fs in cache.items()}
+    del df, seen
 
     # windows of tokens: around every mark of a toxic document, and spread over all documents
     rng = np.random.default_rng(seed)
