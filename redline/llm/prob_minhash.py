@@ -9,14 +9,19 @@ in a register with the probability Jaccard similarity of their weights.  Bands
 of registers are hashed into buckets.
 
 1. Documents of the same words in the same order are one node.
-2. In each bucket of two nodes or more, one node is the centre (of most
-   shared buckets) and every node of another class is compared with it: the
-   exact Jaccard similarity of the shingle sets must reach the threshold.
-   Links merge classes.  A second round takes other centres.
-3. What is left in a bucket across classes is compared pair by pair, except
-   within the bucket's main class.  So each pair of a bucket is either in one
-   class already or has been compared, and no link between candidates is lost,
-   but a group of many near copies needs a row a member, not a row a pair.
+2. A node's shingles that no other node of a bucket of two or more has cannot
+   be shared with a partner.  They bound every similarity from above; a node
+   or pair whose bound is below the threshold is left out, which loses nothing.
+3. In each bucket three nodes are centres (the one whose buckets hold most, and
+   two by chance) and every other is compared with them: the exact Jaccard
+   similarity of the shingle sets must reach the threshold.  Links make classes.
+4. In a bucket of several classes, the nodes outside its largest class are
+   compared with all nodes of the bucket that are of another class, in blocks
+   of queries that return links only.  So of each pair of a bucket either both
+   are in one class already or it has been compared: no link between
+   candidates is lost, but a group of many near copies needs a few rows a
+   member, not a row a pair.
+5. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_table, ship_package, slices, text_of
@@ -36,7 +41,7 @@ from .graph import components
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4  # found with probability 0.9998 at similarity 0.8
-STAR_ROUNDS = 2
+BLOCK = 32  # nodes that a row of step 4 compares a node with
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -142,17 +147,15 @@ def _shingled(size: int):
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size, links,
-    kept``.  Options: ``threshold``, ``shingle_words``, ``bands``, ``rows`` and
-    ``star_rounds``.
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept``.
+    Options: ``threshold``, ``shingle_words``, ``bands`` and ``rows``.
 
     Texts are linked when the Jaccard similarity of their sets of five-word
     shingles is at least the threshold; a class is a connected component.
     ``class_id`` is the smallest id in it (null only if all are null); a row of
-    that id is ``kept``, one if there are several.  ``links`` counts the links
-    to other texts that were needed to connect the row's text.  A text without
-    any word (null and empty ones) is a class of its own, together with
-    repetitions of the same row.  An empty table gives no rows.
+    that id is ``kept``, one if there are several.  A text without any word
+    (null and empty ones) is a class of its own, together with repetitions of
+    the same row.  An empty table gives no rows.
     """
     return _classified(docs, **options).drop("text_hash")
 
@@ -175,7 +178,6 @@ def _classified(
     shingle_words: int = SHINGLE_WORDS,
     bands: int = BANDS,
     rows: int = ROWS,
-    star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """``near_duplicates`` with the hash of each row's text."""
     spark = docs.sparkSession
@@ -192,8 +194,6 @@ def _classified(
     filed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = shared_table(filed.join(shared, "bucket"), "members")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = shared_table(members.join(degree, "node").drop("size"), "members")
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
         "node", "words_key", F.col("row.doc_id").alias("rep_id"), F.col("row.text_hash").alias("rep_hash")
@@ -201,67 +201,78 @@ def _classified(
     same = texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["rep_hash"])
     chosen = texts.join(wanted, same).select("node", "words_key", "text")
     sets = chosen.mapInArrow(_shingled(shingle_words), "node long, shingles array<long>")
-    sets = shared_table(sets.dropDuplicates(["node"]), "shingles")
-
-    compared = links = labels = None
-    for k in range(star_rounds + 1):
-        if labels is None:
-            now = members.withColumn("class", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-            open_ = now.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-            now = shared_table(now.join(open_, "bucket", "left_semi"), "open")
-        order = F.struct("degree", "node") if k != 1 else F.struct(F.xxhash64("node").alias("h"), "node")
-        centres = now.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "node", "n", "class")).alias("c"))
-        centres = centres.select("bucket", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"))
-        fit = F.least("n", "c_n") >= threshold * F.greatest("n", "c_n")
-        if k < star_rounds:
-            pairs = now.join(centres, "bucket").where((F.col("class") != F.col("c_class")) & fit)
-        else:  # all pairs across classes but those within the centre's class
-            rest = now.join(centres, "bucket").where(F.col("class") != F.col("c_class"))
-            rest = rest.select("bucket", F.col("node").alias("c_node"), F.col("n").alias("c_n"), F.col("class").alias("c_class"))
-            pairs = now.join(rest, "bucket").where((F.col("class") != F.col("c_class")) & fit)
-        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = shared_table(pairs, "pairs")
-        if pairs.isEmpty():
-            if k < star_rounds:
-                continue
-            break
+    sets = shared_table(sets.dropDuplicates(["node"]), "shingles")  # a repeated row gives its set again
+
+    # shingles that no other node has cannot be shared with a partner
+    owners = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    alone = owners.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    stats = degree.join(alone, "node", "left")
+    members = members.drop("size").join(stats, "node").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    members = shared_table(members.where(F.col("common") >= threshold * F.col("n")).drop("alone"), "members")
+    # centres of a bucket: the node whose buckets together hold most, and two by chance, others in each bucket
+    at = lambda *order: F.struct(*order, F.struct("node", "n", "common").alias("c"))
+    chance = at(F.xxhash64("node", "bucket"))
+    three = members.groupBy("bucket").agg(F.max(at("degree", "node"))["c"].alias("x"), F.min(chance)["c"].alias("y"), F.max(chance)["c"].alias("z"))
+    centres = three.select("bucket", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("c"))
+    centres = centres.select("bucket", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.common").alias("c_common"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        near = both >= threshold * (F.size("x") + F.size("y") - both)
-        found = pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
-        links = shared_table(found if links is None else links.unionByName(found), "links")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        labels = shared_table(components(links), "labels")
-
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, component long")
-        links = spark.createDataFrame([], "a long, b long")
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = (
-        nodes.select("node", "words_key").join(labels, "node", "left").join(linked, "node", "left")
-        .select("words_key", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    )
+        near = both >= threshold * (F.size("x") + F.size("y") - both) - 1e-9
+        return shared_table(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "links")
+
+    def fit(n: Column, common: Column, m: Column, other: Column) -> Column:
+        """Necessary for a link: sizes alike, and enough shingles that are not alone."""
+        alike = F.least(n, m) >= threshold * F.greatest(n, m)
+        return alike & (F.least(common, other) * (1 + threshold) >= threshold * (n + m) - 1e-9)
+
+    near = fit(F.col("n"), F.col("common"), F.col("c_n"), F.col("c_common"))
+    against = members.join(centres, "bucket").where((F.col("node") != F.col("c_node")) & near)
+    pairs = against.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
+    links = linked(shared_table(pairs, "pairs"))
+    labels = shared_table(components(links), "labels")
+
+    # buckets of several classes: what is not of the largest one is compared with the whole bucket, in blocks
+    now = members.join(labels, "node", "left").select("bucket", "node", "n", "common", F.coalesce("component", "node").alias("class"))
+    sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(
+        F.max(F.struct("size", "class")).alias("most"), F.sum("size").alias("all")
+    )
+    open_ = sizes.where(F.col("all") > F.col("most.size")).select(
+        "bucket", F.col("most.class").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("blocks")
+    )
+    rows_ = shared_table(now.join(open_, "bucket").join(sets, "node"), "open")
+    rest = rows_.where("class <> main").groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(
+        F.collect_list(F.struct("node", "n", "common", "class", "shingles")).alias("queries")
+    )  # about BLOCK of them
+
+    def hit(q: Column) -> Column:
+        both = F.size(F.array_intersect(q["shingles"], F.col("shingles")))
+        other = (q["class"] != F.col("class")) & fit(q["n"], q["common"], F.col("n"), F.col("common"))
+        return F.when(other, both >= threshold * (q["n"] + F.col("n") - both) - 1e-9).otherwise(F.lit(False))
+
+    hits = rows_.join(rest, "bucket").select("node", F.explode(F.transform(F.filter("queries", hit), lambda q: q["node"])).alias("other"))
+    more = shared_table(hits.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+
+    named = nodes.select("node", "words_key").join(labels, "node", "left").select("words_key", F.coalesce("component", "node").alias("class"))
     # equal rows travel as one with their number
     slim = signed.groupBy("doc_id", "text_hash", "words_key", (F.col("n") > 0).alias("some")).agg(F.count(F.lit(1)).alias("times"))
     some = shared_table(slim.where("some").join(named, "words_key"), "classified")
-    sizes = some.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("class_size"))
-    # of several texts of the smallest id one stays
-    key = F.struct("words_key", "text_hash")
-    keeper = some.join(sizes, "class").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min(key).alias("keep"))
-    placed = some.join(sizes.join(keeper, "class"), "class").select(
-        "doc_id", "text_hash", "class_id", "class_size", "links", "times",
-        (F.col("doc_id").eqNullSafe(F.col("class_id")) & (key == F.col("keep"))).alias("first"),
-    )
+    # the smallest id stays, of several texts that have it one
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "words_key", "text_hash")
+    classes = some.groupBy("class").agg(F.min(row).alias("keep"), F.sum("times").alias("class_size"))
+    placed = some.join(classes, "class").select(
+        "doc_id", "text_hash", F.col("keep.doc_id").alias("class_id"), "class_size", "times", row.eqNullSafe(F.col("keep")).alias("first")
+    )
     none = slim.where(~F.col("some")).select(
-        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("times").alias("class_size"), F.lit(0).cast("long").alias("links"), "times", F.lit(True).alias("first")
+        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("times").alias("class_size"), "times", F.lit(True).alias("first")
     )
     return (
         placed.unionByName(none)
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-        .select("doc_id", "text_hash", "class_id", "class_size", "links", (F.col("first") & (F.col("nth") == 1)).alias("kept"))
+        .select("doc_id", "text_hash", "class_id", "class_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"))
     )
