@@ -7,7 +7,7 @@ the count goes up, the digest and a check of it are XORed in.  Subtracting the
 sketches of two versions cancels what they share.  Peeling takes the digests
 of pure cells (count 1 or -1, check right) out again and again until none is
 left: the differing digests.  If cells stay over, both sketches are made anew
-at four times the size.  The likeness of two texts is
+larger, with room for all digests of both.  The likeness of two texts is
 ``2 * shared / (digests of both)``; 1 for two texts without any.
 
 The sketch of ``SIZE`` cells a table is the fingerprint, as hex.  It is a
@@ -37,12 +37,13 @@ PIECE_WORDS = 4
 SIZE = 8
 TABLES = 3
 GROW = 4
+ROOM = 0.45  # cells a table and digest at which peeling hardly fails (three tables need 1.23 cells a digest)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit mix of ``x`` (splitmix64), another one for each ``k``."""
-    x = x + np.uint64(int(_MIX[0]) * (k + 1) % (1 << 64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The check of digests: a 64-bit mix (splitmix64)."""
+    x = x + _MIX[0]
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
     return x ^ (x >> np.uint64(31))
@@ -75,15 +76,17 @@ class Sketch:
         self.counts = np.bincount(cells, minlength=n).astype(np.int64)
         self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         if len(keys):
-            np.bitwise_xor.at(self.keys, cells, np.tile(keys, TABLES))
-            np.bitwise_xor.at(self.checks, cells, np.tile(_mixed(keys, 9), TABLES))
+            np.bitwise_xor.at(self.keys, cells, np.concatenate([keys] * TABLES))
+            np.bitwise_xor.at(self.checks, cells, np.concatenate([_mixed(keys)] * TABLES))
 
     def hex(self) -> str:
         return (self.counts.astype("<u4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).hex()
 
 
 def _cells(keys: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([(_mixed(keys, k) % np.uint64(size)).astype(np.int64) + k * size for k in range(TABLES)])
+    """The digests' cells in each table, from other bits of the digest each
+    (``size`` is a power of two)."""
+    return np.concatenate([((keys >> np.uint64(21 * k)) & np.uint64(size - 1)).astype(np.int64) + k * size for k in range(TABLES)])
 
 
 def peel(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
@@ -92,7 +95,7 @@ def peel(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
     found: list[list[np.ndarray]] = [[], []]
     while True:
         pure = np.nonzero(np.abs(counts) == 1)[0]
-        pure = pure[_mixed(keys[pure], 9) == checks[pure]] if len(pure) else pure
+        pure = pure[_mixed(keys[pure]) == checks[pure]] if len(pure) else pure
         if not len(pure):
             break
         k, first = np.unique(keys[pure], return_index=True)
@@ -100,9 +103,9 @@ def peel(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
         found[0].append(k[sign == 1])
         found[1].append(k[sign == -1])
         cells = _cells(k, a.size)
-        np.subtract.at(counts, cells, np.tile(sign, TABLES))
-        np.bitwise_xor.at(keys, cells, np.tile(k, TABLES))
-        np.bitwise_xor.at(checks, cells, np.tile(_mixed(k, 9), TABLES))
+        np.subtract.at(counts, cells, np.concatenate([sign] * TABLES))
+        np.bitwise_xor.at(keys, cells, np.concatenate([k] * TABLES))
+        np.bitwise_xor.at(checks, cells, np.concatenate([_mixed(k)] * TABLES))
         if sum(map(len, found[0])) + sum(map(len, found[1])) > TABLES * a.size:
             return None
     if counts.any() or keys.any() or checks.any():
@@ -123,6 +126,8 @@ def difference(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, ske
         if got is not None:
             return *got, size
         size *= GROW
+        while size < ROOM * (len(a) + len(b)):  # next, room for all digests
+            size *= GROW // 2
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, sketch_b: Sketch | None = None) -> float:
