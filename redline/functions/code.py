@@ -14,7 +14,8 @@ _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # An identifier, an optional '+', '=', then one complete double-quoted literal.
 LITERAL_ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_]*+)\s*+\+?=\s*+" + _QUOTED
 
-# A member call: '.' method '(' arguments ')'.
+# A member call: '.' method '(' arguments ')'.  Only its head is consumed, the
+# balanced arguments are looked at, so calls inside them match too.
 MAX_NESTING = 24
 
 
@@ -23,7 +24,7 @@ def _nested(depth: int) -> str:
     return r"[^()]*+" if depth == 0 else r"(?:[^()]++|\(" + _nested(depth - 1) + r"\))*+"
 
 
-MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*+([A-Za-z_][A-Za-z0-9_]*+)\s*+\((" + _nested(MAX_NESTING) + r")\)"
+MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*+([A-Za-z_][A-Za-z0-9_]*+)\s*+\((?=(" + _nested(MAX_NESTING) + r")\))"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*+"
 STRING_LITERAL = "@?" + _QUOTED
 INTERPOLATED_STRING = r"\$@?" + _QUOTED

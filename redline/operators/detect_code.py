@@ -5,12 +5,12 @@
 * ``pii_in_logging`` / ``pii_in_http_call``: a member call ``x.Method(args)``
   whose method is a logging call (``Log*``, ``Console.Write*``) or one of the
   HTTP client methods, with at least one argument holding a sensitive
-  identifier; one finding per call.
+  identifier; one finding per call, also for calls inside the arguments of
+  another one (lambdas, handlers, nested calls).
 
 Calls may span lines (matched on the whole blanked source; block comments and
 verbatim strings over several lines are blanked too).  Limits of the text tier
 (no syntax tree): argument lists nest at most ``MAX_NESTING`` parentheses deep;
-nested calls inside a flagged call's arguments are not reported separately;
 identifiers of the arguments are checked left to right.
 """
 
@@ -99,9 +99,10 @@ def member_calls(sources: DataFrame) -> DataFrame:
     args)``.
 
     Strings and line comments are blanked line by line (line breaks are
-    kept), calls are matched on the whole blanked text, each match is located
-    after the previous one to get its offset, and the line number is one plus
-    the line breaks before the call's first non-blank character.
+    kept), call heads are matched on the whole blanked text (an outer call
+    before those in its arguments), a head's offset is the sum of the gaps and
+    heads before it, and the line number is one plus the line breaks before the
+    call's first non-blank character.
     """
     src = with_scan_id(sources, None).where(F.col("content").rlike(r"\.\s*[A-Za-z_][A-Za-z0-9_]*\s*\("))
     raw_lines = F.split(F.col("content"), "\n", -1)
@@ -115,20 +116,21 @@ def member_calls(sources: DataFrame) -> DataFrame:
         F.regexp_extract_all(F.col("code"), pat, 1).alias("m1"),
         F.regexp_extract_all(F.col("code"), pat, 2).alias("m2"),
         F.regexp_extract_all(F.col("code"), pat, 3).alias("m3"),
+        F.split(F.col("code"), MEMBER_CALL, -1).alias("gaps"),
     )
     code = F.col("code")
 
-    def step(acc: Column, m: Column) -> Column:
-        pos = F.call_function("locate", m, code, acc["next"])
-        lead = F.length(F.regexp_extract(m, r"^(\s*)", 1))
-        start = pos + lead
+    def step(acc: Column, x: Column) -> Column:
+        pos = acc["next"] + F.length(x["gap"])
+        lead = F.length(F.regexp_extract(x["head"], r"^(\s*)", 1))
         return F.struct(
-            (pos + F.length(m)).alias("next"),
-            F.concat(acc["starts"], F.array(start)).alias("starts"),
+            (pos + F.length(x["head"])).alias("next"),
+            F.concat(acc["starts"], F.array(pos + lead)).alias("starts"),
         )
 
     init = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(F.col("m0"), init, step)["starts"]
+    heads = F.arrays_zip(F.col("m0").alias("head"), F.slice("gaps", F.lit(1), F.size("m0")).alias("gap"))
+    starts = F.aggregate(heads, init, step)["starts"]
     located = b.select(
         "scan_id", "file_name", "raw_lines", "code",
         F.posexplode(F.arrays_zip(starts.alias("start"), F.col("m1").alias("receiver"), F.col("m2").alias("method"), F.col("m3").alias("args"))).alias("pos", "c"),

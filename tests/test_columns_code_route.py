@@ -116,6 +116,25 @@ def test_multi_line_calls(spark):
     assert rows == [(3, "EMAIL", "_logger.LogWarning("), (6, "SSN", "client")]
 
 
+def test_calls_inside_arguments(spark):
+    text = "\n".join([
+        "users.ForEach(u => logger.LogInformation(u.Email));",            # 1 lambda
+        "Task.Run(() => client.PostAsync(url, user.Ssn));",               # 2
+        'app.MapGet("/x", ctx => {',                                      # 3 handler
+        "    logger.LogError(user.Phone);",                               # 4
+        "});",
+        "logger.LogInformation(client.GetAsync(user.Ssn), user.Email);",  # 6 two findings
+        "x.F(logger.LogError(1), y.G(y.H(Console.Write(z.Token))));",     # 7 the innermost
+        "logger.LogError(user.Email;",                                    # 8 never closed
+        "users.ForEach(u => {",
+        "  logger.LogError(user.Email); });",                             # 10 same head as 8
+    ])
+    src = spark.createDataFrame([("1", "a.cs", text, "csharp")], "source_id string, file_name string, content string, language string")
+    rows = sorted((r.line_no, r.data_type, r.rule_ord) for r in detect_code.sensitive_calls(src).collect())
+    log, http = detect_code.RULE_LOGGING, detect_code.RULE_HTTP
+    assert rows == [(1, "EMAIL", log), (2, "SSN", http), (4, "PHONE", log), (6, "SSN", log), (6, "SSN", http), (7, "TOKEN", log), (10, "EMAIL", log)]
+
+
 def test_interpolated_string_holes(spark):
     text = "\n".join([
         'logger.LogInformation($"Reset for {user.Email} at {DateTime.Now}");',   # 1 EMAIL via hole
