@@ -130,17 +130,34 @@ def rule_labels(candidates: DataFrame) -> DataFrame:
 
 
 def fit_forest(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
-    """A random forest on at most ``train_rows`` labelled findings, those of
-    the smallest hashes, or None if a class is missing."""
+    """A random forest on the labelled findings, equal ones once, at most
+    ``train_rows`` of each class (those of the smallest hashes), or None if a
+    class is missing.  Both classes weigh the same in all, so rare secrets count."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    known = labelled.where(F.col("label").isNotNull()).select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("code", "before").alias("h"))
-    sample = shared_table(known.orderBy("h").limit(train_rows).drop("h"), "findings")
-    if sample.select("label").distinct().count() < 2:
+    label = F.col("label").cast("double")
+    known = labelled.where(F.col("label").isNotNull()).select(*FEATURES, label.alias("label"), F.xxhash64("path", "code", "before", "after").alias("h"))
+    hashes = shared_table(known.select("label", "h").distinct(), "finding-hashes")
+    chosen = [hashes.where(F.col("label") == x).orderBy("h").limit(train_rows) for x in (0.0, 1.0)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
+    sample = shared_table(known.join(chosen, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).drop("h"), "findings")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
-    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("features", "label"))
+    weight = F.when(F.col("label") == 1, sum(sizes.values()) / (2 * sizes[1.0])).otherwise(sum(sizes.values()) / (2 * sizes[0.0]))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.withColumn("weight", weight))
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return forest.fit(rows.select("features", "label", "weight"))
+
+
+def forest_scores(forest, found: DataFrame) -> DataFrame:
+    """``found`` with ``score``, the forest's probability of a secret."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
+    return forest.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
 def scan_secrets(
@@ -159,17 +176,13 @@ def scan_secrets(
     an empty table gives no rows.  If the labelled findings lack a class, each
     candidate gets its rule's label, 0.5 where no rule applies.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     words = dictionary(docs) if words is None else words
     found = shared_table(rule_labels(add_features(shared_table(find_candidates(docs, path_col=path_col), "candidates"), words)), "findings")
     forest = fit_forest(found if labelled is None else add_features(labelled, words))
     if forest is None:
         scored = found.withColumn("score", F.coalesce("label", F.lit(0.5)))
     else:
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
-        scored = forest.transform(rows).withColumn("score", vector_to_array("probability")[1])
+        scored = forest_scores(forest, found)
     return scored.select(
         "doc_id", "text_hash", "start", F.char_length("code").alias("length"), "code", "score", (F.col("score") > threshold).alias("is_secret")
     )

@@ -387,6 +387,28 @@ def test_forest_learns_from_labelled_findings(spark):
     assert len(got) == 150 and all(r["is_secret"] == (r["doc_id"] < 500) for r in got)
 
 
+def test_forest_keeps_rare_secrets(spark):
+    """Positives at 1 in 10,000 of more findings than the bound, and one
+    finding copied more often than the bound, of a hash below the others."""
+    bound = 2_000
+    other = spark.range(30_000).select(
+        F.lit("src/a").alias("path"), F.format_string("release-build-%06d", "id").alias("code"), F.lit("see ").alias("before"), F.lit(" notes").alias("after"), F.lit(0.0).alias("label")
+    )
+    hexes = spark.range(3).select(
+        F.lit("src/a").alias("path"), F.left(F.sha2(F.col("id").cast("string"), 256), F.lit(32)).alias("code"), F.lit("the key is ").alias("before"), F.lit(" here").alias("after"), F.lit(1.0).alias("label")
+    )
+    first = other.orderBy(F.xxhash64("code", "before")).limit(1)
+    copied = first.crossJoin(spark.range(bound + 1)).drop("id")
+    words = spark.createDataFrame([("release",), ("build",)], "word string")
+    docs = spark.createDataFrame([(i, f"the key is {hashlib.md5(str(i).encode()).hexdigest()} here") for i in range(20)] + [(500 + i, f"see release-build-9{i:05d} notes") for i in range(20)], "doc_id long, text string")
+    for labelled in (other.unionByName(hexes), other.limit(100).unionByName(copied).unionByName(hexes)):
+        forest = secret_scan.fit_forest(secret_scan.add_features(labelled, words), bound)
+        assert forest is not None
+        found = secret_scan.add_features(secret_scan.find_candidates(docs), words)
+        scored = secret_scan.forest_scores(forest, found).collect()
+        assert len(scored) == 40 and all((r["score"] > secret_scan.THRESHOLD) == (r["doc_id"] < 500) for r in scored)
+
+
 def test_secrets_edges(spark, edge_docs, empty_docs):
     found = secret_scan.scan_secrets(edge_docs)
     assert found.collect() == []
