@@ -1,7 +1,9 @@
 """Secret scans with false-positive removal (DataFrame functions and MLlib).
 
 Candidates are runs of at least ``MIN_CHARS`` characters from
-``[A-Za-z0-9_+/=-]`` that hold a digit.  A random forest tells secrets from
+``[A-Za-z0-9_+/=-]`` that hold a digit, keys of known forms (API keys, whole
+tokens of parts joined by dots, private key blocks), quoted values assigned to a
+name of a credential and passwords in links.  A random forest tells secrets from
 other codes by a candidate's length, its character classes and their
 transitions, the share of it that dictionary words cover (words of enough
 documents of the corpus, counted over all of them), the path it is in and the
@@ -22,15 +24,26 @@ from .common import shared_table, text_of
 
 MIN_CHARS = 12
 CHARS = r"A-Za-z0-9_+/=\-"
-CANDIDATE = rf"(?<![{CHARS}])(?=[A-Za-z_+/=\-]*+[0-9])[{CHARS}]{{{MIN_CHARS},}}+"
 CONTEXT = 64
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 6, 8
 THRESHOLD = 0.5
 MIN_DOCS = 20  # documents that hold a dictionary word
 MASK = "[SECRET]"
-_CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)"
-_ASSIGNED = _CREDENTIAL + r"[A-Za-z0-9_]{0,24}[\"']?\s{0,4}(:|=|:=|=>)\s{0,4}[\"'`]?$"
+_CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(?!or(?!i[sz]))|bearer)"
+_NAMED = r"[A-Za-z0-9_]{0,24}[\"']?\s{0,4}(:|=|:=|=>)\s{0,4}"
+_ASSIGNED = _CREDENTIAL + _NAMED + r"[\"'`]?$"
+# Known forms, as the text rules have them; what follows a key without a gap goes with it.
+_BLOCK = r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,2}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?+"
+_KEY = (
+    r"\b(?:eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,4}+"
+    rf"|(?:AKIA[0-9A-Z]{{16}}|(?:sk|pk)-[A-Za-z0-9]{{20,}}+|ghp_[A-Za-z0-9]{{36}})\b[{CHARS}]*+)"
+)
+_QUOTED = "|".join(rf"(?<={q})(?<={_CREDENTIAL}{_NAMED}{q})(?-i)(?:[^{q}\\\n]|\\.)++(?={q})" for q in "\"'`")
+_LINK = r"(?<=:)(?<=://[^\s:@/\"'`]{0,64}:)[^\s@/\"'`]++(?=@)"
+_APART = rf"(?!-----BEGIN |{_KEY})"  # a run ends where a known form begins
+_RUN = rf"(?<![{CHARS}])(?=(?:{_APART}[A-Za-z_+/=\-])*+{_APART}[0-9])(?:{_APART}[{CHARS}]){{{MIN_CHARS},}}+"
+CANDIDATE = f"{_BLOCK}|{_QUOTED}|{_LINK}|{_KEY}|{_RUN}"
 _PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|test)"
 _WORD = r"[a-z]{4,}"
 
@@ -80,7 +93,7 @@ def coverage(candidates: DataFrame, words: DataFrame) -> DataFrame:
 
 FEATURES = [
     "length", "digits", "upper", "lower", "symbols", "hex", "distinct", "transitions", "vowel_transitions", "covered",
-    "path_test", "path_depth", "assigned", "credential", "quoted", "placeholder", "words_before", "words_after",
+    "path_test", "path_depth", "assigned", "credential", "quoted", "placeholder", "words_before", "words_after", "known",
 ]
 
 
@@ -88,6 +101,12 @@ def _share(code: Column, pattern: str) -> Column:
     return F.regexp_count(code, F.lit(pattern)) / F.char_length(code)
 
 
+def known_form() -> Column:
+    """Whether a candidate is a key of a known form or a password in a link."""
+    link = F.col("before").rlike(r"://[^\s:@/\"'`]{0,64}:$") & F.col("after").startswith("@")
+    return F.col("code").rlike(rf"^(?:{_BLOCK}|{_KEY})$") | link
+
+
 def add_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
     """The candidates with the columns ``FEATURES``."""
     code, before, after = F.col("code"), F.col("before"), F.col("after")
@@ -112,6 +131,7 @@ def add_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
         "placeholder": as_number(F.concat_ws(" ", before, code, after).rlike(_PLACEHOLDER)),
         "words_before": as_number(F.regexp_count(before, F.lit(r"\p{L}+"))),
         "words_after": as_number(F.regexp_count(after, F.lit(r"\p{L}+"))),
+        "known": as_number(known_form()),
     }
     return candidates.join(coverage(candidates, words), "code").withColumns(value)
 
@@ -121,10 +141,13 @@ def rule_labels(candidates: DataFrame) -> DataFrame:
     code = F.col("code")
     digits = code.rlike(r"^[0-9]+$")
     phrase = (_share(code, "[a-z]") > 0.8) & (_share(code, "[0-9]") < 0.1)
+    plain = code.rlike(r"^[A-Za-z][a-z]*+(?:[ _-][A-Za-z]?[a-z]*+)*+$")  # words: unclear
     placed = F.col("before").rlike(r"(://|[./@])[^\s\"']{0,64}$")
     return candidates.withColumn(
         "label",
-        F.when(F.col("before").rlike(_ASSIGNED) & ~F.col("before").rlike(_PLACEHOLDER) & ~code.rlike(r"^(.)\1*$"), 1.0)
+        F.when(known_form(), 1.0)
+        .when(F.col("before").rlike(_ASSIGNED) & ~plain & ~F.col("before").rlike(_PLACEHOLDER) & ~code.rlike(r"^(.)\1*$"), 1.0)
+        .when(F.col("before").rlike(_ASSIGNED) & plain, None)
         .when(digits | F.expr("luhn_check(code)") | phrase | placed, 0.0),
     )
 
@@ -174,7 +197,8 @@ def scan_secrets(
     secret, 0 a false positive; null rows are left out).  ``words``: the
     dictionary.  Null texts hold no candidate; repeated rows give theirs again;
     an empty table gives no rows.  If the labelled findings lack a class, each
-    candidate gets its rule's label, 0.5 where no rule applies.
+    candidate gets its rule's label, 0.5 where no rule applies.  Without
+    ``labelled``, known forms and passwords in links always have score 1.
     """
     words = dictionary(docs) if words is None else words
     found = shared_table(rule_labels(add_features(shared_table(find_candidates(docs, path_col=path_col), "candidates"), words)), "findings")
@@ -183,6 +207,8 @@ def scan_secrets(
         scored = found.withColumn("score", F.coalesce("label", F.lit(0.5)))
     else:
         scored = forest_scores(forest, found)
+        if labelled is None:
+            scored = scored.withColumn("score", F.when(F.col("known") == 1, 1.0).otherwise(F.col("score")))
     return scored.select(
         "doc_id", "text_hash", "start", F.char_length("code").alias("length"), "code", "score", (F.col("score") > threshold).alias("is_secret")
     )
