@@ -1,12 +1,14 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A text's shingles are runs of five words (lower case; a text of fewer words is
-one shingle), weighted by ``1 + ln(count)``.  Every shingle is a Poisson
-process of that rate: its arrivals, drawn from its hash, hit random registers,
-and a register keeps the shingle that arrived first.  A shingle whose next
-arrival comes later than the latest register is finished.  Two documents agree
-in a register with the probability Jaccard similarity of their weights.  Bands
-of registers are hashed into buckets.
+one shingle).  Every shingle is a Poisson process whose rate is its weight: its
+arrivals, drawn from its hash, hit random registers, and a register keeps the
+shingle that arrived first.  A shingle whose next arrival comes later than the
+latest register is finished.  Two documents agree in a register with the
+probability Jaccard similarity of their weights.  Links are defined on sets, so
+every shingle weighs 1, however often it occurs: that similarity is then the
+Jaccard similarity of the sets, and repetitions hide no pair.  Bands of
+registers are hashed into buckets.
 
 1. Documents of the same words in the same order are one node.
 2. A node's shingles that no other node of a bucket of two or more has cannot
@@ -61,10 +63,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingles(words: list[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 64-bit shingles of a text's words, and their counts."""
+def shingles(words: list[str], size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct 64-bit shingles of a text's words."""
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     ids = list(map(_words.get, words))
     if None in ids:
         if len(_words) > MEMO_WORDS:
@@ -76,7 +78,7 @@ def shingles(words: list[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
     for k in range(size):
         h = h * _MULTIPLIER + ids[k : len(ids) - size + 1 + k]
         h ^= h >> np.uint64(29)
-    return np.unique(h, return_counts=True)
+    return np.unique(h)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def _signed(size: int, bands: int, rows: int):
             some = [i for i, w in enumerate(words) if w]
             found: list = [None] * len(words)
             if some:
-                signature = signatures([(sets[i][0], 1 + np.log(sets[i][1])) for i in some], bands * rows)
+                signature = signatures([(sets[i], np.ones(len(sets[i]))) for i in some], bands * rows)
                 for i, x in zip(some, buckets(signature, bands, rows).view(np.int64)):
                     found[i] = x
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +126,7 @@ def _signed(size: int, bands: int, rows: int):
                     b.column(0),
                     b.column(2),
                     pa.array([xxhash.xxh3_128_digest(" ".join(w)) for w in words], pa.binary()),
-                    pa.array([len(s) for s, _ in sets], pa.int32()),
+                    pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(found, pa.list_(pa.int64())),
                 ],
                 ["doc_id", "text_hash", "words_key", "n", "buckets"],
@@ -139,7 +141,7 @@ def _shingled(size: int):
             words = [words_of(t) for t in b.column(2).to_pylist()]
             same = [i for i, (w, k) in enumerate(zip(words, b.column(1).to_pylist())) if xxhash.xxh3_128_digest(" ".join(w)) == k]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(same, pa.int64())), pa.array([shingles(words[i], size)[0].view(np.int64) for i in same], pa.list_(pa.int64()))],
+                [b.column(0).take(pa.array(same, pa.int64())), pa.array([shingles(words[i], size).view(np.int64) for i in same], pa.list_(pa.int64()))],
                 ["node", "shingles"],
             )
 

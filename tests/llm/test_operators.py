@@ -470,6 +470,22 @@ def test_near_duplicates_planted(spark):
     assert {r["doc_id"] for r in prob_minhash.keep_one(docs).collect()} == {i for i, r in rows.items() if r["kept"]}
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    """Pairs of which one copy repeats a passage a hundred times: the sets of
+    shingles stay alike (0.8 and more)."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(60):
+        base = [f"d{i}w{k}" for k in rng.permutation(110)]
+        own = [f"d{i}f{k}" for k in range(14)]
+        texts += [" ".join(base), " ".join(base + own * 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.components(texts)
+    assert want == [i - i % 2 for i in range(len(texts))]
+    rows = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 def test_registers_agree_with_probability_jaccard():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
