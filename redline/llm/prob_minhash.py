@@ -113,7 +113,8 @@ def buckets(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signed(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words = [words_of(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            words = [words_of(t) for t in texts]
             sets = [shingles(w, size) for w in words]
             some = [i for i, w in enumerate(words) if w]
             found: list = [None] * len(words)
@@ -125,7 +126,7 @@ def _signed(size: int, bands: int, rows: int):
                 [
                     b.column(0),
                     b.column(2),
-                    pa.array([xxhash.xxh3_128_digest(" ".join(w)) for w in words], pa.binary()),
+                    pa.array([xxhash.xxh3_128_digest(" ".join(w) or t) if t else None for w, t in zip(words, texts)], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(found, pa.list_(pa.int64())),
                 ],
@@ -155,9 +156,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Texts are linked when the Jaccard similarity of their sets of five-word
     shingles is at least the threshold; a class is a connected component.
     ``class_id`` is the smallest id in it (null only if all are null); a row of
-    that id is ``kept``, one if there are several.  A text without any word
-    (null and empty ones) is a class of its own, together with repetitions of
-    the same row.  An empty table gives no rows.
+    that id is ``kept``, one if there are several.  Texts without any word are
+    one class where they are equal; a null or empty text is a class of its own,
+    together with repetitions of the same row.  An empty table gives no rows.
     """
     return _classified(docs, **options).drop("text_hash")
 
@@ -266,15 +267,19 @@ def _classified(
     some = shared_table(slim.where("some").join(named, "words_key"), "classified")
     # the smallest id stays, of several texts that have it one
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "words_key", "text_hash")
-    classes = some.groupBy("class").agg(F.min(row).alias("keep"), F.sum("times").alias("class_size"))
-    placed = some.join(classes, "class").select(
-        "doc_id", "text_hash", F.col("keep.doc_id").alias("class_id"), "class_size", "times", row.eqNullSafe(F.col("keep")).alias("first")
-    )
-    none = slim.where(~F.col("some")).select(
+
+    def placed(rows: DataFrame, key: str) -> DataFrame:
+        classes = rows.groupBy(key).agg(F.min(row).alias("keep"), F.sum("times").alias("class_size"))
+        return rows.join(classes, key).select(
+            "doc_id", "text_hash", F.col("keep.doc_id").alias("class_id"), "class_size", "times", row.eqNullSafe(F.col("keep")).alias("first")
+        )
+
+    wordless = slim.where(~F.col("some") & F.col("words_key").isNotNull())  # keyed by the text
+    none = slim.where(F.col("words_key").isNull()).select(
         "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("times").alias("class_size"), "times", F.lit(True).alias("first")
     )
     return (
-        placed.unionByName(none)
+        placed(some, "class").unionByName(placed(wordless, "words_key")).unionByName(none)
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         .select("doc_id", "text_hash", "class_id", "class_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"))
     )

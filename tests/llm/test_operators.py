@@ -486,6 +486,17 @@ def test_near_duplicates_with_a_repeated_passage(spark):
     assert [rows[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_without_words(spark):
+    rows = [(3, "* * *"), (5, "* * *"), (5, "* * *"), (4, "***"), (6, "\U0001f600"), (None, "\U0001f600"), (7, ""), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in prob_minhash.near_duplicates(docs).collect())
+    assert got == Counter([
+        (3, 3, 3, True), (5, 3, 3, False), (5, 3, 3, False), (4, 4, 1, True), (6, 6, 2, True), (None, 6, 2, False),
+        (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True),
+    ])
+    assert sorted(r["doc_id"] for r in prob_minhash.keep_one(docs).collect()) == [3, 4, 6, 7, 8, 9]
+
+
 def test_registers_agree_with_probability_jaccard():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
