@@ -154,7 +154,7 @@ def test_repeated_header_gives_distinct_ids(spark):
 
 
 def test_sampling_paths_agree(spark):
-    from conftest import SF_SMALL
+    from samples import SF_SMALL
 
     for name, key in [("customer", "c_custkey"), ("lineitem", ["l_orderkey", "l_linenumber"]), ("events", "event_id")]:
         df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")

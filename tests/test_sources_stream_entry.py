@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import CONFIG_CS, CUSTOMERS_CSV, ROOT, SF_CHECK, SF_SMALL
+from samples import CONFIG_CS, CUSTOMERS_CSV, ROOT, SF_CHECK, SF_SMALL
 from redline.operators.detect_text import scan_text
 from redline.plans import catalog
 from redline.sources.files import read_sources
