@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, packing, prob_minhash, secret_scan, sharding, toxicity
+from . import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, merkle, packing, prob_minhash, secret_scan, sharding, toxicity
 from .common import table
 
 
@@ -76,6 +76,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(added)))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check in the Merkle manifest."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -87,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_line_dedup, op3_fingerprints, op4_packing, op5_toxicity, op6_bpe, op7_exact_dedup, op8_secrets,
-        op9_near_dedup, op10_chat_format, pipeline,
+        op9_near_dedup, op10_chat_format, op13_merkle, pipeline,
     )
 }
 
@@ -100,4 +105,42 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
     """,
+    # The CRC is the bitwise one: each byte is XORed in, then shifted eight times.
+    "op13_merkle": r"""
+        WITH RECURSIVE f AS (
+          SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN NULL ELSE (xor(list_reduce(
+              list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: list_concat([ascii(ch)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+              lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 5) = 0 END AS hit,
+            concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+              coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head, text,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+          FROM documents
+        ), h AS (
+          SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            CASE WHEN hit AND text IS NOT NULL THEN sha256(head || strlen(lowered) || ':' || lowered) END AS tampered FROM f
+        ), leaves AS (
+          SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS m FROM h
+        ), nodes AS (
+          SELECT tree, 0 AS lvl, idx, m, leaf AS digest FROM leaves
+          UNION ALL
+          SELECT tree, lvl + 1, idx // 16, any_value((m + 15) // 16), sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE m > 1 GROUP BY tree, lvl, idx // 16
+        ), tops AS (
+          SELECT -1::BIGINT AS tree, 0 AS lvl, tree AS idx, count(*) OVER () AS m, digest FROM nodes WHERE m = 1
+          UNION ALL
+          SELECT tree, lvl + 1, idx // 16, any_value((m + 15) // 16), sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE m > 1 GROUP BY tree, lvl, idx // 16
+        ), every AS (
+          SELECT * FROM nodes UNION ALL SELECT * FROM tops
+        ), sides AS (
+          SELECT a.tree, a.lvl, a.idx, a.m, a.digest, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+          FROM every a JOIN every b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 GROUP BY ALL
+        ), climb AS (
+          SELECT doc_id, leaf, tree AS home, tree, 0 AS lvl, idx, coalesce(tampered, leaf) AS folded, '' AS proof, FALSE AS done FROM leaves
+          UNION ALL
+          SELECT c.doc_id, c.leaf, c.home, CASE WHEN s.m = 1 THEN -1 ELSE c.tree END, CASE WHEN s.m = 1 THEN 0 ELSE c.lvl + 1 END, CASE WHEN s.m = 1 THEN c.home ELSE c.idx // 16 END,
+            CASE WHEN s.m = 1 THEN c.folded ELSE sha256(s.l || c.folded || s.r) END, c.proof || s.l || s.r, s.m = 1 AND c.tree = -1
+          FROM climb c JOIN sides s ON c.tree = s.tree AND c.lvl = s.lvl AND c.idx = s.idx WHERE NOT c.done
+        ), roots AS (SELECT digest AS root FROM tops WHERE m = 1)
+        SELECT c.doc_id, c.leaf, n.digest AS subroot, root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root AS verified
+        FROM climb c JOIN nodes n ON n.tree = c.home AND n.m = 1, roots WHERE c.done
+    """,
 }
