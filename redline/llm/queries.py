@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, merkle, packing, prob_minhash, secret_scan, sharding, toxicity
+from . import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, merkle, packing, prob_minhash, secret_scan, sharding, toxicity, whitening
 from .common import table
 
 
@@ -76,6 +76,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(added)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading whitening directions."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and check in the Merkle manifest."""
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
@@ -92,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_line_dedup, op3_fingerprints, op4_packing, op5_toxicity, op6_bpe, op7_exact_dedup, op8_secrets,
-        op9_near_dedup, op10_chat_format, op13_merkle, pipeline,
+        op9_near_dedup, op10_chat_format, op11_whitening, op13_merkle, pipeline,
     )
 }
 
