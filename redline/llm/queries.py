@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, exact_dedup, fingerprints, line_dedup, merkle, packing, prob_minhash, secret_scan, sharding, toxicity, whitening
+from . import chat_format, chunk_bpe, exact_dedup, fingerprints, html_extract, line_dedup, merkle, packing, prob_minhash, secret_scan, sharding, toxicity, whitening
 from .common import table
 
 
@@ -81,6 +81,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and check in the Merkle manifest."""
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
@@ -97,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_line_dedup, op3_fingerprints, op4_packing, op5_toxicity, op6_bpe, op7_exact_dedup, op8_secrets,
-        op9_near_dedup, op10_chat_format, op11_whitening, op13_merkle, pipeline,
+        op9_near_dedup, op10_chat_format, op11_whitening, op12_html_extract, op13_merkle, pipeline,
     )
 }
 
