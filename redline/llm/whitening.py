@@ -225,7 +225,7 @@ def _merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes], name: str)
     parts = shared_table(parts, name)
     while parts.count() > TREE:
 
-        def run(key, t: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             t = t.sort_by("at")
             return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "value": pa.array([merge(t.column("value").to_pylist())], pa.binary())})
 
