@@ -37,7 +37,7 @@ from .common import shared_table
 
 FAN = 16
 #: Leaf positions that share a copy of a run.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 #: Bytes of a digest.
 SIZE = 32
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
