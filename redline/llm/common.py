@@ -10,6 +10,8 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,16 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def sized_slices(batches: Iterator, column: int, size: int) -> Iterator:
+    """Arrow record batches cut into slices whose strings in ``column`` have
+    ``size`` bytes or little more; a slice has one row at least."""
+    for b in batches:
+        lengths = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < b.num_rows:
+            done = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, done + size, "right")))
+            yield b.slice(at, to - at)
+            at = to

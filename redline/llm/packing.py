@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import ship_package, slices, text_of
+from .common import ship_package, sized_slices, text_of
 
 MAX_TOKENS = 4096
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
+#: Bytes of text encoded at once (one row at least).
+TEXT_BYTES = 2 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 6144.0
 
 SCHEMA = (
@@ -75,8 +76,7 @@ def _packed(path: str, full: int, end_id: int, block_tokens: int, linear: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo = bpe.memo(path, "bytes", lambda ids: array("I", ids).tobytes())
-        end = array("I", [end_id]).tobytes()
+        words = bpe.word_table(path)
         first = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rest: list[tuple] = []  # doc_id, start, ids, tokens of the document
@@ -102,9 +102,12 @@ def _packed(path: str, full: int, end_id: int, block_tokens: int, linear: float,
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        for b in slices(batches, 64):
-            for doc_id, values in zip(b.column(0).to_pylist(), memo.of_texts(b.column(1).to_pylist())):
-                ids = b"".join(values) + end
+        for b in sized_slices(batches, 1, TEXT_BYTES):
+            encoded, ends = words.encode(b.column(1), end_id)
+            begin = 0
+            for doc_id, upto in zip(b.column(0).to_pylist(), ends.tolist()):
+                ids = encoded[begin:upto].tobytes()
+                begin = upto
                 tokens = len(ids) // 4
                 cut = tokens - tokens % full
                 for at in range(0, cut, full):
