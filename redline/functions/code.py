@@ -1,4 +1,4 @@
-"""Column functions for the code rules (text tier, no syntax tree)."""
+"""Column functions for the code rules."""
 
 from __future__ import annotations
 
@@ -14,26 +14,6 @@ _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # An identifier, an optional '+', '=', then one complete double-quoted literal.
 LITERAL_ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_]*+)\s*+\+?=\s*+" + _QUOTED
 
-# A member call: '.' method '(' arguments ')'.  Only its head is consumed, the
-# balanced arguments are looked at, so calls inside them match too.
-MAX_NESTING = 24
-
-
-def _nested(depth: int) -> str:
-    """Text whose parentheses are balanced, at most ``depth`` deep."""
-    return r"[^()]*+" if depth == 0 else r"(?:[^()]++|\(" + _nested(depth - 1) + r"\))*+"
-
-
-MEMBER_CALL = r"([A-Za-z_][A-Za-z0-9_]*)?\s*\.\s*+([A-Za-z_][A-Za-z0-9_]*+)\s*+\((?=(" + _nested(MAX_NESTING) + r")\))"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*+"
-STRING_LITERAL = "@?" + _QUOTED
-INTERPOLATED_STRING = r"\$@?" + _QUOTED
-HOLE = r"\{([^{}]*+)\}"
-# What may hold comment signs, and comments: strings, verbatim strings (which
-# may span lines), line comments, block comments.
-LEXEMES = r'@"(?:[^"]++|"")*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/'
-LINE_COMMENT = r"//.*$"
-
 
 def classify_identifier(name: Column) -> Column:
     """Sensitive data type suggested by an identifier (first rule wins)."""
@@ -48,45 +28,6 @@ def classify_identifier(name: Column) -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-def keep_holes(line: Column) -> Column:
-    """Replace every interpolated string ``$"..{a}..{b}.."`` by ``(a, b)``:
-    the expressions in its holes stay code, its text does not."""
-    pat = F.lit(INTERPOLATED_STRING)
-    parts = F.split(line, INTERPOLATED_STRING, -1)
-    holes = F.transform(
-        F.regexp_extract_all(line, pat, 0),
-        lambda s_: F.concat(F.lit("("), F.array_join(F.regexp_extract_all(s_, F.lit(HOLE), 1), ", "), F.lit(")")),
-    )
-    glue = F.concat(holes, F.array(F.lit("")))
-    return F.array_join(F.zip_with(parts, glue, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
-
-
-def blank_multiline(code: Column) -> Column:
-    """Block comments and verbatim strings that span lines reduced to their
-    line breaks, so every line keeps its number."""
-    found = F.regexp_extract_all(code, F.lit(LEXEMES), F.lit(0))
-    kept = F.transform(
-        found,
-        lambda x: F.when(x.startswith("/*") | (x.startswith("@") & x.contains("\n")), F.regexp_replace(x, "[^\\n]++", "")).otherwise(x),
-    )
-    glued = F.zip_with(F.split(code, LEXEMES, -1), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(code.contains("/*") | code.contains('@"'), F.array_join(glued, "")).otherwise(code)
-
-
-def blank_code(line: Column) -> Column:
-    """Remove string-literal contents and line comments so that text inside
-    them is never read as an identifier (holes of interpolated strings are
-    kept as code)."""
-    no_strings = F.regexp_replace(keep_holes(line), STRING_LITERAL, '""')
-    return F.regexp_replace(no_strings, LINE_COMMENT, "")
-
-
-def first_sensitive_identifier(text: Column) -> Column:
-    """Data type of the first identifier (left to right) that is sensitive."""
-    kinds = F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0), classify_identifier)
-    return F.try_element_at(F.filter(kinds, lambda k: k.isNotNull()), F.lit(1))
-
-
 def is_logging_call(receiver: Column, method: Column) -> Column:
     return method.startswith(R.LOG_METHOD_PREFIX) | (
         method.isin(*R.CONSOLE_METHODS) & (receiver == F.lit(R.CONSOLE_RECEIVER))

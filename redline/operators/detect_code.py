@@ -1,4 +1,4 @@
-"""Code rules as text rules over a code corpus (per line, no shuffle).
+"""Code rules over a code corpus (no shuffle).
 
 * ``sensitive_literal_assignment``: ``name = "literal"`` (or ``+=``) where the
   name is sensitive; ``this.name = "x"`` is caught through its last member.
@@ -8,30 +8,25 @@
   identifier; one finding per call, also for calls inside the arguments of
   another one (lambdas, handlers, nested calls).
 
-Calls may span lines (matched on the whole blanked source; block comments and
-verbatim strings over several lines are blanked too).  Limits of the text tier
-(no syntax tree): argument lists nest at most ``MAX_NESTING`` parentheses deep;
-identifiers of the arguments are checked left to right.
+Literals are a text rule per line.  Calls come from one linear pass over a
+source's tokens (``functions/calls.py``): nesting has no text expression, so
+this is Arrow code in the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calls
 from ..functions import rules as R
-from ..functions.code import (
-    LITERAL_ASSIGNMENT,
-    MEMBER_CALL,
-    blank_code,
-    blank_multiline,
-    classify_identifier,
-    first_sensitive_identifier,
-    is_http_call,
-    is_logging_call,
-)
+from ..functions.code import LITERAL_ASSIGNMENT, classify_identifier, is_http_call, is_logging_call
 from ..functions.text import split_lines, trim_ws
 from ..schemas import detection_finding
+from ..session import ship_package
 
 RULE_LOGGING = 101
 RULE_HTTP = 102
@@ -93,74 +88,44 @@ def sensitive_literal_assignment(
     return hits.select(*_finding(F.col("data_type"), F.lit(RULE_LITERAL), F.col("match_ord"), created_at))
 
 
+CALLS = "scan_id string, file_name string, line_no int, line string, call_ord int, receiver string, method string, data_type string"
+
+
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in CALLS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    for b in batches:
+        for scan_id, file_name, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+            lines = content.split("\n")
+            rows = [
+                (scan_id, file_name, line, lines[line - 1].rstrip("\r"), i + 1, receiver, method, found)
+                for i, (line, receiver, method, found) in enumerate(calls.member_calls(content))
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def member_calls(sources: DataFrame) -> DataFrame:
-    """Member calls of every source, also when the argument list spans
-    several lines: ``(file_name, line_no, line, call_ord, receiver, method,
-    args)``.
-
-    Strings and line comments are blanked line by line (line breaks are
-    kept), call heads are matched on the whole blanked text (an outer call
-    before those in its arguments), a head's offset is the sum of the gaps and
-    heads before it, and the line number is one plus the line breaks before the
-    call's first non-blank character.
-    """
-    src = with_scan_id(sources, None).where(F.col("content").rlike(r"\.\s*[A-Za-z_][A-Za-z0-9_]*\s*\("))
-    raw_lines = F.split(F.col("content"), "\n", -1)
-    blanked = F.array_join(F.transform(F.split(blank_multiline(F.col("content")), "\n", -1), blank_code), "\n")
-    pat = F.lit(MEMBER_CALL)
-    b = src.select(
-        "scan_id", "file_name", raw_lines.alias("raw_lines"), blanked.alias("code"),
-    ).select(
-        "scan_id", "file_name", "raw_lines", "code",
-        F.regexp_extract_all(F.col("code"), pat, 0).alias("m0"),
-        F.regexp_extract_all(F.col("code"), pat, 1).alias("m1"),
-        F.regexp_extract_all(F.col("code"), pat, 2).alias("m2"),
-        F.regexp_extract_all(F.col("code"), pat, 3).alias("m3"),
-        F.split(F.col("code"), MEMBER_CALL, -1).alias("gaps"),
-    )
-    code = F.col("code")
-
-    def step(acc: Column, x: Column) -> Column:
-        pos = acc["next"] + F.length(x["gap"])
-        lead = F.length(F.regexp_extract(x["head"], r"^(\s*)", 1))
-        return F.struct(
-            (pos + F.length(x["head"])).alias("next"),
-            F.concat(acc["starts"], F.array(pos + lead)).alias("starts"),
-        )
-
-    init = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
-    heads = F.arrays_zip(F.col("m0").alias("head"), F.slice("gaps", F.lit(1), F.size("m0")).alias("gap"))
-    starts = F.aggregate(heads, init, step)["starts"]
-    located = b.select(
-        "scan_id", "file_name", "raw_lines", "code",
-        F.posexplode(F.arrays_zip(starts.alias("start"), F.col("m1").alias("receiver"), F.col("m2").alias("method"), F.col("m3").alias("args"))).alias("pos", "c"),
-    )
-    prefix = F.substring(code, 1, F.col("c.start") - 1)
-    line_no = (F.length(prefix) - F.length(F.regexp_replace(prefix, "\n", "")) + 1).cast("int")
-    return located.select(
-        "scan_id",
-        "file_name",
-        line_no.alias("line_no"),
-        F.regexp_replace(F.element_at(F.col("raw_lines"), line_no), "\r+$", "").alias("line"),
-        (F.col("pos") + 1).cast("int").alias("call_ord"),
-        F.col("c.receiver").alias("receiver"),
-        F.col("c.method").alias("method"),
-        F.col("c.args").alias("args"),
-    )
+    """Member calls with arguments of every source: ``(scan_id, file_name,
+    line_no, line, call_ord, receiver, method, data_type)``, the data type of
+    the first sensitive name in the arguments.  A call may span lines and nest
+    to any depth; an outer call comes before those in its arguments."""
+    src = with_scan_id(sources, None).where(F.col("content").rlike(r"\.\s*[A-Za-z_@][A-Za-z0-9_]*\s*[(<]"))
+    ship_package(src.sparkSession)
+    rows = src.select(F.col("scan_id").cast("string").alias("scan_id"), "file_name", "content")
+    return rows.mapInArrow(_calls, CALLS)
 
 
 def sensitive_calls(
     sources: DataFrame, scan_id: str | None = None, created_at: Column | None = None
 ) -> DataFrame:
     """``pii_in_logging`` and ``pii_in_http_call`` findings."""
-    calls = member_calls(with_scan_id(sources, scan_id)).where(F.trim(F.col("args")) != "")
+    found = member_calls(with_scan_id(sources, scan_id)).where(F.col("data_type").isNotNull())
     logging = is_logging_call(F.col("receiver"), F.col("method"))
     http = is_http_call(F.col("method"))
-    flagged = calls.where(logging | http).select(
-        "*",
-        first_sensitive_identifier(F.col("args")).alias("data_type"),
-        F.when(logging, F.lit(RULE_LOGGING)).otherwise(F.lit(RULE_HTTP)).alias("kind"),
-    ).where(F.col("data_type").isNotNull())
+    flagged = found.where(F.coalesce(logging, F.lit(False)) | http).withColumn(
+        "kind", F.when(logging, F.lit(RULE_LOGGING)).otherwise(F.lit(RULE_HTTP))
+    )
     return flagged.select(*_finding(F.col("data_type"), F.col("kind"), F.col("call_ord"), created_at))
 
 

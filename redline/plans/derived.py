@@ -54,8 +54,11 @@ def code_calls(spark: SparkSession, d: str) -> DataFrame:
     calls = F.array(
         F.lit('logger.LogInformation("x", user.Email);'), F.lit("client.PostAsync(url, ((patient.Ssn)));"),
         F.lit('logger.LogInformation("user.Email");'), F.lit("logger.LogInformation(/* user.Email */ 1);"),
+        F.lit("logger.LogInformation(')', user.Email);"), F.lit("client.PostAsJsonAsync<Person>(url, user.Email);"),
+        F.lit('logger.LogInformation($"mail {(user.Ok ? user.Email : "x")}");'), F.lit('logger?.LogInformation("x", user.Email);'),
+        F.lit("logger.LogInformation(patient.Address.Email);"),
     )
-    docs = C.table(spark, d, "documents").withColumn("call", calls[F.pmod("doc_id", F.lit(4)).cast("int")])
+    docs = C.table(spark, d, "documents").withColumn("call", calls[F.pmod("doc_id", F.lit(9)).cast("int")])
     comment = F.concat(F.lit("// "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n// ")))
     src = as_sources(docs.withColumn("text", F.concat_ws("\n", comment, "call")), "doc_id", "text", "calls/", ".cs", scan_col="source")
     found = detect_code.sensitive_calls(src)
@@ -198,8 +201,8 @@ def oracle_sql() -> dict[str, str]:
             FROM b""",
         "code_calls": f"""
             SELECT 'calls/' || doc_id || '.cs' AS file_name, CAST({lines} AS BIGINT) AS line_no,
-              CASE doc_id % 4 WHEN 0 THEN 'EMAIL' ELSE 'SSN' END AS data_type, CAST(101 + doc_id % 4 AS BIGINT) AS rule_ord
-            FROM documents WHERE doc_id % 4 < 2""",
+              CASE doc_id % 9 WHEN 1 THEN 'SSN' ELSE 'EMAIL' END AS data_type, CAST(CASE WHEN doc_id % 9 IN (1, 5) THEN 102 ELSE 101 END AS BIGINT) AS rule_ord
+            FROM documents WHERE doc_id % 9 IN (0, 1, 4, 5, 6, 8)""",
         "two_scans_columns": """
             SELECT 'A' AS scan_id, 'part-' || (c_custkey // 1000) || '.csv:column=v' AS location, 'EMAIL' AS data_type,
               'm' || min(c_custkey) || '@x.example' AS snippet, 'AZURE' AS detected_by
