@@ -33,12 +33,14 @@ from pyspark.sql import types as T
 from .common import ship_package, slices, text_of
 
 TRAIN_ROWS = 1000  # labelled documents of each class, at most
-TRAIN_CHARS = 8_000  # longer documents are not used for training (all are scored)
+TRAIN_CHARS = 8_000  # of a longer document, EXCERPTS stretches spread over it are used for training (all are scored whole)
+EXCERPTS = 8
 REJECT = 0.7
 BLOCK = 64
 STEPS = 50
 WINDOW = 32
 NEGATIVE_WINDOWS = 2  # of a training document
+MARK_WINDOWS = 8  # of a toxic training document, spread over its marks
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 CLIP = 15.0
@@ -188,8 +190,8 @@ def train(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.
     for d, t in zip(docs, y):
         df[t].update({f for w in set(d) for f in cache[w]})
     n_toxic = int(y.sum())
-    if not 0 < n_toxic < len(y):  # one class only: a constant
-        base = (n_toxic + 0.5) / (len(y) + 1)
+    if not 0 < n_toxic < len(y):  # one class only: nothing to tell by, so a constant that rejects nothing
+        base = min((n_toxic + 0.5) / (len(y) + 1), 0.5)
         return Model({}, -CLIP, (0.0, 0.0, 0.0), (math.log(base / (1 - base)), 0.0, 0.0))
     share = n_toxic / len(y)
     seen = {f: (n, df[0][f]) for f, n in df[1].items() if n + df[0][f] >= 3}
@@ -212,7 +214,8 @@ def train(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.
     for d, t in zip(docs, y):
         label = [int(t and marked[w]) for w in d]
         starts = {max(0, i - int(rng.integers(WINDOW))) for i, z in enumerate(label) if z}
-        starts = set(sorted(starts)[:8]) | {int(s) for s in rng.integers(0, max(1, len(d) - WINDOW + 1), NEGATIVE_WINDOWS)}
+        starts = sorted(starts)
+        starts = {starts[i] for i in np.linspace(0, len(starts) - 1, min(MARK_WINDOWS, len(starts))).astype(int)} | {int(s) for s in rng.integers(0, max(1, len(d) - WINDOW + 1), NEGATIVE_WINDOWS)}
         for s in starts:
             if d[s : s + WINDOW]:
                 wins.append(d[s : s + WINDOW])
@@ -322,9 +325,17 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def excerpt(text: F.Column, chars: int) -> F.Column:
+    """The text, or of a longer one ``EXCERPTS`` stretches spread evenly over it."""
+    size, n = chars // EXCERPTS, F.char_length(text)
+    parts = [F.substring(text, F.floor((n - size) * (i / (EXCERPTS - 1))).cast("int") + 1, F.lit(size)) for i in range(EXCERPTS)]
+    return F.when(n <= chars, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
     """Train on at most ``train_rows`` labelled documents of each class, those
-    of the smallest id hashes, of at most ``train_chars`` characters each.
+    of the smallest id hashes.  Of one longer than ``train_chars`` characters,
+    ``EXCERPTS`` stretches spread over it are used, of as many characters in all.
     Only rows are used whose crc32 of the id (as text) modulo 3 is not 1;
     null ids and null labels are left out, of several labels the largest
     counts."""
@@ -335,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     for k in (0, 1):
         part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.char_length("text") <= train_chars)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), excerpt(text_of(), train_chars).alias("text"))
     # 2 * train_rows ids at most
     rows = text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -354,7 +365,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     Null and empty texts have no token and get the score of a document
     without any.  Other columns pass through untouched; repeated rows each get
     their score; an empty table gives no rows.  Without usable labels, or with
-    one class only, every score is the share of toxic labels (smoothed).
+    one class only, every score is the share of toxic labels (smoothed), at
+    most a half: what was not learned rejects nothing.
     """
     ship_package(docs.sparkSession)
     model = model or fit(docs, labels)
