@@ -172,11 +172,44 @@ def clause_refresh(spark: SparkSession, d: str) -> DataFrame:
     return index.select("policy_name", "clause_id", "action")
 
 
+def scan_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the files of a scan a source.  A plug-in detector raises on
+    every source whose number ends in 3; of those that end in 7 one file more
+    was announced than comes."""
+    from ..sources.policies import load_policy_clauses
+    from ..streaming import lifecycle
+    from ..streaming.scan import start_scan_stream
+
+    run = checkpoint_path(spark, f"lifecycle-{uuid.uuid4().hex}")
+    src = as_sources(C.table(spark, d, "documents"), "doc_id", "text", "documents/", scan_col="source")
+    src.write.parquet(f"{run}/landing")
+    end = F.right("scan_id", F.lit(1))
+    now = F.current_timestamp()
+    asked = src.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "scan_id", F.lit("request").alias("kind"), (F.col("n") + F.when(end == "7", 1).otherwise(0)).alias("n_files"), F.lit(None).cast("string").alias("message"), now.alias("at")
+    )
+    lifecycle.write_events(asked, run)
+
+    def poison(sources: DataFrame) -> DataFrame:
+        broken = F.raise_error(F.concat(F.lit("PoisonError: cannot read "), F.col("scan_id"))).cast("boolean")
+        return detect_text.scan_text(sources.where(F.when(end == "3", broken).otherwise(False)))
+
+    stream = spark.readStream.schema(src.schema).parquet(f"{run}/landing")
+    start_scan_stream(stream, load_policy_clauses(spark), run, detectors={"poison": poison}).awaitTermination()
+    late = spark.range(1).select(
+        F.lit(None).cast("string").alias("scan_id"), F.lit("clock").alias("kind"), F.lit(None).cast("long").alias("n_files"),
+        F.lit(None).cast("string").alias("message"), (now + F.expr("INTERVAL 2 HOURS")).alias("at"),
+    )
+    lifecycle.write_events(late, run)
+    lifecycle.start_lifecycle(spark, run).awaitTermination()
+    return lifecycle.states(spark, run)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_rules_derived, code_calls, two_scans_columns, csv_round_trip, json_round_trip, fix_chain, first_approval, reason_fallback,
-        fix_args_parsed, status_views, stored_embeddings, clause_refresh,
+        fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle,
     )
 }
 
@@ -226,6 +259,10 @@ def oracle_sql() -> dict[str, str]:
         "stored_embeddings": """
             SELECT CAST(doc_id AS BIGINT) AS doc_id, upper(sha256(coalesce(text, ''))[1:8]) AS content_hash,
               CAST(CAST(n_chars AS FLOAT) AS BIGINT) AS first, true AS other_hash FROM documents""",
+        "scan_lifecycle": """
+            SELECT source AS scan_id, CASE WHEN right(source, 1) IN ('3', '7') THEN 'ERROR' ELSE 'DONE' END AS status,
+              CASE right(source, 1) WHEN '3' THEN 'PoisonError: cannot read ' || source WHEN '7' THEN 'no progress for 3600 s in SCANNING' END AS error_message
+            FROM documents GROUP BY source""",
         "clause_refresh": """
             SELECT source AS policy_name, CAST(doc_id AS VARCHAR) AS clause_id,
               CASE WHEN doc_id % 4 = 0 THEN 'reused' ELSE 'unembedded' END AS action FROM documents""",

@@ -8,8 +8,11 @@
   detectors, citation, reasoning) in ``foreachBatch``; its findings and its
   lifecycle rows (PENDING, SCANNING, then DONE or ERROR, one row a scan) are
   written to the folder of the batch id, so a batch that runs again replaces
-  what it wrote.  A batch that fails leaves ERROR rows with the message and
-  stops the query; its offset is not committed, so a restart runs it again.
+  what it wrote.  A scan that fails gets an ERROR row with its message, the
+  others of the batch go on (``scan_apart``).  A failure that is no scan's
+  (a hook that cannot be built, a batch without one scan that passes) leaves
+  ERROR rows and stops the query; its offset is not committed, so a restart
+  runs it again.  ``streaming.lifecycle`` follows scans over batches.
 * ``start_running_score``: per-scan CRITICAL/HIGH counts and the compliance
   score in update mode, written by batch id in the same way (new totals of the
   changed scans).  ``latest_scores`` reads the newest total per scan.
@@ -17,14 +20,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.reason import default_severity
 from ..functions.report import compliance_from_counts
+from ..hooks import run_detectors
 from ..operators.detect_text import scan_text
 from ..session import checkpoint_path, is_folder
 from ..sources.files import as_sources
@@ -110,6 +118,80 @@ def start_running_score(spark: SparkSession, path: str, run_dir: str, available_
     return w.start()
 
 
+def failure_message(exc: Exception) -> str:
+    """What went wrong, in a line: the last error named in the text (that of the
+    Python worker, if it raised), else its first line."""
+    text = str(exc)
+    named = re.findall(r"^(?:\w+\.)*(\w*(?:Error|Exception): [^\n]+)", text, re.M)
+    line = named[-1] if named else (text.strip().splitlines() or [type(exc).__name__])[0]
+    return re.sub(r"^\[[A-Z_.]+\] | SQLSTATE: \w+$", "", line)[:2000]
+
+
+#: Halvings of a batch to find the scans that fail (by the hash of their ids).
+HALVINGS = 48
+
+
+def failing_scans(sources: DataFrame, run: Callable[[DataFrame], None]) -> DataFrame | None:
+    """The scans of ``sources`` for which ``run`` fails in its execution, with
+    their ``error_message`` (None: no scan).  All are tried together, then,
+    where they fail, either half of them, down to single scans.  A plan that
+    cannot be built raises: it concerns all scans."""
+    spark = sources.sparkSession
+    failed: list[tuple[int, int, str]] = []
+    todo = [(0, 0)]  # the scans whose hash has this value in its lowest ``bits`` bits
+    while todo:
+        bits, value = todo.pop()
+        part = sources.where(F.pmod(F.xxhash64("scan_id"), F.lit(1 << bits)) == value) if bits else sources
+        several = part.select("scan_id").distinct().limit(2).count()
+        if not several:
+            continue
+        try:
+            run(part)
+        except (PySparkException, Py4JJavaError) as exc:
+            if isinstance(exc, AnalysisException):
+                raise
+            if several == 1 or bits == HALVINGS:
+                failed.append((bits, value, failure_message(exc)))
+            else:
+                todo += [(bits + 1, value), (bits + 1, value + (1 << bits))]
+    if not failed:
+        return None
+    cases = spark.createDataFrame(failed, "bits int, value long, error_message string")  # a row a failure
+    on = F.pmod(F.xxhash64("scan_id"), F.pow(F.lit(2), F.col("bits")).cast("long")) == F.col("value")
+    return sources.select("scan_id").distinct().join(F.broadcast(cases), on).select("scan_id", "error_message")
+
+
+def scan_apart(
+    sources: DataFrame, write: Callable[[DataFrame], None], cut: Callable[[DataFrame], DataFrame], probe: Callable[[DataFrame], None] | None = None
+) -> DataFrame | None:
+    """Scan all scans of ``sources`` but those that fail; these are returned with
+    their ``error_message`` (None: no scan failed).
+
+    ``write`` scans and writes what it is given, in the place of what it wrote
+    before.  If it fails in its execution, the failing scans are looked for with
+    ``probe`` (the plug-in detectors alone), or with ``write`` itself where that
+    finds none, and the others, a copy made by ``cut`` (the optimiser may move a
+    detector's filter before theirs), are scanned again.  If no scan is left of
+    several, the failure is not a scan's and is raised.
+    """
+    several = sources.select("scan_id").distinct().limit(2).count() > 1
+    errors, rest = None, sources
+    for run in ([probe] if probe else []) + [write, None]:
+        try:
+            write(rest)
+            return errors
+        except (PySparkException, Py4JJavaError) as exc:
+            if run is None or isinstance(exc, AnalysisException):
+                raise
+            found = failing_scans(rest, run)
+            if found is None:
+                continue
+            rest = cut(rest.join(found, "scan_id", "left_anti"))
+            errors = found if errors is None else errors.unionByName(found)
+            if several and rest.isEmpty():
+                raise
+
+
 def start_scan_stream(
     sources: DataFrame,
     clauses: DataFrame,
@@ -119,8 +201,9 @@ def start_scan_stream(
     **hooks,
 ) -> StreamingQuery:
     """The whole scan over a stream of ``sources`` rows (with ``scan_id``):
-    findings in ``run_dir/findings``, lifecycle rows in ``run_dir/lifecycle``.
-    ``hooks`` are those of ``plans.scan.scan``."""
+    findings in ``run_dir/findings``, lifecycle rows in ``run_dir/lifecycle``,
+    events of ``streaming.lifecycle`` in ``run_dir/events``.  ``hooks`` are those
+    of ``plans.scan.scan``."""
     from ..plans.scan import scan
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -129,22 +212,43 @@ def start_scan_stream(
         landed = f"{run_dir}/landed/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(landed)
         batch = spark.read.schema(batch.schema).parquet(landed)
+        counted = batch.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_files"))
+
+        def mark(step: int, status: str | None, errors: DataFrame | None = None, message: str | None = None) -> None:
+            rows = counted.withColumn("error_message", F.lit(message).cast("string"))
+            if errors is not None:
+                rows = counted.join(errors, "scan_id", "left")
+            status_ = F.lit(status) if status else F.when(F.col("error_message").isNull(), "DONE").otherwise("ERROR")
+            rows = rows.select("scan_id", "n_files", F.lit(step).alias("step"), status_.alias("status"), "error_message", F.current_timestamp().alias("at"))
+            path = f"{run_dir}/lifecycle/batch_id={batch_id}/step_no={step}"
+            rows.write.mode("overwrite").parquet(path)
+            if step == 3:
+                kind = F.when(F.col("status") == "DONE", "scanned").otherwise("failed")
+                events = spark.read.schema(rows.schema).parquet(path).select("scan_id", kind.alias("kind"), "n_files", F.col("error_message").alias("message"), "at")
+                events.coalesce(1).write.mode("overwrite").parquet(f"{run_dir}/events/batch_id={batch_id}")
+
+        def write(part: DataFrame) -> None:
+            found = scan(part, clauses, scans=scans, **hooks)
+            found.write.mode("overwrite").parquet(f"{run_dir}/findings/batch_id={batch_id}")
+
+        def cut(part: DataFrame) -> DataFrame:
+            path = f"{landed}-{uuid.uuid4().hex}"
+            part.write.parquet(path)
+            return spark.read.schema(part.schema).parquet(path)
 
-        def mark(step: int, status: str, message: str | None = None) -> None:
-            rows = batch.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_files")).select(
-                "scan_id", "n_files", F.lit(step).alias("step"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"), F.current_timestamp().alias("at")
-            )
-            rows.write.mode("overwrite").parquet(f"{run_dir}/lifecycle/batch_id={batch_id}/step_no={step}")
+        def probe(part: DataFrame) -> None:
+            plugged = run_detectors(part, hooks.get("detectors"))
+            if plugged is not None:
+                plugged.write.format("noop").mode("overwrite").save()
 
         mark(1, "PENDING")
         mark(2, "SCANNING")
         try:
-            found = scan(batch, clauses, scans=scans, **hooks)
-            found.write.mode("overwrite").parquet(f"{run_dir}/findings/batch_id={batch_id}")
+            errors = scan_apart(batch, write, cut, probe)
         except Exception as exc:
-            mark(3, "ERROR", str(exc))
+            mark(3, "ERROR", message=failure_message(exc))
             raise
-        mark(3, "DONE")
+        mark(3, None, errors)
 
     w = sources.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{run_dir}/ckpt")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
