@@ -60,6 +60,20 @@ def scan_text(
         "file_name",
         F.explode(split_lines(F.col("content"), prefilter)).alias("l"),
     )
+    return _findings(lines, rules, keep_match, created_at)
+
+
+def scan_lines(lines: DataFrame, rules: list[TextRule] | None = None, prefilter=None, keep_match: bool = False, created_at: Column | None = None) -> DataFrame:
+    """Findings of numbered lines (``scan_id, file_name, line_no, line``), as
+    ``scan_text`` gives them of the whole sources."""
+    if rules is None:
+        rules, prefilter = default_rules(False), prefilter or R.LINE_PREFILTER
+    kept = lines.where(accepts(prefilter, F.col("line"))) if prefilter is not None else lines
+    fields = F.struct("line_no", "line").alias("l")
+    return _findings(kept.select("scan_id", "file_name", fields), rules, keep_match, created_at)
+
+
+def _findings(lines: DataFrame, rules: list[TextRule], keep_match: bool, created_at: Column | None) -> DataFrame:
     hits = lines.select(
         "scan_id",
         "file_name",

@@ -22,6 +22,7 @@ from ..operators import detect_code, detect_text, enrich, remediate
 from ..operators.retrieve import refresh_clause_index
 from ..session import checkpoint_path
 from ..sources.files import as_sources
+from ..sources.splits import numbered_lines
 from ..sources.tables import read_csv_table, read_json_table, write_csv_table, write_json_table
 from . import catalog as C
 from .scan import route_detectors
@@ -172,6 +173,62 @@ def clause_refresh(spark: SparkSession, d: str) -> DataFrame:
     return index.select("policy_name", "clause_id", "action")
 
 
+def _in_small_splits(spark: SparkSession, size: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives with splits of ``size`` bytes, written and read back."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    held = {k: spark.conf.get(k) for k in names}
+    path = checkpoint_path(spark, f"splits-{uuid.uuid4().hex}")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = make()
+        out.write.parquet(path)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _one_file(rows: DataFrame, order: str, text: F.Column, path: str) -> None:
+    """The rows' texts as the lines of one file."""
+    rows.select(order, text.alias("value")).coalesce(1).sortWithinPartitions(order).select("value").write.text(path)
+
+
+def csv_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as CSV files read by splits of 8 KB: cells with commas, doubled
+    quotes and line breaks.  The file of the BUILDING segment has a stray quote."""
+    path = checkpoint_path(spark, f"csv-splits-{uuid.uuid4().hex}")
+    c = C.table(spark, d, "customer")
+    building = F.col("c_mktsegment") == "BUILDING"
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("c_custkey,note,c_mktsegment").alias("value"))
+    for part, stray, name in ((c.where(~building), "", "good"), (c.where(building), '5" pipe', "bad")):
+        line = F.concat(F.col("c_custkey"), F.lit(',"'), F.col("c_name"), F.lit(', ""q""\n\n,end",' + stray), F.col("c_mktsegment"))
+        _one_file(head.unionByName(part.select("c_custkey", line.alias("value"))), "c_custkey", F.col("value"), f"{path}/{name}")
+    return _in_small_splits(spark, 8192, lambda: read_csv_table(spark, path, ordered=False))
+
+
+def json_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Events as one JSON array in a file, read by splits of 8 KB."""
+    path = checkpoint_path(spark, f"json-splits-{uuid.uuid4().hex}")
+    e = C.table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "props", F.array(F.lit("],{"), F.lit('"')).alias("odd"))).alias("value"))
+    low = e.agg(F.min("event_id").alias("low"))
+    text = F.concat(F.when(F.col("event_id") == F.col("low"), "[").otherwise(","), F.col("value"))
+    end = spark.range(1).select(F.lit((1 << 63) - 1).alias("event_id"), F.lit("]").alias("value"))
+    _one_file(e.join(F.broadcast(low)).select("event_id", text.alias("value")).unionByName(end), "event_id", F.col("value"), path)
+    return _in_small_splits(spark, 8192, lambda: read_json_table(spark, path))
+
+
+def split_source(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as one text file, scanned by splits of 64 KB: findings with
+    their line in the file."""
+    path = checkpoint_path(spark, f"split-source-{uuid.uuid4().hex}")
+    docs = C.table(spark, d, "documents")
+    _one_file(docs, "doc_id", F.coalesce("text", F.lit("")), path)
+    lines = numbered_lines(spark, path).withColumn("scan_id", F.lit("s"))
+    found = _in_small_splits(spark, 65536, lambda: detect_text.scan_lines(lines, keep_match=True))
+    return found.select(F.col("line_no").cast("bigint").alias("line_no"), "data_type", F.col("match_ord").cast("bigint").alias("match_ord"), "match")
+
+
 def scan_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Documents as the files of a scan a source.  A plug-in detector raises on
     every source whose number ends in 3; of those that end in 7 one file more
@@ -209,7 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_rules_derived, code_calls, two_scans_columns, csv_round_trip, json_round_trip, fix_chain, first_approval, reason_fallback,
-        fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle,
+        fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle, csv_splits, json_splits, split_source,
     )
 }
 
@@ -259,6 +316,18 @@ def oracle_sql() -> dict[str, str]:
         "stored_embeddings": """
             SELECT CAST(doc_id AS BIGINT) AS doc_id, upper(sha256(coalesce(text, ''))[1:8]) AS content_hash,
               CAST(CAST(n_chars AS FLOAT) AS BIGINT) AS first, true AS other_hash FROM documents""",
+        "csv_splits": """
+            SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', "q"' || chr(10) || chr(10) || ',end' AS note, c_mktsegment
+            FROM customer WHERE c_mktsegment <> 'BUILDING'""",
+        "json_splits": """
+            SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(event_type, '') AS event_type, coalesce(CAST(props AS VARCHAR), '') AS props,
+              '["],{","\\\""]' AS odd FROM events""",
+        "split_source": oracle.with_(
+            [*oracle.doc_findings_ctes(),
+             "len AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n FROM documents)",
+             "off AS (SELECT 'documents/' || doc_id AS file_name, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM len)"],
+            "SELECT CAST(before + line_no AS BIGINT) AS line_no, data_type, CAST(match_ord AS BIGINT) AS match_ord, match FROM tf JOIN off USING (file_name)",
+        ),
         "scan_lifecycle": """
             SELECT source AS scan_id, CASE WHEN right(source, 1) IN ('3', '7') THEN 'ERROR' ELSE 'DONE' END AS status,
               CASE right(source, 1) WHEN '3' THEN 'PoisonError: cannot read ' || source WHEN '7' THEN 'no progress for 3600 s in SCANNING' END AS error_message

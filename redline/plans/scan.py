@@ -8,7 +8,7 @@ findings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import hooks
@@ -18,31 +18,15 @@ from ..functions.columns import is_dataset, is_json_dataset
 from ..operators import detect_code, detect_columns, detect_text, enrich
 from ..operators.detect_code import with_scan_id
 from ..schemas import FINDING_COLUMNS
-
-# Stand-ins (Unicode noncharacters) for what a quoted CSV field may hold.
-HIDDEN = {"\n": "\ufdd0", ",": "\ufdd1", "\r": "\ufdd2"}
-
-
-def _hide_quoted(content: Column) -> Column:
-    """The text with line breaks and commas inside double quotes replaced by
-    stand-ins: every second piece between quotes is quoted text."""
-    plain, stand_ins = "".join(HIDDEN), "".join(HIDDEN.values())
-    pieces = F.transform(F.split(content, '"', -1), lambda p, i: F.when(i % 2 == 1, F.translate(p, plain, stand_ins)).otherwise(p))
-    return F.array_join(pieces, '"')
-
-
-def _unquote(cell: Column) -> Column:
-    shown = F.translate(cell, "".join(HIDDEN.values()), "".join(HIDDEN))
-    bare = F.trim(shown)
-    quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) > 1)
-    return F.when(quoted, F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))).otherwise(shown)
-
+from ..sources import splits
+from ..sources.files import guess_language, read_sources
+from ..sources.splits import csv_cells_of, csv_text_records
 
 def csv_records(content: Column) -> Column:
     """The records of a CSV text, each an array of cells: quoted fields may
-    hold commas, line breaks and doubled quotes; blank lines are left out."""
-    lines = F.transform(F.split(_hide_quoted(content), "\n", -1), lambda x: F.rtrim(x, F.lit("\r")))
-    return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.transform(F.split(x, ",", -1), _unquote))
+    hold commas, line breaks and doubled quotes; blank lines are left out; a
+    text that is no CSV (a stray quote, one never closed) has none."""
+    return F.transform(csv_text_records(content), lambda x: csv_cells_of(x))
 
 
 def csv_cells(sources: DataFrame) -> DataFrame:
@@ -73,7 +57,12 @@ def json_cells(sources: DataFrame) -> DataFrame:
     columns are the union of the objects' keys in first-seen order, other
     elements are skipped, another root gives none, non-string values are kept
     as JSON text, null as ''."""
-    kv = json_objects(sources).select(
+    return object_cells(json_objects(sources))
+
+
+def object_cells(objects: DataFrame) -> DataFrame:
+    """Cells of JSON objects (``scan_id, file_name, rec, object``)."""
+    kv = objects.select(
         "scan_id", "file_name", "rec", F.posexplode(F.map_entries("object")).alias("kpos", "e")
     ).select("scan_id", "file_name", "rec", "kpos", F.col("e.key").alias("column_name"), F.col("e.value").alias("value"))
     first_seen = kv.groupBy("scan_id", "file_name", "column_name").agg(F.min(F.struct("rec", "kpos")).alias("first"))
@@ -119,6 +108,28 @@ def route_detectors(
     return out
 
 
+def scan_files(spark: SparkSession, path: str, scan_id: str = "scan", detectors: dict[str, hooks.Detector] | None = None) -> DataFrame:
+    """Detection findings of the files under ``path``, of any size: those that
+    ``route_detectors`` gives of the files read whole.
+
+    Text rules take the files' lines by splits, the column scan takes CSV
+    records and JSON elements by splits; only C# sources (and every source, if
+    there are plug-in detectors) are read whole.  A file whose lines cannot be
+    read fails the scan."""
+    parts = [detect_text.scan_lines(splits.numbered_lines(spark, path).withColumn("scan_id", F.lit(scan_id)))]
+    for pattern, cells in (("*.[cC][sS][vV]", splits.csv_cells), ("*.[jJ][sS][oO][nN]", lambda *a: object_cells(splits.json_objects(*a)))):
+        parts.append(detect_columns.scan_columns(cells(spark, path, scan_id, pattern)))
+    whole = read_sources(spark, path, None if hooks.registered_detectors() or detectors else "*.[cC][sS]").withColumn("scan_id", F.lit(scan_id))
+    parts.append(detect_code.scan_code(whole.where(is_csharp(F.col("file_name"), guess_language(F.col("file_name"))))))
+    plugged = hooks.run_detectors(whole, detectors)
+    if plugged is not None:
+        parts.append(plugged.select(*FINDING_COLUMNS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def validate_policy_requests(requests: DataFrame, clauses: DataFrame) -> DataFrame:
     """Requests whose policy id is neither ``ALL`` (any case) nor an existing
     policy (case-insensitive): the ones to reject."""

@@ -54,11 +54,12 @@ def as_sources(
     )
 
 
-def _listing(spark: SparkSession, path: str, corrupt: bool) -> DataFrame | None:
+def _listing(spark: SparkSession, path: str, corrupt: bool, pattern: str | None = None) -> DataFrame | None:
     """The files under ``path`` with their name relative to it (the base name
     if ``path`` is one file), or None if there is no such folder."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(corrupt).lower()).load(path)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(corrupt).lower())
+        files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     except Exception as exc:  # missing folder -> empty table
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return None
@@ -70,18 +71,18 @@ def _listing(spark: SparkSession, path: str, corrupt: bool) -> DataFrame | None:
     return files.select("path", "length", relative.alias("file_name"), "content")
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
+def read_sources(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Every file under ``path`` read whole as one text row (UTF-8;
     undecodable bytes become U+FFFD).
 
     ``file_name`` is the path relative to ``path``, so equal names in two
     folders stay apart.  No file is left out for its size; one that Spark
     cannot read gives no row here and one in ``unreadable_sources``.  A
-    missing folder gives an empty result.
+    missing folder gives an empty result.  ``pattern``: of the files' names.
     """
     from ..schemas import SOURCES
 
-    files = _listing(spark, path, corrupt=True)
+    files = _listing(spark, path, corrupt=True, pattern=pattern)
     if files is None:
         return spark.createDataFrame([], SOURCES)
     return files.select(

@@ -16,59 +16,72 @@ from pyspark.sql import functions as F
 from ..schemas import CLAUSES, FINDINGS, SCANS
 
 
-def read_csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def _column_names(cells: list[str | None], width: int) -> list[str]:
+    """Names of the header's cells, then of the positions beyond it; a repeated
+    name gets its position as suffix."""
+    seen: set[str] = set()
+    names = []
+    for i in range(max(len(cells), width)):
+        n = (cells[i] or "") if i < len(cells) else f"column_{i + 1}"
+        names.append(n if n.lower() not in seen else f"{n}_{i}")
+        seen.add(n.lower())
+    return names
+
+
+def read_csv_table(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     """CSV with a header row; every cell a string (no type inference).
 
-    The header names come from the first record; a repeated name gets its
-    position as suffix (so no two columns share a name).  Short rows are
-    padded with NULL.  Cells beyond the header are kept in further columns
-    named by position (``column_3``); for that the widest record is looked for
-    first.  ``multi_line``
-    allows quoted line breaks (a file is then one split; pass False for large
-    line-oriented files, which are split).
+    Files are read by splits (``sources.splits``), so quoted line breaks need no
+    task that holds a file.  The header names come from the first record (of
+    the first file by name; every file has one); a repeated name gets its
+    position as suffix.  Short rows are padded with NULL, an empty cell without
+    quotes is NULL.  Cells beyond the header are kept in further columns named
+    by position (``column_3``).  A file that is no CSV (a stray quote, one never
+    closed) gives no rows; without any other there are no columns.  ``ordered``:
+    rows in the order of the files (a sort; False for large files).
     """
     from pyspark.sql import types as T
 
-    from ..plans.scan import csv_records
+    from .splits import _sound, csv_cells_of, csv_records
 
-    opts = {"multiLine": str(multi_line).lower(), "escape": '"'}
-    head = spark.read.options(header="false", **opts).csv(path).limit(1).collect()
-    if not head:
+    rows, files = _sound(csv_records(spark, path))
+    head = files.orderBy("file_").select(csv_cells_of(F.col("first_text")).alias("cells")).first()
+    if head is None:
         return spark.createDataFrame([], T.StructType([]))
-    seen: set[str] = set()
-    names = []
-    for i, v in enumerate(head[0]):
-        n = "" if v is None else str(v)
-        names.append(n if n.lower() not in seen else f"{n}_{i}")
-        seen.add(n.lower())
+    most = rows.agg(F.max(F.size(csv_cells_of(F.col("text"))))).first()[0]
+    names = _column_names(head["cells"], most)
+    if ordered:
+        rows = rows.orderBy("file_name", "row_key")
+    rows = rows.where("row_key > first_key").select(csv_cells_of(F.col("text"), F.lit(None).cast("string")).alias("cells"))
+    return rows.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
-    text = spark.read.text(path, wholetext=multi_line)
-    cells = F.aggregate(csv_records(F.col("value")), F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
-    most = text.agg(F.max(cells)).first()[0] or 0
-    for i in range(len(names), most):
-        n = f"column_{i + 1}"
-        names.append(n if n.lower() not in seen else f"{n}_{i}")
-        seen.add(n.lower())
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(header="true", enforceSchema="true", **opts).schema(schema).csv(path)
+
+#: Key names that a JSON table may have as columns.
+MAX_KEYS = 10_000
 
 
-def read_json_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A JSON file holding a top-level array of objects (with ``lines``: one
+def read_json_table(spark: SparkSession, path: str, lines: bool = False, max_keys: int = MAX_KEYS) -> DataFrame:
+    """JSON files holding a top-level array of objects (with ``lines``: one
     object a line), as an all-string table: columns in first-seen order,
     non-string values keep their JSON text, missing and null values become
-    ''.  Elements that are no objects are skipped; another root, or a text
-    that is no JSON, gives a table without columns."""
-    from ..plans.scan import json_objects
-
-    text = spark.read.text(path, wholetext=not lines)
-    content = F.concat(F.lit("["), F.col("value"), F.lit("]")) if lines else F.col("value")
-    files = text.select(F.lit("").alias("scan_id"), F.monotonically_increasing_id().cast("string").alias("file_name"), content.alias("content"))
-    objects = json_objects(files)
+    ''.  An array is read by splits (``sources.splits``).  Elements that are no
+    objects are skipped; another root, or a text that is no JSON, gives no rows,
+    and without any other file no columns.  More than ``max_keys`` key names
+    are an error: objects keyed by data are no table (``plans.scan.object_cells``
+    gives them as long-form cells)."""
+    from .splits import json_objects, pieces
+
+    if lines:
+        text = F.trim("value")
+        objects = pieces(spark, path, "\n").where(text.startswith("{")).select("file_name", F.struct("block", "id").alias("rec"), F.from_json(text, "map<string,string>").alias("object"))
+    else:
+        objects = json_objects(spark, path)
     # the names of the keys, in order of first sight: a schema, not rows
-    keys = objects.select(F.col("file_name").cast("bigint").alias("file"), "rec", F.posexplode(F.map_keys("object")).alias("pos", "name"))
-    names = [r["name"] for r in keys.groupBy("name").agg(F.min(F.struct("file", "rec", "pos")).alias("at")).orderBy("at").collect()]
-    return objects.select(*[F.coalesce(F.col("object")[n], F.lit("")).alias(n) for n in names])
+    keys = objects.select("file_name", "rec", F.posexplode(F.map_keys("object")).alias("pos", "name"))
+    found = keys.groupBy("name").agg(F.min(F.struct("file_name", "rec", "pos")).alias("at")).orderBy("at").limit(max_keys + 1).collect()
+    if len(found) > max_keys:
+        raise ValueError(f"more than {max_keys} key names")
+    return objects.select(*[F.coalesce(F.col("object")[r["name"]], F.lit("")).alias(r["name"]) for r in found])
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
