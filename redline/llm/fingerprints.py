@@ -38,15 +38,21 @@ SIZE = 8
 TABLES = 3
 GROW = 4
 ROOM = 0.45  # cells a table and digest at which peeling hardly fails (three tables need 1.23 cells a digest)
+_BITS = (np.uint64(30), np.uint64(27), np.uint64(31))
+_SHIFTS = np.array([[21 * k] for k in range(TABLES)], np.uint64)
+_TABLE = np.arange(TABLES)[:, None]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The check of digests: a 64-bit mix (splitmix64)."""
     x = x + _MIX[0]
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> _BITS[0]
+    x *= _MIX[1]
+    x ^= x >> _BITS[1]
+    x *= _MIX[2]
+    x ^= x >> _BITS[2]
+    return x
 
 
 def digests(text: str, piece_words: int = PIECE_WORDS) -> np.ndarray:
@@ -76,8 +82,8 @@ class Sketch:
         self.counts = np.bincount(cells, minlength=n).astype(np.int64)
         self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         if len(keys):
-            np.bitwise_xor.at(self.keys, cells, np.concatenate([keys] * TABLES))
-            np.bitwise_xor.at(self.checks, cells, np.concatenate([_mixed(keys)] * TABLES))
+            np.bitwise_xor.at(self.keys, cells, np.tile(keys, TABLES))
+            np.bitwise_xor.at(self.checks, cells, np.tile(_mixed(keys), TABLES))
 
     def hex(self) -> str:
         return (self.counts.astype("<u4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).hex()
@@ -86,27 +92,32 @@ class Sketch:
 def _cells(keys: np.ndarray, size: int) -> np.ndarray:
     """The digests' cells in each table, from other bits of the digest each
     (``size`` is a power of two)."""
-    return np.concatenate([((keys >> np.uint64(21 * k)) & np.uint64(size - 1)).astype(np.int64) + k * size for k in range(TABLES)])
+    return (((keys >> _SHIFTS) & np.uint64(size - 1)).view(np.int64) + _TABLE * size).ravel()
 
 
 def peel(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
     """The digests only in ``a`` and only in ``b``, or None on failure."""
     counts, keys, checks = a.counts - b.counts, a.keys ^ b.keys, a.checks ^ b.checks
     found: list[list[np.ndarray]] = [[], []]
+    taken = 0
     while True:
-        pure = np.nonzero(np.abs(counts) == 1)[0]
-        pure = pure[_mixed(keys[pure]) == checks[pure]] if len(pure) else pure
-        if not len(pure):
+        pure = np.nonzero((counts == 1) | (counts == -1))[0]
+        k = keys[pure]
+        check = checks[pure]
+        good = np.nonzero(_mixed(k) == check)[0]
+        if not len(good):
             break
-        k, first = np.unique(keys[pure], return_index=True)
-        sign = counts[pure][first]
+        k, first = np.unique(k[good], return_index=True)
+        good = good[first]
+        sign = counts[pure[good]]
         found[0].append(k[sign == 1])
         found[1].append(k[sign == -1])
         cells = _cells(k, a.size)
-        np.subtract.at(counts, cells, np.concatenate([sign] * TABLES))
-        np.bitwise_xor.at(keys, cells, np.concatenate([k] * TABLES))
-        np.bitwise_xor.at(checks, cells, np.concatenate([_mixed(k)] * TABLES))
-        if sum(map(len, found[0])) + sum(map(len, found[1])) > TABLES * a.size:
+        np.subtract.at(counts, cells, np.tile(sign, TABLES))
+        np.bitwise_xor.at(keys, cells, np.tile(k, TABLES))
+        np.bitwise_xor.at(checks, cells, np.tile(check[good], TABLES))
+        taken += len(k)
+        if taken > TABLES * a.size:
             return None
     if counts.any() or keys.any() or checks.any():
         return None
@@ -206,5 +217,5 @@ def fingerprint_versions(docs: DataFrame, ranges: int | None = None) -> DataFram
         ])
 
     dealt = rows.withColumn("place", F.explode(places("at"))).select("place.*", "doc_id", "at", "text")
-    ordered = dealt.repartition(max(ranges, len(bounds)), "range").sortWithinPartitions("range", "guest", F.col("at").desc(), F.xxhash64("text"))
+    ordered = dealt.repartitionById(max(ranges, len(bounds)), "range")  # a range a task.sortWithinPartitions("range", "guest", F.col("at").desc(), F.xxhash64("text"))
     return ordered.select("range", "guest", "doc_id", "text").mapInArrow(_compared, SCHEMA)
