@@ -19,7 +19,8 @@ from ..functions.reason import fix_args_text
 from ..functions.remediate import parse_fix_args
 from ..functions.report import finding_status_view, scan_status_view
 from ..operators import detect_code, detect_text, enrich, remediate
-from ..operators.retrieve import refresh_clause_index
+from ..operators.keyword_index import retrieve_keywords
+from ..operators.retrieve import clause_index, refresh_clause_index
 from ..session import checkpoint_path
 from ..sources.files import as_sources
 from ..sources.splits import numbered_lines
@@ -262,11 +263,28 @@ def scan_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.states(spark, run)
 
 
+def _document_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return C.table(spark, d, "documents").select(
+        F.col("source").alias("policy_name"), F.lit(1).alias("clause_ord"), F.format_string("%08d", "doc_id").alias("clause_id"), F.col("lang").alias("title"),
+        F.coalesce("text", F.lit("")).alias("clause_text"), F.array().cast("array<string>").alias("example_violations"),
+    )
+
+
+def keyword_index_top1(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a clause, every benchmark text as a query, over all
+    policies and over one."""
+    b = C.table(spark, d, "benchmark").withColumn("query", F.concat(F.col("text"), F.lit(" zzzunknown")))
+    asked = b.select(F.concat(F.lit("all-"), F.col("item_id")).alias("finding_id"), "query", F.lit(None).cast("string").alias("policy"))
+    asked = asked.unionByName(b.select(F.concat(F.lit("one-"), F.col("item_id")).alias("finding_id"), "query", F.lit("SRC3").alias("policy")))
+    found = retrieve_keywords(asked, clause_index(_document_clauses(spark, d)), policy=F.col("policy"))
+    return found.select("finding_id", F.col("match.clause_id").alias("clause_id"), F.col("match.policy_name").alias("policy_name"), F.col("match.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_rules_derived, code_calls, two_scans_columns, csv_round_trip, json_round_trip, fix_chain, first_approval, reason_fallback,
-        fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle, csv_splits, json_splits, split_source,
+        fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle, csv_splits, json_splits, split_source, keyword_index_top1,
     )
 }
 
@@ -316,6 +334,12 @@ def oracle_sql() -> dict[str, str]:
         "stored_embeddings": """
             SELECT CAST(doc_id AS BIGINT) AS doc_id, upper(sha256(coalesce(text, ''))[1:8]) AS content_hash,
               CAST(CAST(n_chars AS FLOAT) AS BIGINT) AS first, true AS other_hash FROM documents""",
+        "keyword_index_top1": f"""
+            WITH c AS (SELECT source AS policy_name, printf('%08d', doc_id) AS clause_id, {oracle.tokens("coalesce(lang, '') || '. ' || coalesce(text, '') || ' '")} AS ct FROM documents),
+            b AS (SELECT item_id, {oracle.tokens("text || ' zzzunknown'")} AS qt FROM benchmark),
+            q AS (SELECT 'all-' || item_id AS finding_id, qt, NULL AS policy FROM b UNION ALL SELECT 'one-' || item_id, qt, 'src3' FROM b),
+            s AS (SELECT finding_id, clause_id, policy_name, len(list_intersect(qt, ct)) / len(qt) AS score FROM q JOIN c ON policy IS NULL OR lower(policy_name) = policy)
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, policy_name, clause_id) = 1""",
         "csv_splits": """
             SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', "q"' || chr(10) || chr(10) || ',end' AS note, c_mktsegment
             FROM customer WHERE c_mktsegment <> 'BUILDING'""",
