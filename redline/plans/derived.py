@@ -20,6 +20,7 @@ from ..functions.remediate import parse_fix_args
 from ..functions.report import finding_status_view, scan_status_view
 from ..operators import detect_code, detect_text, enrich, remediate
 from ..operators.keyword_index import retrieve_keywords
+from ..operators.vector_index import nearest_vectors
 from ..operators.retrieve import clause_index, refresh_clause_index
 from ..session import checkpoint_path
 from ..sources.files import as_sources
@@ -280,11 +281,19 @@ def keyword_index_top1(spark: SparkSession, d: str) -> DataFrame:
     return found.select("finding_id", F.col("match.clause_id").alias("clause_id"), F.col("match.policy_name").alias("policy_name"), F.col("match.score").alias("score"))
 
 
+def vector_index_top1(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings whose id 20 divides against all others."""
+    e = C.table(spark, d, "embeddings")
+    found = nearest_vectors(e.where("vec_id % 20 = 0"), e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id")
+    return found.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("match.near_id").cast("bigint").alias("near_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_rules_derived, code_calls, two_scans_columns, csv_round_trip, json_round_trip, fix_chain, first_approval, reason_fallback,
         fix_args_parsed, status_views, stored_embeddings, clause_refresh, scan_lifecycle, csv_splits, json_splits, split_source, keyword_index_top1,
+        vector_index_top1,
     )
 }
 
@@ -340,6 +349,11 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT 'all-' || item_id AS finding_id, qt, NULL AS policy FROM b UNION ALL SELECT 'one-' || item_id, qt, 'src3' FROM b),
             s AS (SELECT finding_id, clause_id, policy_name, len(list_intersect(qt, ct)) / len(qt) AS score FROM q JOIN c ON policy IS NULL OR lower(policy_name) = policy)
             SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, policy_name, clause_id) = 1""",
+        "vector_index_top1": """
+            WITH p AS (SELECT q.vec_id, c.vec_id AS near_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] * c.embedding[i] AS DOUBLE)))
+                / (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x * x AS DOUBLE)))) * sqrt(list_sum(list_transform(c.embedding, lambda x: CAST(x * x AS DOUBLE))))) AS score
+              FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0)
+            SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(near_id AS BIGINT) AS near_id FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, near_id) = 1""",
         "csv_splits": """
             SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', "q"' || chr(10) || chr(10) || ',end' AS note, c_mktsegment
             FROM customer WHERE c_mktsegment <> 'BUILDING'""",
