@@ -23,7 +23,7 @@ MEMO_WORDS = 400_000
 #: Longer runs are encoded each time.
 MEMO_CHARS = 48
 #: Runs in a worker's table.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 _tokenizers: dict[str, object] = {}
