@@ -99,7 +99,7 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON Lines and read back."""
     path = checkpoint_path(spark, f"json-{uuid.uuid4().hex}")
     write_json_table(C.table(spark, d, "events").select("event_id", "event_type", "props"), path)
-    return read_json_table(spark, path, lines=True)
+    return read_json_table(spark, path, lines=True, ordered=False)
 
 
 def fix_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ def json_splits(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("event_id") == F.col("low"), "[").otherwise(","), F.col("value"))
     end = spark.range(1).select(F.lit((1 << 63) - 1).alias("event_id"), F.lit("]").alias("value"))
     _one_file(e.join(F.broadcast(low)).select("event_id", text.alias("value")).unionByName(end), "event_id", F.col("value"), path)
-    return _in_small_splits(spark, 8192, lambda: read_json_table(spark, path))
+    return _in_small_splits(spark, 8192, lambda: read_json_table(spark, path, ordered=False))
 
 
 def split_source(spark: SparkSession, d: str) -> DataFrame:

@@ -60,7 +60,7 @@ def read_csv_table(spark: SparkSession, path: str, ordered: bool = True) -> Data
 MAX_KEYS = 10_000
 
 
-def read_json_table(spark: SparkSession, path: str, lines: bool = False, max_keys: int = MAX_KEYS) -> DataFrame:
+def read_json_table(spark: SparkSession, path: str, lines: bool = False, max_keys: int = MAX_KEYS, ordered: bool = True) -> DataFrame:
     """JSON files holding a top-level array of objects (with ``lines``: one
     object a line), as an all-string table: columns in first-seen order,
     non-string values keep their JSON text, missing and null values become
@@ -68,7 +68,8 @@ def read_json_table(spark: SparkSession, path: str, lines: bool = False, max_key
     objects are skipped; another root, or a text that is no JSON, gives no rows,
     and without any other file no columns.  More than ``max_keys`` key names
     are an error: objects keyed by data are no table (``plans.scan.object_cells``
-    gives them as long-form cells)."""
+    gives them as long-form cells).  ``ordered``: rows in the order of the files
+    (a sort; False for large files)."""
     from .splits import json_objects, pieces
 
     if lines:
@@ -81,6 +82,8 @@ def read_json_table(spark: SparkSession, path: str, lines: bool = False, max_key
     found = keys.groupBy("name").agg(F.min(F.struct("file_name", "rec", "pos")).alias("at")).orderBy("at").limit(max_keys + 1).collect()
     if len(found) > max_keys:
         raise ValueError(f"more than {max_keys} key names")
+    if ordered:
+        objects = objects.orderBy("file_name", "rec")
     return objects.select(*[F.coalesce(F.col("object")[r["name"]], F.lit("")).alias(r["name"]) for r in found])
 
 
