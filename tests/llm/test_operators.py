@@ -281,6 +281,23 @@ def test_toxicity_spans_and_edges(spark, edge_docs, empty_docs):
     assert len({r["toxicity_score"]["score"] for r in toxicity.score_toxicity(edge_docs, none).collect()}) == 1
 
 
+def test_toxicity_learns_from_long_documents_only(spark):
+    """Documents beyond the training length are used in excerpts, not dropped."""
+    filler = " ".join(f"word{i % 53}" for i in range(2_500))
+    rude = [(i, " ".join([filler[:6_000], *(["you moron"] * 40 if i % 2 else ["you friend"] * 40), filler[:6_000]] * 2), i % 2) for i in range(2, 80)]
+    train = spark.createDataFrame(rude, "doc_id long, text string, toxic int")
+    assert train.selectExpr("min(length(text)) AS n").first()["n"] > 3 * toxicity.TRAIN_CHARS
+    scored = toxicity.score_toxicity(train, train).collect()
+    assert [r["doc_id"] for r in scored if r["toxicity_score"]["predicted"] != r["toxic"]] == []
+
+
+def test_toxicity_labels_of_one_class_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, toxic) for i in range(60)], "doc_id long, toxic int")
+        assert {r["toxicity_score"]["predicted"] for r in toxicity.score_toxicity(docs, labels).collect()} == {0}
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -292,6 +309,26 @@ def _check_bpe(rows, expected, tokenizer):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
 
 
+def test_word_table_equals_the_tokenizer(texts, tokenizer):
+    """Special tokens, cases, contractions, control characters, runs beyond the
+    memo, and a table that begins anew."""
+    import pyarrow as pa
+
+    from redline.llm import bpe
+
+    odd = ["", "\n", " ", "a<|endoftext|>b <|ENDOFTEXT|> <|endoftext|>.", "H\u0331 \u1e30 \u00c5 A\u030a don't DON'T it's. x.,y a.b. a.. 3.,\t\x0b\x00 tab", "it'll'd", "\u00e9. \u00c9, \u00df. \u0130 \u01c5. ", "A" * 100 + " " + "b" * 60 + ". " + "A" * 100, "a.\n\nb, \r\n c.\r", "\u017f \u212a \ufb01. \ufb01x"]
+    some = [*odd, *[t or "" for t in list(texts.values())[:60]], *odd]
+    for limit in (3, 400_000):
+        table = bpe.WordTable(bpe.vocabulary_path(), limit)
+        assert table.plain
+        for at in range(0, len(some), 7):
+            part, begin = some[at : at + 7], 0
+            ids, ends = table.encode(pa.array(part), 2)
+            for text, end in zip(part, ends):
+                assert ids[begin:end].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+                begin = end
+
+
 def test_bpe(spark, texts, tokenizer):
     _check_bpe(queries.op6_bpe(spark, SF).collect(), texts.items(), tokenizer)
 
