@@ -283,8 +283,8 @@ def test_toxicity_spans_and_edges(spark, edge_docs, empty_docs):
 
 def test_toxicity_learns_from_long_documents_only(spark):
     """Documents beyond the training length are used in excerpts, not dropped."""
-    filler = " ".join(f"word{i % 53}" for i in range(2_500))
-    rude = [(i, " ".join([filler[:6_000], *(["you moron"] * 40 if i % 2 else ["you friend"] * 40), filler[:6_000]] * 2), i % 2) for i in range(2, 80)]
+    words = [f"word{i % 53}" for i in range(5_000)]
+    rude = [(i, " ".join(w if j % 60 else "you " + ("moron" if i % 2 else "friend") for j, w in enumerate(words)), i % 2) for i in range(2, 80)]
     train = spark.createDataFrame(rude, "doc_id long, text string, toxic int")
     assert train.selectExpr("min(length(text)) AS n").first()["n"] > 3 * toxicity.TRAIN_CHARS
     scored = toxicity.score_toxicity(train, train).collect()
