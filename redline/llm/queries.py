@@ -1,7 +1,8 @@
 """The queries of this package: one per operator, over its whole table, and
 the pipeline.  SQL cannot express most of them over the same columns (CRCs,
 tokenizers, sketches, trained models); those are tested against brute force
-in ``tests/llm``.  DuckDB SQL is given where it can: exact de-duplication.
+in ``tests/llm``.  DuckDB SQL is given where it can: exact de-duplication and
+the Merkle manifest.
 """
 
 from __future__ import annotations
