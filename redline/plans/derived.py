@@ -191,43 +191,44 @@ def _in_small_splits(spark: SparkSession, size: int, make: Callable[[], DataFram
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _one_file(rows: DataFrame, order: str, text: F.Column, path: str) -> None:
-    """The rows' texts as the lines of one file."""
-    rows.select(order, text.alias("value")).coalesce(1).sortWithinPartitions(order).select("value").write.text(path)
+def _one_text(rows: DataFrame, order: str, text: F.Column, path: str) -> None:
+    """The rows' texts as the lines of one text, in parts: each task writes a
+    range of ``order``."""
+    rows.select(order, text.alias("value")).orderBy(order).select("value").write.text(path)
 
 
 def csv_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as CSV files read by splits of 8 KB: cells with commas, doubled
-    quotes and line breaks.  The file of the BUILDING segment has a stray quote."""
+    """Customers as two CSV texts read by splits of 8 KB: cells with commas, doubled
+    quotes and line breaks.  The text of the BUILDING segment has a stray quote."""
     path = checkpoint_path(spark, f"csv-splits-{uuid.uuid4().hex}")
     c = C.table(spark, d, "customer")
     building = F.col("c_mktsegment") == "BUILDING"
     head = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("c_custkey,note,c_mktsegment").alias("value"))
     for part, stray, name in ((c.where(~building), "", "good"), (c.where(building), '5" pipe', "bad")):
         line = F.concat(F.col("c_custkey"), F.lit(',"'), F.col("c_name"), F.lit(', ""q""\n\n,end",' + stray), F.col("c_mktsegment"))
-        _one_file(head.unionByName(part.select("c_custkey", line.alias("value"))), "c_custkey", F.col("value"), f"{path}/{name}")
-    return _in_small_splits(spark, 8192, lambda: read_csv_table(spark, path, ordered=False))
+        _one_text(head.unionByName(part.select("c_custkey", line.alias("value"))), "c_custkey", F.col("value"), f"{path}/{name}")
+    return _in_small_splits(spark, 8192, lambda: read_csv_table(spark, path, ordered=False, parts=True))
 
 
 def json_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Events as one JSON array in a file, read by splits of 8 KB."""
+    """Events as one JSON array, read by splits of 8 KB."""
     path = checkpoint_path(spark, f"json-splits-{uuid.uuid4().hex}")
     e = C.table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "props", F.array(F.lit("],{"), F.lit('"')).alias("odd"))).alias("value"))
     low = e.agg(F.min("event_id").alias("low"))
     text = F.concat(F.when(F.col("event_id") == F.col("low"), "[").otherwise(","), F.col("value"))
     end = spark.range(1).select(F.lit((1 << 63) - 1).alias("event_id"), F.lit("]").alias("value"))
-    _one_file(e.join(F.broadcast(low)).select("event_id", text.alias("value")).unionByName(end), "event_id", F.col("value"), path)
-    return _in_small_splits(spark, 8192, lambda: read_json_table(spark, path, ordered=False))
+    _one_text(e.join(F.broadcast(low)).select("event_id", text.alias("value")).unionByName(end), "event_id", F.col("value"), path)
+    return _in_small_splits(spark, 8192, lambda: read_json_table(spark, path, ordered=False, parts=True))
 
 
 def split_source(spark: SparkSession, d: str) -> DataFrame:
-    """All documents as one text file, scanned by splits of 64 KB: findings with
-    their line in the file."""
+    """All documents as one text, scanned by splits of 64 KB: findings with their
+    line in the text."""
     path = checkpoint_path(spark, f"split-source-{uuid.uuid4().hex}")
     docs = C.table(spark, d, "documents")
-    _one_file(docs, "doc_id", F.coalesce("text", F.lit("")), path)
-    lines = numbered_lines(spark, path).withColumn("scan_id", F.lit("s"))
-    found = _in_small_splits(spark, 65536, lambda: detect_text.scan_lines(lines, keep_match=True))
+    _one_text(docs, "doc_id", F.coalesce("text", F.lit("")), path)
+    lines = lambda: numbered_lines(spark, path, parts=True).withColumn("scan_id", F.lit("s"))
+    found = _in_small_splits(spark, 65536, lambda: detect_text.scan_lines(lines(), keep_match=True))
     return found.select(F.col("line_no").cast("bigint").alias("line_no"), "data_type", F.col("match_ord").cast("bigint").alias("match_ord"), "match")
 
 

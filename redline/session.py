@@ -7,9 +7,11 @@ driver smoke check only.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -111,6 +113,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes that a task reads at least when there are far more splits than cores.
+TASK_BYTES = 16 * 1024 * 1024
+
+
+def gathered(scan: DataFrame) -> DataFrame:
+    """Splits of a file scan far smaller than ``TASK_BYTES`` share tasks; each
+    stays a split."""
+    spark, n = scan.sparkSession, scan.rdd.getNumPartitions()
+    size = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower())
+    total = n * (int(size[1]) << 10 * " kmgtp".index(size[2] or " "))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+    return scan.coalesce(tasks) if n > tasks else scan
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back:
+    as ``materialize``, for tables of which later steps read some columns only
+    (the planner knows their size)."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return gathered(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
 _shipped: set[str] = set()
 
 

@@ -17,6 +17,10 @@ split's start state plus the running sum inside the split.
 
 A record or element that crosses splits is put together by its first piece.
 Totals and pieces belong to one plan, so both see the same splits.
+
+With ``parts`` the files of a folder, in the order of their names, are one text
+(as Spark's writers write it): a text of any size that no task has to write.
+Each part ends with a line break.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import qualified_path
+from ..session import gathered, qualified_path, stored
 
 # A field: in quotes (doubled inside), opened at its start only, or without any.
 _INNER = r'[^"]*+(?:""[^"]*+)*+'
@@ -36,21 +40,38 @@ _OPENS = rf"\A{_LOOSE}"
 _STAYS = rf'\A{_INNER}(?:$|"[^,]*+,{_LOOSE})'
 
 
-def pieces(spark: SparkSession, path: str, separator: str, pattern: str | None = None) -> DataFrame:
+def pieces(spark: SparkSession, path: str, separator: str, pattern: str | None = None, parts: bool = False) -> DataFrame:
     """``file_name`` (relative to ``path``), ``block`` (offset of the split), ``id``
-    (ascending in a split) and ``value``.  The separator itself is left out.
-    ``pattern``: of the files' names."""
+    (ascending in a split), ``value`` and ``head``: whether its file starts with
+    the split.  The separator itself is left out.  ``pattern``: of the files'
+    names.  ``parts``: a folder is one text, ``file_name`` the folder's name and
+    ``block`` an offset in the whole text."""
     reader = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true")
     read = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
     root = qualified_path(spark, path).rstrip("/") + "/"
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
     base = F.regexp_replace(F.lit(root), "^file:/+", "file:/")
     relative = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full))).otherwise(F.regexp_extract(full, r"([^/]*)$", 1))
-    return read.select(
+    raw = read.select(
         F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
         F.make_valid_utf8(F.col("value")).alias("value"),
+        (F.col("_metadata.file_block_start") == 0).alias("head"),
+        *([F.col("_metadata.file_path").alias("path_")] if parts else []),
+    )
+    raw = gathered(raw)
+    if not parts:
+        return raw
+    # where each part starts in its text: a row a part, of which no content is read
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = (listed.option("pathGlobFilter", pattern) if pattern else listed).load(path)
+    listed = listed.select(F.col("_metadata.file_path").alias("part_"), F.col("_metadata.file_size").alias("size"))
+    folder = F.regexp_extract("part_", r"\A(.*/)", 1)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(folder).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(listed.select("part_", before.alias("before")))
+    return raw.join(starts, F.col("path_") == F.col("part_")).select(
+        F.regexp_replace("file_name", r"/?[^/]*\z", "").alias("file_name"), (F.col("block") + F.col("before")).alias("block"), "id", "value", "head"
     )
 
 
@@ -72,10 +93,10 @@ def _with(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.join(s, (F.col("file_name") == F.col("file_")) & (F.col("block") == F.col("block_"))).drop("file_", "block_")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """The non-empty lines of every file under ``path``: ``file_name, line_no,
     line`` as ``functions.text.split_lines`` gives them of a whole file."""
-    raw = pieces(spark, path, "\n")
+    raw = pieces(spark, path, "\n", parts=parts)
     totals = raw.groupBy(*_SPLIT).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     offset = F.coalesce(F.sum("n").over(_earlier("block", *_FILE)), F.lit(0))
     lines = _with(raw, totals.withColumn("offset", offset).drop("n"))
@@ -84,9 +105,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file_name", number.alias("line_no"), line.alias("line")).where(F.length("line") > 0)
 
 
-def _assembled(rows: DataFrame, separator: str, *flags: str) -> DataFrame:
+def _assembled(rows: DataFrame, separator: str, *flags: str, continues: Column | None = None) -> DataFrame:
     """Pieces (``file_name, block, row_key, value, starts``) put together: each
-    that starts with those up to the next that does.  ``flags`` are maximised."""
+    that starts with those up to the next that does.  ``flags`` are maximised.
+    ``continues``: pieces that no separator stands before."""
+    bare = F.col("starts") if continues is None else F.col("starts") | continues
+    rows = rows.withColumn("value", F.concat(F.when(bare, "").otherwise(separator), "value"))
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
     marked = rows.withColumn("start_key", F.when(F.col("starts"), F.col("row_key")))
     marked = marked.withColumn("own", last("start_key", _upto("row_key", *_SPLIT)))
@@ -95,20 +119,21 @@ def _assembled(rows: DataFrame, separator: str, *flags: str) -> DataFrame:
     carried = ends.select(*_SPLIT, last("last_start", _earlier("block", *_FILE)).alias("carried"))
     single = marked.where("whole").select("file_name", "row_key", F.col("value").alias("text"), *flags)
     parts = _with(marked.where("NOT whole").drop("starts"), carried).withColumn("key", F.coalesce("own", "carried"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_key", "value"))), lambda x: x["value"]), separator)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_key", "value"))), lambda x: x["value"]), "")
     joined = parts.groupBy("file_name", F.col("key").alias("row_key")).agg(text.alias("text"), *[F.max(f).alias(f) for f in flags])
     return single.unionByName(joined)
 
 
-def csv_records(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def csv_records(spark: SparkSession, path: str, pattern: str | None = None, parts: bool = False) -> DataFrame:
     """The records of every CSV file under ``path``: ``file_name``, ``row_key``
     (ascending in a file), ``text`` and ``bad``: whether a quote stands elsewhere
     than around a field, or is never closed.  Blank lines are left out."""
-    raw = pieces(spark, path, "\n", pattern)
+    raw = pieces(spark, path, "\n", pattern, parts).drop("head")
     quoted = F.col("value").contains('"')
     line = F.rtrim("value", F.lit("\r"))
     raw = raw.withColumn("opens", quoted & line.rlike(_OPENS)).withColumn("stays", ~quoted | line.rlike(_STAYS))
     raw = raw.withColumn("sets", F.when(F.col("opens") == F.col("stays"), F.col("opens"))).withColumn("turns", (F.col("opens") & ~F.col("stays")).cast("int"))
+    raw = stored(raw, "csv-lines")  # the text is read and matched once
 
     # the map of a split: its lines' maps in order (those that keep the state left out)
     steps = F.sort_array(F.collect_list(F.when(~(~F.col("opens") & F.col("stays")), F.struct("id", "opens", "stays"))))
@@ -182,10 +207,10 @@ def csv_cells(spark: SparkSession, path: str, scan_id: str = "scan", pattern: st
     )
 
 
-def json_objects(spark: SparkSession, path: str, scan_id: str = "scan", pattern: str | None = None) -> DataFrame:
+def json_objects(spark: SparkSession, path: str, scan_id: str = "scan", pattern: str | None = None, parts: bool = False) -> DataFrame:
     """The objects in the arrays of the JSON files under ``path``, as
     ``plans.scan.json_objects`` gives them of whole texts."""
-    rows, _ = _sound(json_elements(spark, path, pattern))
+    rows, _ = _sound(json_elements(spark, path, pattern, parts))
     objects = rows.where(F.col("text").startswith("{"))
     return objects.select(F.lit(scan_id).alias("scan_id"), "file_name", F.col("row_key").alias("rec"), F.from_json("text", "map<string,string>").alias("object"))
 
@@ -195,14 +220,15 @@ def _brackets(text: Column) -> Column:
     return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
 
 
-def json_elements(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def json_elements(spark: SparkSession, path: str, pattern: str | None = None, parts: bool = False) -> DataFrame:
     """The elements of the top-level array of every JSON file under ``path``:
     ``file_name``, ``row_key`` (ascending in a file), ``text`` and ``bad``: whether
     the element is no JSON, or the root no array, or the text not ended."""
-    raw = pieces(spark, path, ",", pattern)
-    parts = F.split(F.regexp_replace("value", r"\\[\s\S]", ""), '"', -1)
-    side = lambda odd: F.array_join(F.filter(parts, lambda p, i: i % 2 == odd), "")
-    raw = raw.withColumn("quotes", F.size(parts) - 1).withColumn("plain", _brackets(side(0))).withColumn("other", _brackets(side(1)))
+    raw = pieces(spark, path, ",", pattern, parts)
+    unquoted = F.split(F.regexp_replace("value", r"\\[\s\S]", ""), '"', -1)
+    side = lambda odd: F.array_join(F.filter(unquoted, lambda p, i: i % 2 == odd), "")
+    raw = raw.withColumn("quotes", F.size(unquoted) - 1).withColumn("plain", _brackets(side(0))).withColumn("other", _brackets(side(1)))
+    raw = stored(raw, "json-pieces")  # the text is read and counted once
     w = _earlier("id", *_SPLIT)
     turned = F.coalesce(F.sum("quotes").over(w), F.lit(0)) % 2 == 1
     raw = raw.withColumn("turned", turned)
@@ -220,10 +246,13 @@ def json_elements(spark: SparkSession, path: str, pattern: str | None = None) ->
     rows = rows.withColumn("after", F.col("depth0") + F.sum(delta).over(_upto("id", *_SPLIT)))
     in_string = F.col("inside") != F.col("turned")
     first = (F.col("block") == F.col("first_block")) & (F.col("id") == F.col("first_id"))
-    rows = rows.withColumn("first", first).withColumn("starts", first | (~in_string & (F.col("after") - delta == 1)))
+    # a later part goes on with the last piece of the part before it
+    goes_on = F.col("head") & (F.col("id") == F.col("first_id")) & ~F.col("first")
+    rows = rows.withColumn("first", first).withColumn("goes_on", goes_on)
+    rows = rows.withColumn("starts", F.col("first") | (~F.col("goes_on") & ~in_string & (F.col("after") - delta == 1)))
     open_after = (in_string != (F.col("quotes") % 2 == 1)) | (F.col("after") != 0)
     rows = rows.withColumn("ends", ~open_after)
-    found = _assembled(rows, ",", "first", "ends")
+    found = _assembled(rows, ",", "first", "ends", continues=F.col("goes_on"))
     begins = F.when(F.col("first"), F.regexp_replace("text", r"\A\ufeff?\s*\[", "")).otherwise(F.col("text"))
     rooted = ~F.col("first") | F.col("text").rlike(r"\A\ufeff?\s*\[")
     text = F.when(F.col("ends"), F.regexp_replace(begins, r"\]\s*\z", "")).otherwise(begins)

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from redline.plans import scan
+from redline.plans import derived, scan
 from redline.sources import splits
 from redline.sources.files import read_sources
 from redline.sources.tables import read_csv_table, read_json_table
@@ -103,3 +103,63 @@ def test_in_scan_csv_rejects_what_is_no_csv(spark):
     src = spark.createDataFrame(rows, "source_id string, file_name string, content string, language string, scan_id string")
     found = scan.route_detectors(src).where("column_name is not null").collect()
     assert [(r.location, r.data_type) for r in found] == [("b.csv:column=email", "EMAIL")]
+
+
+def write_parts(folder, text, rng, n):
+    """``text`` in files that end with a line break, as Spark's writers leave them."""
+    lines = [x + "\n" for x in text.removesuffix("\n").split("\n")]
+    cuts = sorted(rng.sample(range(1, len(lines)), n))
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+        write(folder, f"part-{k:05}-x.txt", "".join(lines[a:b]))
+
+
+def test_a_text_in_parts(spark, scratch, split_bytes):
+    rng = random.Random(8)
+    values = [rng.choice(["a", "],[{", 'q"\\', "x" * 300, ""]) for _ in range(90)]
+    objects = [json.dumps({"k": v, "i": [i]}) for i, v in enumerate(values)]
+    write_parts(f"{scratch}/json", "[" + "".join(o + rng.choice([",\n", "\n,"]) for o in objects[:-1]) + objects[-1] + "\n]\n", rng, 7)
+    table = read_json_table(spark, f"{scratch}/json", parts=True)
+    assert [(r.k, r.i) for r in table.collect()] == [(v, f"[{i}]") for i, v in enumerate(values)]
+    assert read_json_table(spark, f"{scratch}/json").columns == []  # each part alone is no JSON
+    cells = [[str(i), rng.choice(CELLS)] for i in range(90)]
+    for name, rows in (("good", cells), ("bad", [*cells, ["z", "?"]])):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["n", "c"], *rows])
+        write_parts(f"{scratch}/csv/{name}", out.getvalue().replace("z,?", 'z,5" pipe'), rng, 7)
+    table = read_csv_table(spark, f"{scratch}/csv", parts=True)
+    assert [list(r) for r in table.collect()] == [[i, c or None] for i, c in cells]
+    lines = [rng.choice(["mail a@b.io", "", "\r"]) + str(i % 3) * (i % 2) for i in range(200)]
+    write_parts(f"{scratch}/text", "\n".join(lines) + "\n", rng, 7)
+    got = splits.numbered_lines(spark, f"{scratch}/text", parts=True).collect()
+    assert sorted((r.line_no, r.line) for r in got) == [(i, x.rstrip("\r")) for i, x in enumerate(lines, 1) if x.rstrip("\r")]
+    assert {r.file_name for r in got} == {""}
+
+
+def test_small_splits_share_tasks(spark, scratch):
+    write(scratch, "a.txt", "0123456\n" * 40_000)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", *CONF)}
+    try:
+        for k, v in (CONF | {"spark.sql.files.maxPartitionBytes": "512b"}).items():
+            spark.conf.set(k, v)
+        raw = splits.pieces(spark, scratch, "\n")
+        assert raw.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert raw.select("block").distinct().count() == 625
+        lines = splits.numbered_lines(spark, scratch).agg(F.count("*"), F.max("line_no"), F.countDistinct("line_no")).first()
+        assert tuple(lines) == (40_000, 40_000, 40_000)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_task_writes_a_whole_text(spark, scratch):
+    rows = spark.range(20_000, numPartitions=4).withColumn("id", 20_000 - F.col("id"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        derived._one_text(rows, "id", F.col("id").cast("string"), f"{scratch}/t")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    sizes = [os.path.getsize(f"{scratch}/t/{f}") for f in os.listdir(f"{scratch}/t") if f.startswith("part-")]
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 3
+    got = splits.numbered_lines(spark, f"{scratch}/t", parts=True).where("line != line_no").count()
+    assert got == 0
