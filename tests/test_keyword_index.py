@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from redline.operators.keyword_index import retrieve_keywords
+from redline.operators.keyword_index import keyword_index, retrieve_keywords
 from redline.operators.retrieve import clause_index, retrieve_top1
 
 CLAUSES = "policy_name string, clause_ord int, clause_id string, title string, clause_text string, example_violations array<string>"
@@ -35,3 +35,12 @@ def test_no_clauses_and_no_queries(spark):
     queries = spark.createDataFrame([("a", "word")], "finding_id string, query string")
     assert [tuple(r) for r in retrieve_keywords(queries, none).collect()] == [("a", "word", None)]
     assert retrieve_keywords(queries.limit(0), none).count() == 0
+
+
+def test_postings_are_built_without_a_shuffle(spark):
+    """Clauses, postings and counts are files: a step reads the columns it needs."""
+    rows = [("P", i, f"c{i}", "t", f"word{i % 3} text", []) for i in range(30)]
+    clauses, postings, counts = keyword_index(clause_index(spark.createDataFrame(rows, CLAUSES)))
+    assert all(df.inputFiles() for df in (clauses, postings, counts))
+    assert sorted(postings.columns) == ["cid", "token"] and postings.count() == clauses.select(F.explode("tokens")).count()
+    assert {r.token: r.df for r in counts.collect()}["word1"] == 10
